@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavelspark.functions.intervals import micros
+
 # An order column, or an order column with the width of its chunks. Widths are plain
 # numbers for numbers and interval texts such as "1 hour" for times.
 OrderBy = Sequence["str | tuple[str, int | str]"]
@@ -26,10 +28,8 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 def chunk_of(df: DataFrame, name: str, width: int | str) -> Column:
     """Start of the chunk a value falls in; grows with the value."""
     if isinstance(df.schema[name].dataType, _TIMES):
-        micros = F.unix_micros(F.col(name).cast("timestamp"))
-        # one microsecond count per interval text, folded to a constant by the optimizer
-        size = F.unix_micros(F.expr(f"timestamp_seconds(0) + interval {width}"))
-        return micros - F.pmod(micros, size)
+        at = F.unix_micros(F.col(name).cast("timestamp"))
+        return at - F.pmod(at, F.lit(micros(width)))
     return F.col(name) - F.pmod(F.col(name), F.lit(width))
 
 
