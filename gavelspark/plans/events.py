@@ -184,23 +184,16 @@ def gen_persons(spark, sf_dir):
 
 
 @query("rate_schedule", """
-    SELECT user_id, CAST(i - 1 AS BIGINT) AS pos, rates[i] AS rate, durations[i] AS duration_ms
-    FROM (SELECT user_id, list(event_id ORDER BY event_id) AS rates,
-                 list(1000 + event_id % 7 ORDER BY event_id) AS durations
-          FROM events WHERE event_type = 'error' GROUP BY user_id),
-         unnest(range(1, len(rates) + 1)) AS t(i)""")
+    SELECT event_id, CAST(0 AS BIGINT) AS pos, event_id % 1000 AS rate, 1000 + event_id % 7 AS duration_ms FROM events
+    UNION ALL
+    SELECT event_id, 1, user_id, 5000 FROM events WHERE event_type <> 'click'""")
 def rate_schedule(spark, sf_dir):
-    # each user's errors, written out as one schedule text
-    errors = tables.events(spark, sf_dir).filter(F.col("event_type") == "error")
-    pairs = errors.select(
-        "user_id", "event_id",
-        F.concat_ws("_", F.col("event_id"), 1000 + F.col("event_id") % 7).alias("pair"),
-    )
-    texts = pairs.groupBy("user_id").agg(
-        F.concat_ws("_", F.transform(F.sort_array(F.collect_list(F.struct("event_id", "pair"))), lambda s: s["pair"]))
-        .alias("schedule")
-    )
-    return generate.parse_schedule(texts, "schedule", ["user_id"])
+    # each event as a schedule text of two segments; clicks stop short of the second duration
+    number = F.col("event_id")
+    end = F.when(F.col("event_type") != "click", F.lit(5000))
+    text = F.concat_ws("_", number % 1000, 1000 + number % 7, "user_id", end)
+    texts = tables.events(spark, sf_dir).select("event_id", text.alias("schedule"))
+    return generate.parse_schedule(texts, "schedule", ["event_id"])
 
 
 @query("schedule_remaining", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +57,9 @@ def print_rows(df: DataFrame, n: int = 20) -> None:
 def discard(df: DataFrame) -> None:
     """Run a query for its cost alone."""
     df.write.format("noop").mode("overwrite").save()
+
+
+def append_lines(spark: SparkSession, lines: Sequence[str], folder: str) -> None:
+    """A few driver-side texts as lines of a text file."""
+    rows = spark.createDataFrame([(line,) for line in lines], "value string")
+    rows.coalesce(1).write.mode("append").text(folder)
