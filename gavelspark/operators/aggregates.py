@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import OrderBy, repeat_rows, running_before
+from gavelspark.operators.scan import OrderBy, present, repeat_rows, running_before
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
-BID_ORDER: OrderBy = (("ts", "1 hour"), ("price", 1 << 16), "auction", "bidder")
+# The widths bound a task by an hour of distinct instants or by a million of prices.
+BID_ORDER: OrderBy = (("ts", "1 hour"), ("price", 1 << 20), "auction", "bidder")
 
 
 def bid_counts(bids: DataFrame, size: str = "60 minutes", slide: str = "1 minute") -> DataFrame:
@@ -85,13 +86,15 @@ def avg_of_last_sales(
 def moving_average(
     rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int = SALES_BLOCK
 ) -> DataFrame:
-    """Average over the last ``last`` rows of the key, for every row.
+    """Average over the last ``last`` rows of the key, for every row that has a value.
 
     Rows are numbered by a chunked scan and cut into blocks. Each block also gets the
     ``last - 1`` rows before it, so the frames of a large key run block by block.
     """
     columns = rows.columns
-    numbered = running_before(rows, [key], order_by, {"_n": ("sum", F.lit(1))}).withColumn(
+    # counted by the value: both uses of the rows then need all their columns and share one exchange
+    one = F.when(F.col(value).isNotNull(), F.lit(1))
+    numbered = running_before(present(rows, key, value), [key], order_by, {"_n": ("sum", one)}).withColumn(
         "_n", F.coalesce("_n", F.lit(0))
     )
     own = F.floor(F.col("_n") / block)
@@ -113,16 +116,19 @@ def record_highs(
 
     Earlier means a smaller ``position``, then a smaller price, then ``tie_order``. Within
     one position every price above the past is thus a record, held by its first row: rows
-    are collapsed to (position, price) before anything is ordered.
+    are collapsed to (position, price) before anything is ordered. The peak of a position
+    carries that first row along, only so that both uses of the collapsed rows read the
+    same exchange and the input is computed once.
     """
+    rows = present(rows, key, position, "price")
     firsts = rows.groupBy(key, position, "price").agg(F.min(F.struct(*tie_order)).alias("_first"))
-    peaks = rows.groupBy(key, position).agg(F.max("price").alias("_peak"))
+    peaks = firsts.groupBy(key, position).agg(F.max(F.struct("price", "_first")).alias("_peak"))
     past = running_before(peaks, [key], [(position, chunk)], {"_best": ("max", "_peak")}).select(
-        F.col(key).alias("_key"), F.col(position).alias("_position"), "_best"
-    )
-    records = firsts.join(past, (F.col(key) == F.col("_key")) & (F.col(position) == F.col("_position"))).filter(
-        F.col("_best").isNull() | (F.col("price") > F.col("_best"))
+        F.struct(key, position).alias("_at"), F.col("_best.price").alias("_best")
     )
+    # one struct as the join key: from single columns Spark derives filters for one use of ``firsts`` only
+    above = F.col("_best").isNull() | (F.col("price") > F.col("_best"))
+    records = firsts.join(past, (F.struct(key, position) == F.col("_at")) & above)
     return records.select(key, position, "price", *[F.col(f"_first.{c}").alias(c) for c in tie_order])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
-from gavelspark.operators.scan import OrderBy, running_before
+from gavelspark.operators.scan import OrderBy, present, running_before
 
 SEQ_CHUNK = 1 << 20
 _PERSON_FIELDS = ("name", "city", "state")
@@ -23,7 +23,7 @@ def _tagged(auctions: DataFrame, persons: DataFrame, item_fields: Sequence[str])
     """Both inputs under one key, with their fields in ``item`` or ``person``."""
     a = auctions.select(F.col("seller").alias("key"), "seq", F.struct("seq", *item_fields).alias("item"))
     p = persons.select(F.col("id").alias("key"), "seq", F.struct("seq", *_PERSON_FIELDS).alias("person"))
-    return a.unionByName(p, allowMissingColumns=True)
+    return present(a.unionByName(p, allowMissingColumns=True), "key")
 
 
 def pending_join(

@@ -10,6 +10,8 @@ Groups are then as large as a chunk, whatever the size of the key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,15 @@ def order_levels(df: DataFrame, order_by: OrderBy) -> tuple[DataFrame, list[str]
     return df.withColumn("_rank", F.struct(*tail)), [*levels, "_rank"]
 
 
+def present(df: DataFrame, *names: str) -> DataFrame:
+    """Rows with a value in each of the columns.
+
+    Joins add such filters to their inputs on their own. Asked for beforehand, they are
+    the same in every use of a frame, which lets Spark reuse its exchanges.
+    """
+    return df.filter(reduce(and_, [F.col(name).isNotNull() for name in names]))
+
+
 def running_before(
     rows: DataFrame,
     keys: Sequence[str],
@@ -79,7 +90,9 @@ def _scan(rows: DataFrame, keys: list[str], levels: list[str], inputs: dict[str,
     group = [*keys, *levels[:-1]]
     rows = rows.withColumn("_carried", F.lit(False))
     if len(levels) > 1:
-        sums = rows.groupBy(*group).agg(*[_OPS[op](name).alias(name) for name, op in inputs.items()])
+        # rows without any input change no sum; where one side of a union has none, it is not even read
+        some = reduce(or_, [F.col(name).isNotNull() for name in inputs])
+        sums = rows.filter(some).groupBy(*group).agg(*[_OPS[op](name).alias(name) for name, op in inputs.items()])
         carried = _scan(sums, keys, levels[:-1], inputs).select(
             *group,
             *[F.col(f"_before{name}").alias(name) for name in inputs],

@@ -102,18 +102,23 @@ def records_sql(key: str) -> str:
     WHERE best IS NULL OR price > best"""
 
 
+# Ship dates are whole days: a chunk of an hour would hold one of them.
+_DAYS = "30 days"
+_BY_DAY = (("ts", _DAYS), ("price", 1 << 20), "auction", "bidder")
+
+
 def _joined(spark, sf_dir, key):
     return joins.bid_auction_join(tables.bids(spark, sf_dir), tables.auctions(spark, sf_dir), [key])
 
 
 @query("record_highs_category", records_sql("category"), "bid auction")
 def record_highs_category(spark, sf_dir):
-    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category")
+    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category", chunk=_DAYS)
 
 
 @query("record_highs_seller", records_sql("seller"), "bid auction")
 def record_highs_seller(spark, sf_dir):
-    return aggregates.record_highs(_joined(spark, sf_dir, "seller"), "seller")
+    return aggregates.record_highs(_joined(spark, sf_dir, "seller"), "seller", chunk=_DAYS)
 
 
 def _running_sql(key: str) -> str:
@@ -127,7 +132,7 @@ def _running_sql(key: str) -> str:
 
 @query("running_avg", _running_sql("category"), "bid auction")
 def running_avg(spark, sf_dir):
-    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category")
+    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category", _BY_DAY)
 
 
 @query("running_avg_by_expiry", """
@@ -138,7 +143,7 @@ def running_avg(spark, sf_dir):
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "bid auction")
 def running_avg_by_expiry(spark, sf_dir):
     joined = joins.bid_auction_join(tables.bids(spark, sf_dir), tables.auctions(spark, sf_dir), [])
-    return aggregates.running_average(joined, "expires")
+    return aggregates.running_average(joined, "expires", _BY_DAY)
 
 
 def windowed_avg_sql(key: str, width: str) -> str:

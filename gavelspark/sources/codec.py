@@ -20,17 +20,18 @@ def _parsed(value: str, schema: T.StructType) -> Column:
 def decode(records: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """The events of the records that decode; the others are dropped.
 
-    Fields absent from a record are null, so ``{}`` decodes to an event of nulls.
+    Fields absent from a record are null, so ``{}`` decodes to an event of nulls. The
+    one-element ``inline`` makes Spark parse a record once, not once per use of a field.
     """
-    parsed = records.filter(F.col(value).isNotNull()).select(_parsed(value, schema).alias("event"))
-    good = parsed.filter(F.col(f"event.{_CORRUPT}").isNull())
-    return with_event_time(good.select(*[F.col(f"event.{f.name}").alias(f.name) for f in schema.fields]))
+    parsed = records.filter(F.col(value).isNotNull()).select(F.inline(F.array(_parsed(value, schema))))
+    good = parsed.filter(F.col(_CORRUPT).isNull())
+    return with_event_time(good.drop(_CORRUPT))
 
 
 def dead_letters(records: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """The records ``decode`` drops, unchanged."""
-    broken = F.col(value).isNull() | F.col(f"_event.{_CORRUPT}").isNotNull()
-    return records.withColumn("_event", _parsed(value, schema)).filter(broken).drop("_event")
+    parsed = records.select("*", F.explode(F.array(_parsed(value, schema))).alias("_event"))
+    return parsed.filter(F.col(value).isNull() | F.col(f"_event.{_CORRUPT}").isNotNull()).drop("_event")
 
 
 def decode_bids(records: DataFrame, value: str = "value") -> DataFrame:
