@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,9 +90,8 @@ def _scan(rows: DataFrame, keys: list[str], levels: list[str], inputs: dict[str,
     group = [*keys, *levels[:-1]]
     rows = rows.withColumn("_carried", F.lit(False))
     if len(levels) > 1:
-        # rows without any input change no sum; where one side of a union has none, it is not even read
-        some = reduce(or_, [F.col(name).isNotNull() for name in inputs])
-        sums = rows.filter(some).groupBy(*group).agg(*[_OPS[op](name).alias(name) for name, op in inputs.items()])
+        # a group without any input still needs what came before it
+        sums = rows.groupBy(*group).agg(*[_OPS[op](name).alias(name) for name, op in inputs.items()])
         carried = _scan(sums, keys, levels[:-1], inputs).select(
             *group,
             *[F.col(f"_before{name}").alias(name) for name in inputs],
