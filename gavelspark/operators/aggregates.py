@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import OrderBy, present, repeat_rows, running_before
+from gavelspark.operators.scan import COPY_BLOCK, OrderBy, present, repeat_rows, running_before
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
@@ -133,7 +133,7 @@ def record_highs(
 
 
 def running_average(
-    rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price"
+    rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price", block: int = COPY_BLOCK
 ) -> DataFrame:
     """After every row of a key, the count and average of the values so far.
 
@@ -148,7 +148,7 @@ def running_average(
         groups, [key], order_by,
         {"_n": ("sum", "_copies"), "_sum": ("sum", F.col(value) * F.col("_copies"))},
     )
-    nth = repeat_rows(past, "_copies", "_nth")
+    nth = repeat_rows(past, "_copies", "_nth", block, source=groups)
     n = F.coalesce("_n", F.lit(0)) + F.col("_nth")
     total = F.coalesce("_sum", F.lit(0)) + F.col(value) * F.col("_nth")
     return nth.select(key, *names, n.alias("running_count"), ratio(total, n).alias("running_avg"))

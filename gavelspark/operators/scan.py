@@ -111,20 +111,29 @@ def _scan(rows: DataFrame, keys: list[str], levels: list[str], inputs: dict[str,
 COPY_BLOCK = 1 << 20
 
 
-def repeat_rows(df: DataFrame, copies: str, nth: str, block: int = COPY_BLOCK) -> DataFrame:
+def repeat_rows(
+    df: DataFrame, copies: str, nth: str, block: int = COPY_BLOCK, source: DataFrame | None = None
+) -> DataFrame:
     """Each row ``copies`` times, numbered from 1 in column ``nth``.
 
-    A row with very many copies is cut into blocks that are spread over the tasks.
+    A row with very many copies is cut into blocks that are spread over the tasks. Such
+    rows are rare. ``source``, if given, holds the rows of ``df`` before some costly step
+    that only added columns: when it shows that there are none, Spark leaves out the
+    second use of ``df``.
     """
     few = df.filter(F.col(copies) <= block).withColumn(
         nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
     )
+    many = df.filter(F.col(copies) > block)
+    if source is not None:
+        row = F.struct(*source.columns)
+        hot = source.filter(F.col(copies) > block).select(row.alias("_hot"))
+        many = many.join(hot, row == F.col("_hot"), "left_semi")
     first = F.col("_block") * block
-    many = (
-        df.filter(F.col(copies) > block)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / block))))
+    spread = (
+        many.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / block))))
         .repartition(F.xxhash64(*df.columns, "_block"))
         .withColumn(nth, F.explode(F.sequence(first + 1, F.least(first + block, F.col(copies)))))
         .drop("_block")
     )
-    return few.unionByName(many)
+    return few.unionByName(spread)

@@ -93,13 +93,14 @@ def test_averages_by_seller(spark):
 @pytest.mark.parametrize("order", [
     [("ts", "1 second"), ("price", 2), "bidder"], [("ts", "1 hour"), "price", "bidder"],
 ])
-def test_running_average_with_copies(spark, order):
+@pytest.mark.parametrize("block", [20, 1 << 20])
+def test_running_average_with_copies(spark, order, block):
     rng = random.Random(3)
     rows = [(1 if rng.random() < 0.5 else 2, rng.randrange(6), 1000 * rng.randrange(5)) for _ in range(300)]
     # a third of all rows are copies of one row
     rows += [(1, 3, 2000)] * 150
     df = joined(spark, rows).withColumn("bidder", F.lit(0).cast("long"))
-    got = tuples(aggregates.running_average(df, "key", order), "key", "running_count", "running_avg")
+    got = tuples(aggregates.running_average(df, "key", order, block=block), "key", "running_count", "running_avg")
     want = []
     for key in (1, 2):
         n = total = 0
