@@ -66,8 +66,11 @@ def final_prices(
 
 def avg_price_by_category(bids: DataFrame, auctions: DataFrame, rule: str = IN_LIFETIME) -> DataFrame:
     """Average over its auctions of the highest valid bid, per category."""
-    finals = final_prices(bids, auctions, ["category"], rule)
-    return finals.groupBy("category").agg(
+    return average_price(final_prices(bids, auctions, ["category"], rule), "category")
+
+
+def average_price(finals: DataFrame, key: str) -> DataFrame:
+    return finals.groupBy(key).agg(
         F.count("*").alias("auctions"), ratio(F.sum("final"), F.count("*")).alias("avg_price")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gavelspark.operators import asof, joins
 from gavelspark.plans.registry import query
 from gavelspark.sources import tables
@@ -137,6 +139,25 @@ def bid_auction_buffered_watermark(spark, sf_dir):
     return asof.buffered_join(timed, _arriving_auctions(spark, sf_dir))
 
 
+VERSIONS_SQL = """
+    WITH b AS (SELECT auction, price, ts, 2 * seq AS seq FROM ebid),
+    was AS (SELECT b.*, v.expires AS was_expires, v.seller AS was_seller
+            FROM b ASOF LEFT JOIN version v ON b.auction = v.id AND b.seq >= v.seq),
+    both_ AS (SELECT was.*, v.expires AS next_expires, v.seller AS next_seller
+              FROM was ASOF LEFT JOIN version v ON was.auction = v.id AND was.seq <= v.seq)
+    SELECT auction, price,
+           CASE WHEN was_expires > ts THEN was_expires ELSE next_expires END AS expires,
+           CASE WHEN was_expires > ts THEN was_seller ELSE next_seller END AS seller
+    FROM both_ WHERE coalesce(was_expires > ts, false) OR next_expires IS NOT NULL"""
+
+
+@query("bid_auction_buffered_versions", VERSIONS_SQL, "ebid version")
+def bid_auction_buffered_versions(spark, sf_dir):
+    events = tables.events(spark, sf_dir)
+    bids = tables.event_bids_from(events).withColumn("seq", 2 * F.col("seq"))
+    return asof.buffered_join(bids, tables.event_versions_from(events))
+
+
 def new_sellers_sql(persons: str, auctions: str, width: str) -> str:
     bucket = f"time_bucket(INTERVAL {width}, {{}}.ts, TIMESTAMP '1970-01-01')"
     return f"""

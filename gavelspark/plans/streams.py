@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from gavelspark.operators import aggregates, joins, project, windows
 from gavelspark.plans import aggregates as batch
-from gavelspark.plans.joins import PENDING_SQL, latest_sql, new_sellers_sql
+from gavelspark.plans.joins import PENDING_SQL, VERSIONS_SQL, latest_sql, new_sellers_sql
 from gavelspark.plans.registry import query
 from gavelspark.sources import tables
 from gavelspark.streaming import stateful
-from gavelspark.streaming.run import run_available
+from gavelspark.streaming.run import run_available, run_partials
 from gavelspark.streaming.windows import highest_bids_stream, hot_items_stream
 
 DELAY = "20 seconds"
@@ -150,3 +150,69 @@ def stream_q3_pending_join(spark, sf_dir):
 def stream_q3_latest_join(spark, sf_dir):
     items, persons = _people_and_items(spark, sf_dir)
     return _results(stateful.latest_join_stream(items, persons), "latest")
+
+
+@query("stream_q3_latest_join_prefiltered", latest_sql(True), "item member")
+def stream_q3_latest_join_prefiltered(spark, sf_dir):
+    items, persons = _people_and_items(spark, sf_dir)
+    return _results(stateful.latest_join_stream(items, persons, prefilter=True), "latest")
+
+
+@query("stream_bid_auction_buffered", VERSIONS_SQL, "ebid version")
+def stream_bid_auction_buffered(spark, sf_dir):
+    bids = tables.event_bids_from(_stream(spark, sf_dir, "events")).withColumn("seq", 2 * F.col("seq"))
+    versions = tables.event_versions_from(_stream(spark, sf_dir, "events"))
+    return _results(stateful.buffered_join_stream(bids, versions), "buffered")
+
+
+# Auctions whose end the watermark has passed when the stream has read everything.
+@query("stream_expired_bid_flush", """
+    SELECT b.auction, b.price, b.bidder, b.ts, a.expires, a.category, b.ts < a.expires AS accepted
+    FROM ubid b JOIN cauction a ON b.auction = a.id
+    WHERE b.ts < a.expires OR a.expires <= (SELECT max(ts) FROM events) - INTERVAL 20 SECOND""", "ubid cauction")
+def stream_expired_bid_flush(spark, sf_dir):
+    bids = tables.user_bids_from(_stream(spark, sf_dir, "events"))
+    auctions = tables.customer_auctions_from(_stream(spark, sf_dir, "customer"))
+    return _results(stateful.expiry_timer_stream(bids, auctions, DELAY), "expiry")
+
+
+@query("stream_windowed_avg", _closed(f"""
+    SELECT {batch.bucket('1 DAY')} AS window_start, {batch.bucket('1 DAY')} + INTERVAL 1 DAY AS window_end, auction,
+           count(*) AS n, CAST(sum(price) AS BIGINT) AS total, CAST(sum(price) AS DOUBLE) / count(*) AS avg_price
+    FROM (SELECT *, max(price) OVER (PARTITION BY auction ORDER BY seq
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ebid)
+    WHERE best IS NULL OR price > best GROUP BY ALL"""), "ebid")
+def stream_windowed_avg(spark, sf_dir):
+    bids = _event_bids(spark, sf_dir).select("auction", "seq", "price", "ts")
+    high = stateful.record_highs_stream(bids, "auction", event_time="ts")
+    return _results(aggregates.windowed_average(high, "auction", "1 day"), "windowed-average")
+
+
+@query("stream_q4_avg_price_by_category", """
+    SELECT category, count(*) AS auctions, CAST(sum(final) AS DOUBLE) / count(*) AS avg_price
+    FROM (SELECT a.id, a.category, max(b.price) AS final FROM bid b JOIN auction a ON b.auction = a.id
+          WHERE b.ts BETWEEN a.ts AND a.expires GROUP BY a.id, a.category) GROUP BY category""", "bid auction")
+def stream_q4_avg_price_by_category(spark, sf_dir):
+    bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
+    auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
+    valid = joins.bid_auction_join(bids, auctions, rule=joins.IN_LIFETIME)
+    best = lambda rows: rows.groupBy("auction", "category").agg(F.max("price").alias("price"))
+    finals = best(run_partials(valid, best, "q4"))
+    return aggregates.average_price(finals.withColumnRenamed("price", "final"), "category")
+
+
+@query("stream_q6_last10", """
+    SELECT auction, expires, seller, final, count(*) OVER w AS sales,
+           CAST(sum(final) OVER w AS DOUBLE) / count(*) OVER w AS avg_final
+    FROM (SELECT b.auction, a.expires, a.seller, max(b.price) AS final
+          FROM bid b JOIN auction a ON b.auction = a.id
+          WHERE b.ts < a.expires
+            AND a.expires <= least((SELECT max(ts) FROM bid), (SELECT max(expires) FROM auction)) - INTERVAL 12 HOUR
+          GROUP BY ALL)
+    WINDOW w AS (PARTITION BY seller ORDER BY expires, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    "bid auction")
+def stream_q6_last10(spark, sf_dir):
+    bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
+    auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
+    finals = stateful.closed_auction_prices(bids, auctions, "12 hours")
+    return _results(stateful.last_sales_stream(finals), "last-sales")

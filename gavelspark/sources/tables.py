@@ -95,6 +95,37 @@ def event_auctions_from(events: DataFrame) -> DataFrame:
     )
 
 
+def event_versions_from(events: DataFrame) -> DataFrame:
+    """Every sign-up as a new version of one of the twenty auctions, half a step before its bid."""
+    return events.filter(F.col("event_type") == "signup").select(
+        (F.col("user_id") % 20).alias("id"),
+        (2 * F.col("event_id") - 1).alias("seq"),
+        F.col("user_id").alias("seller"),
+        "ts",
+        (F.col("ts") + F.make_dt_interval(hours=F.lit(6))).alias("expires"),
+    )
+
+
+def user_bids_from(events: DataFrame) -> DataFrame:
+    """Every event as a bid on the auction numbered like its user."""
+    return events.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("auction"), F.col("event_id").alias("bidder"),
+        minor_units("value").alias("price"), "ts",
+    )
+
+
+def customer_auctions_from(customer: DataFrame) -> DataFrame:
+    """One auction per customer, all opened together and over at noon of one of thirty days."""
+    opened = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    return customer.select(
+        F.col("c_custkey").alias("id"),
+        F.lit(0).cast("long").alias("seq"),
+        F.col("c_nationkey").cast("long").alias("category"),
+        opened.alias("ts"),
+        (opened + _days(F.col("c_custkey") * 37 % 30) + F.make_dt_interval(hours=F.lit(12))).alias("expires"),
+    )
+
+
 def event_items_from(events: DataFrame) -> DataFrame:
     """Purchases as auctions opened by the user, ordered by ``seq``."""
     return events.filter(F.col("event_type") == "purchase").select(
@@ -177,6 +208,17 @@ SQL_VIEWS = {
         SELECT user_id % 20 AS id, min(event_id) AS seq, min_by(user_id, event_id) AS seller,
                min_by(ts, event_id) AS ts, min_by(ts, event_id) + INTERVAL 15 DAY AS expires
         FROM events WHERE event_type = 'signup' GROUP BY user_id % 20""",
+    "version": """
+        SELECT user_id % 20 AS id, 2 * event_id - 1 AS seq, user_id AS seller, ts, ts + INTERVAL 6 HOUR AS expires
+        FROM events WHERE event_type = 'signup'""",
+    "ubid": """
+        SELECT event_id AS seq, user_id AS auction, event_id AS bidder,
+               CAST(round(value * 100) AS BIGINT) AS price, ts
+        FROM events""",
+    "cauction": """
+        SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS category, TIMESTAMP '2024-01-01' AS ts,
+               TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(c_custkey * 37 % 30 AS INTEGER)) AS expires
+        FROM customer""",
     "item": """
         SELECT event_id AS seq, event_id AS id, user_id AS seller,
                CAST(CASE WHEN event_id % 2 = 0 THEN 10 ELSE 9 END AS BIGINT) AS category,

@@ -14,6 +14,11 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOWEST = np.iinfo(np.int64).min
+MILLI = 1000  # event times are microseconds, watermarks and timers are milliseconds
+
+
+def _up_to_millis(micros: int) -> int:
+    return -(-micros // MILLI)
 
 
 def _in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
@@ -175,7 +180,7 @@ class BufferedJoin(StatefulProcessor):
         self._use_watermark = use_watermark
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._auction = handle.getValueState("auction", "expires_ms long, kept long")
+        self._auction = handle.getValueState("auction", "expires_us long, kept long")
         self._waiting = handle.getListState("waiting", "price long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -183,18 +188,18 @@ class BufferedJoin(StatefulProcessor):
         known = self._auction.exists()
         if known:
             expires, kept = self._auction.get()
-            first = {"is_auction": True, "price": 0, "ts_ms": 0, "expires_ms": expires, "kept": kept}
+            first = {"is_auction": True, "price": 0, "ts_us": 0, "expires_us": expires, "kept": kept}
             batch = pd.concat([pd.DataFrame([first]), batch], ignore_index=True)
         is_auction = batch["is_auction"].to_numpy(dtype=bool)
-        expires = batch["expires_ms"].to_numpy(dtype=np.int64)
+        expires = batch["expires_us"].to_numpy(dtype=np.int64)
         kept = batch["kept"].to_numpy(dtype=np.int64)
         price = batch["price"].to_numpy(dtype=np.int64)
         last, following = _last_at(is_auction), _next_at(is_auction)
 
         end = np.where(last >= 0, expires[last], LOWEST)
-        live = ~is_auction & (end > batch["ts_ms"].to_numpy(dtype=np.int64))
+        live = ~is_auction & (end > batch["ts_us"].to_numpy(dtype=np.int64))
         if self._use_watermark:
-            live &= end > timerValues.getCurrentWatermarkInMs()
+            live &= end > timerValues.getCurrentWatermarkInMs() * MILLI
         released = ~is_auction & ~live & (following < len(batch))
         meets = np.where(live, last, np.minimum(following, len(batch) - 1))
         out = live | released
@@ -214,7 +219,7 @@ class BufferedJoin(StatefulProcessor):
 
     @staticmethod
     def _joined(auction, price, expires, kept) -> pd.DataFrame:
-        return pd.DataFrame({"auction": auction, "price": price, "expires_ms": expires, "kept": kept})
+        return pd.DataFrame({"auction": auction, "price": price, "expires_us": expires, "kept": kept})
 
 
 class ExpiryTimer(StatefulProcessor):
@@ -226,23 +231,23 @@ class ExpiryTimer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._auction = handle.getValueState("auction", "expires_ms long, kept long, over boolean")
-        self._waiting = handle.getListState("waiting", "price long, bidder long, ts_ms long")
+        self._auction = handle.getValueState("auction", "expires_us long, kept long, over boolean")
+        self._waiting = handle.getListState("waiting", "price long, bidder long, ts_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["seq"])
-        auctions, bids = batch[batch["is_auction"]], batch[~batch["is_auction"]][["price", "bidder", "ts_ms"]]
+        auctions, bids = batch[batch["is_auction"]], batch[~batch["is_auction"]][["price", "bidder", "ts_us"]]
         if len(auctions):
             newest = auctions.iloc[-1]
-            self._auction.update((int(newest["expires_ms"]), int(newest["kept"]), False))
-            self._handle.registerTimer(int(newest["expires_ms"]))
+            self._auction.update((int(newest["expires_us"]), int(newest["kept"]), False))
+            self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
             bids = pd.concat([self._held(), bids], ignore_index=True)
             self._waiting.clear()
         if not self._auction.exists():
             self._hold(bids)
             return
         expires, kept, over = self._auction.get()
-        in_time = bids["ts_ms"] < expires
+        in_time = bids["ts_us"] < expires
         yield self._marked(key, bids[in_time], expires, kept, True)
         if over:
             yield self._marked(key, bids[~in_time], expires, kept, False)
@@ -251,7 +256,7 @@ class ExpiryTimer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         expires, kept, _ = self._auction.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < expires:
+        if expiredTimerInfo.getExpiryTimeInMs() < _up_to_millis(expires):
             return  # the end was moved since
         self._auction.update((expires, kept, True))
         held = self._held()
@@ -260,7 +265,7 @@ class ExpiryTimer(StatefulProcessor):
 
     def _held(self) -> pd.DataFrame:
         held = list(self._waiting.get()) if self._waiting.exists() else []
-        return pd.DataFrame(held, columns=["price", "bidder", "ts_ms"]).astype("int64")
+        return pd.DataFrame(held, columns=["price", "bidder", "ts_us"]).astype("int64")
 
     def _hold(self, bids: pd.DataFrame) -> None:
         if len(bids):
@@ -268,6 +273,6 @@ class ExpiryTimer(StatefulProcessor):
 
     @staticmethod
     def _marked(key, bids, expires, kept, accepted) -> pd.DataFrame:
-        return bids.assign(auction=key[0], expires_ms=expires, kept=kept, accepted=accepted)[
-            ["auction", "price", "bidder", "ts_ms", "expires_ms", "kept", "accepted"]
+        return bids.assign(auction=key[0], expires_us=expires, kept=kept, accepted=accepted)[
+            ["auction", "price", "bidder", "ts_us", "expires_us", "kept", "accepted"]
         ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,33 @@ def run_available(stream: DataFrame, label: str, folder: str | None = None) -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_partials(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], label: str, folder: str | None = None
+) -> DataFrame:
+    """Aggregate each micro-batch on its own; the partial results of all batches as a batch frame.
+
+    A batch that is run again overwrites its own part. Whoever reads the parts merges them,
+    which is all that sums, counts, minima and maxima need.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, label)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataStreamWriter:
+    """Results as the temporary view ``name``. They end up on the driver: for small checks only."""
+    return stream.writeStream.format("memory").queryName(name).outputMode(mode)
+
+
 def checkpointed(writer: DataStreamWriter, folder: str, interval: str = "10 seconds") -> DataStreamWriter:
     """A running stream that commits its progress and state every ``interval``."""
     return writer.option("checkpointLocation", folder).trigger(processingTime=interval)

@@ -8,19 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
-from gavelspark.schema import epoch_millis
 from gavelspark.streaming import processors
 
 
-def record_highs_stream(rows: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(
-        processors.RecordHighs(list(order)), rows.schema, "Append", "None"
-    )
+def record_highs_stream(
+    rows: DataFrame, key: str, order: Sequence[str] = ("seq",), event_time: str | None = None
+) -> DataFrame:
+    """With ``event_time``, a watermarked column, the result can go on into windows."""
+    grouped, processor = rows.groupBy(key), processors.RecordHighs(list(order))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    if event_time:
+        return grouped.transformWithStateInPandas(
+            processor, schema, "Append", "EventTime", eventTimeColumnName=event_time
+        )
+    return grouped.transformWithStateInPandas(processor, schema, "Append", "None")
 
 
 def running_average_stream(rows: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -40,6 +46,19 @@ def last_sales_stream(
     )
 
 
+def closed_auction_prices(bids: DataFrame, auctions: DataFrame, delay: str) -> DataFrame:
+    """Highest bid before its end of each auction that is over.
+
+    The end is the auctions' event time: no more bids can come for an auction once the
+    watermark has passed its end, and its result is then final.
+    """
+    offers = bids.select("auction", "price", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    ends = auctions.select(F.col("id").alias("auction_id"), "seller", F.col("expires").cast("timestamp").alias("expires"))
+    ends = ends.withWatermark("expires", delay)
+    valid = offers.join(ends, (F.col("auction") == F.col("auction_id")) & (F.col("ts") < F.col("expires")))
+    return valid.groupBy("auction", "seller", "expires").agg(F.max("price").alias("final"))
+
+
 _LOCAL_ITEM = "name string, city string, state string, id long"
 
 
@@ -73,22 +92,26 @@ def latest_join_stream(
     )
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def _offers(bids: DataFrame, auctions: DataFrame, keep: str) -> DataFrame:
     """Bids and auctions as one input; ``ts`` is kept for the watermark."""
     none = F.lit(0).cast("long")
     b = bids.select(
         F.col("auction").alias("key"), "seq", F.lit(False).alias("is_auction"), "price", "bidder",
-        epoch_millis("ts").alias("ts_ms"), none.alias("expires_ms"), none.alias("kept"), F.col("ts"),
+        _micros("ts").alias("ts_us"), none.alias("expires_us"), none.alias("kept"), F.col("ts"),
     )
     a = auctions.select(
         F.col("id").alias("key"), "seq", F.lit(True).alias("is_auction"), none.alias("price"), none.alias("bidder"),
-        none.alias("ts_ms"), epoch_millis("expires").alias("expires_ms"), F.col(keep).alias("kept"), F.col("ts"),
+        none.alias("ts_us"), _micros("expires").alias("expires_us"), F.col(keep).alias("kept"), F.col("ts"),
     )
     return b.unionByName(a)
 
 
 def _with_expiry(joined: DataFrame, keep: str) -> DataFrame:
-    return joined.withColumn("expires", F.timestamp_millis("expires_ms")).withColumnRenamed("kept", keep).drop("expires_ms")
+    return joined.withColumn("expires", F.timestamp_micros("expires_us")).withColumnRenamed("kept", keep).drop("expires_us")
 
 
 def buffered_join_stream(
@@ -99,7 +122,7 @@ def buffered_join_stream(
     if delay:
         both = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     joined = both.groupBy("key").transformWithStateInPandas(
-        processors.BufferedJoin(delay is not None), "auction long, price long, expires_ms long, kept long",
+        processors.BufferedJoin(delay is not None), "auction long, price long, expires_us long, kept long",
         "Append", "EventTime" if delay else "None",
     )
     return _with_expiry(joined, keep)
@@ -110,7 +133,7 @@ def expiry_timer_stream(bids: DataFrame, auctions: DataFrame, delay: str, keep:
     both = _offers(bids, auctions, keep).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     joined = both.groupBy("key").transformWithStateInPandas(
         processors.ExpiryTimer(),
-        "auction long, price long, bidder long, ts_ms long, expires_ms long, kept long, accepted boolean",
+        "auction long, price long, bidder long, ts_us long, expires_us long, kept long, accepted boolean",
         "Append", "EventTime",
     )
-    return _with_expiry(joined, keep).withColumn("ts", F.timestamp_millis("ts_ms")).drop("ts_ms")
+    return _with_expiry(joined, keep).withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
