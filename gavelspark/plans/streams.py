@@ -29,8 +29,12 @@ def _stream(spark, sf_dir, table):
     return tables.stream_table(spark, sf_dir, table)
 
 
-def _event_bids(spark, sf_dir, delay=DELAY):
-    return windows.with_watermark(tables.event_bids_from(_stream(spark, sf_dir, "events")), delay)
+def _keyed(spark, sf_dir, table):
+    return tables.stream_table(spark, sf_dir, table, tables.KEYED_BATCH)
+
+
+def _event_bids(spark, sf_dir, source=_stream):
+    return windows.with_watermark(tables.event_bids_from(source(spark, sf_dir, "events")), DELAY)
 
 
 def _zone_free(df):
@@ -114,7 +118,7 @@ def record_highs_by_arrival(spark, sf_dir):
 
 @query("stream_record_highs", _SEQ_RECORDS, "ebid")
 def stream_record_highs(spark, sf_dir):
-    bids = tables.event_bids_from(_stream(spark, sf_dir, "events")).select("auction", "seq", "price", "bidder")
+    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).select("auction", "seq", "price", "bidder")
     return _results(stateful.record_highs_stream(bids, "auction"), "records")
 
 
@@ -131,13 +135,13 @@ def running_avg_by_arrival(spark, sf_dir):
 
 @query("stream_running_avg", _SEQ_RUNNING, "ebid")
 def stream_running_avg(spark, sf_dir):
-    bids = tables.event_bids_from(_stream(spark, sf_dir, "events")).select("auction", "seq", "price")
+    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).select("auction", "seq", "price")
     return _results(stateful.running_average_stream(bids, "auction"), "running")
 
 
 def _people_and_items(spark, sf_dir):
-    persons = tables.event_persons_from(_stream(spark, sf_dir, "events"))
-    return tables.event_items_from(_stream(spark, sf_dir, "events")), persons
+    persons = tables.event_persons_from(_keyed(spark, sf_dir, "events"))
+    return tables.event_items_from(_keyed(spark, sf_dir, "events")), persons
 
 
 @query("stream_q3_pending_join", PENDING_SQL, "item member")
@@ -160,8 +164,8 @@ def stream_q3_latest_join_prefiltered(spark, sf_dir):
 
 @query("stream_bid_auction_buffered", VERSIONS_SQL, "ebid version")
 def stream_bid_auction_buffered(spark, sf_dir):
-    bids = tables.event_bids_from(_stream(spark, sf_dir, "events")).withColumn("seq", 2 * F.col("seq"))
-    versions = tables.event_versions_from(_stream(spark, sf_dir, "events"))
+    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).withColumn("seq", 2 * F.col("seq"))
+    versions = tables.event_versions_from(_keyed(spark, sf_dir, "events"))
     return _results(stateful.buffered_join_stream(bids, versions), "buffered")
 
 
@@ -171,8 +175,8 @@ def stream_bid_auction_buffered(spark, sf_dir):
     FROM ubid b JOIN cauction a ON b.auction = a.id
     WHERE b.ts < a.expires OR a.expires <= (SELECT max(ts) FROM events) - INTERVAL 20 SECOND""", "ubid cauction")
 def stream_expired_bid_flush(spark, sf_dir):
-    bids = tables.user_bids_from(_stream(spark, sf_dir, "events"))
-    auctions = tables.customer_auctions_from(_stream(spark, sf_dir, "customer"))
+    bids = tables.user_bids_from(_keyed(spark, sf_dir, "events"))
+    auctions = tables.customer_auctions_from(_keyed(spark, sf_dir, "customer"))
     return _results(stateful.expiry_timer_stream(bids, auctions, DELAY), "expiry")
 
 
@@ -183,7 +187,7 @@ def stream_expired_bid_flush(spark, sf_dir):
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ebid)
     WHERE best IS NULL OR price > best GROUP BY ALL"""), "ebid")
 def stream_windowed_avg(spark, sf_dir):
-    bids = _event_bids(spark, sf_dir).select("auction", "seq", "price", "ts")
+    bids = _event_bids(spark, sf_dir, _keyed).select("auction", "seq", "price", "ts")
     high = stateful.record_highs_stream(bids, "auction", event_time="ts")
     return _results(aggregates.windowed_average(high, "auction", "1 day"), "windowed-average")
 
@@ -212,7 +216,7 @@ def stream_q4_avg_price_by_category(spark, sf_dir):
     WINDOW w AS (PARTITION BY seller ORDER BY expires, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     "bid auction")
 def stream_q6_last10(spark, sf_dir):
-    bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
-    auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
+    bids = tables.bids_from(_keyed(spark, sf_dir, "lineitem"))
+    auctions = tables.auctions_from(_keyed(spark, sf_dir, "orders"))
     finals = stateful.closed_auction_prices(bids, auctions, "12 hours")
     return _results(stateful.last_sales_stream(finals), "last-sales")

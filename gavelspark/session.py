@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a hot join key is split even when the next step needs one more exchange for it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a join side is broadcast if it turns out to be small, checked at run time
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     # keyed state spills to disk instead of living on the heap
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }

@@ -13,13 +13,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """The table's files as a stream; a micro-batch takes a bounded number of them."""
+# Bytes of input files per micro-batch. Keyed state machines hold what one key brings in a
+# micro-batch in memory, and one key may bring much of it.
+WINDOW_BATCH = 1 << 40
+KEYED_BATCH = 1 << 30
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = WINDOW_BATCH) -> DataFrame:
+    """The table's files as a stream; a micro-batch takes a bounded part of them."""
     schema = read_table(spark, sf_dir, name).schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxBytesPerTrigger", batch_bytes)
         .parquet(sf_dir)
     )
 

@@ -1,13 +1,15 @@
 """Keyed state machines over Arrow batches.
 
 Rows of a key come without order, so each micro-batch is sorted by ``seq`` here. What a
-key can bring per micro-batch is bounded by the source's per-trigger limit; state beyond
-one row per key (waiting ids, buffered bids) lives in the state store, not on the heap.
+key can bring per micro-batch is bounded by the source's per-trigger limit. State beyond
+one row per key (waiting ids, buffered bids) has no such bound: it lives in the state
+store and is read and passed on in slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,16 @@ def _in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFram
     return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
 
 
+SLICE = 100_000
+
+
+def _slices(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows of a state, a bounded number at a time."""
+    rows = iter(rows)
+    while part := list(islice(rows, SLICE)):
+        yield part
+
+
 def _last_at(flags: np.ndarray) -> np.ndarray:
     """Position of the last flagged row up to each row, -1 before the first."""
     return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
@@ -120,20 +132,26 @@ class PendingJoin(StatefulProcessor):
         persons = batch[PERSON_FIELDS]
         yield persons.iloc[last[met]].assign(id=batch["id"].to_numpy()[met])
 
-        early = batch["id"].to_numpy()[~is_person & (last < 0)]
-        if not is_person.any():
-            for auction in np.unique(early):
+        early = np.unique(batch["id"].to_numpy(dtype=np.int64)[~is_person & (last < 0)])
+        held = self._waiting.exists()
+        if held or not is_person.any():
+            for auction in early:
                 self._waiting.updateValue((int(auction),), (True,))
+        if not is_person.any():
             return
-        held = [row[0] for row in self._waiting.keys()]
-        released = np.unique(np.concatenate((np.array(held, dtype=np.int64), early.astype(np.int64))))
-        if len(released):
-            first = persons.iloc[int(np.argmax(is_person))]
-            yield pd.DataFrame({f: first[f] for f in PERSON_FIELDS} | {"id": released})
+        first = persons.iloc[int(np.argmax(is_person))]
         if held:
+            for part in _slices(self._waiting.keys()):
+                yield self._released(first, [row[0] for row in part])
             self._waiting.clear()
+        elif len(early):
+            yield self._released(first, early)
         self._person.update(tuple(persons.iloc[last[-1]]))
 
+    @staticmethod
+    def _released(person, auctions) -> pd.DataFrame:
+        return pd.DataFrame({f: person[f] for f in PERSON_FIELDS} | {"id": auctions})
+
 
 class LatestJoin(StatefulProcessor):
     """The latest auction and the latest person, at each arrival of either."""
@@ -207,9 +225,10 @@ class BufferedJoin(StatefulProcessor):
 
         arrived = np.flatnonzero(is_auction[1 if known else 0:]) + (1 if known else 0)
         if len(arrived) and self._waiting.exists():
-            held = np.array([row[0] for row in self._waiting.get()], dtype=np.int64)
-            ones = np.ones(len(held), dtype=np.int64)
-            yield self._joined(key[0], held, expires[arrived[0]] * ones, kept[arrived[0]] * ones)
+            for part in _slices(self._waiting.get()):
+                held = np.array([row[0] for row in part], dtype=np.int64)
+                ones = np.ones(len(held), dtype=np.int64)
+                yield self._joined(key[0], held, expires[arrived[0]] * ones, kept[arrived[0]] * ones)
             self._waiting.clear()
         waits = ~is_auction & ~live & ~released
         if waits.any():
@@ -222,6 +241,9 @@ class BufferedJoin(StatefulProcessor):
         return pd.DataFrame({"auction": auction, "price": price, "expires_us": expires, "kept": kept})
 
 
+BID_FIELDS = ["price", "bidder", "ts_us"]
+
+
 class ExpiryTimer(StatefulProcessor):
     """Bids before their auction's end at once, the others when its end passes.
 
@@ -232,44 +254,54 @@ class ExpiryTimer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._auction = handle.getValueState("auction", "expires_us long, kept long, over boolean")
-        self._waiting = handle.getListState("waiting", "price long, bidder long, ts_us long")
+        # bids of an auction that is not known yet, and bids that wait for the timer
+        self._early = handle.getListState("early", "price long, bidder long, ts_us long")
+        self._left = handle.getListState("left", "price long, bidder long, ts_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["seq"])
-        auctions, bids = batch[batch["is_auction"]], batch[~batch["is_auction"]][["price", "bidder", "ts_us"]]
+        auctions, bids = batch[batch["is_auction"]], batch[~batch["is_auction"]][BID_FIELDS]
         if len(auctions):
             newest = auctions.iloc[-1]
             self._auction.update((int(newest["expires_us"]), int(newest["kept"]), False))
             self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
-            bids = pd.concat([self._held(), bids], ignore_index=True)
-            self._waiting.clear()
-        if not self._auction.exists():
-            self._hold(bids)
-            return
-        expires, kept, over = self._auction.get()
-        in_time = bids["ts_us"] < expires
-        yield self._marked(key, bids[in_time], expires, kept, True)
-        if over:
-            yield self._marked(key, bids[~in_time], expires, kept, False)
+            if self._early.exists():
+                for part in self._held(self._early):
+                    yield from self._told_apart(key, part)
+                self._early.clear()
+        if self._auction.exists():
+            yield from self._told_apart(key, bids)
         else:
-            self._hold(bids[~in_time])
+            self._hold(self._early, bids)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         expires, kept, _ = self._auction.get()
         if expiredTimerInfo.getExpiryTimeInMs() < _up_to_millis(expires):
             return  # the end was moved since
         self._auction.update((expires, kept, True))
-        held = self._held()
-        self._waiting.clear()
-        yield self._marked(key, held, expires, kept, False)
+        if self._left.exists():
+            for part in self._held(self._left):
+                yield self._marked(key, part, expires, kept, False)
+            self._left.clear()
 
-    def _held(self) -> pd.DataFrame:
-        held = list(self._waiting.get()) if self._waiting.exists() else []
-        return pd.DataFrame(held, columns=["price", "bidder", "ts_us"]).astype("int64")
+    def _told_apart(self, key, bids: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        expires, kept, over = self._auction.get()
+        in_time = bids["ts_us"] < expires
+        yield self._marked(key, bids[in_time], expires, kept, True)
+        if over:
+            yield self._marked(key, bids[~in_time], expires, kept, False)
+        else:
+            self._hold(self._left, bids[~in_time])
 
-    def _hold(self, bids: pd.DataFrame) -> None:
+    @staticmethod
+    def _held(state) -> Iterator[pd.DataFrame]:
+        for part in _slices(state.get()):
+            yield pd.DataFrame(part, columns=BID_FIELDS).astype("int64")
+
+    @staticmethod
+    def _hold(state, bids: pd.DataFrame) -> None:
         if len(bids):
-            self._waiting.appendList([tuple(int(v) for v in row) for row in bids.itertuples(index=False)])
+            state.appendList([tuple(int(v) for v in row) for row in bids.itertuples(index=False)])
 
     @staticmethod
     def _marked(key, bids, expires, kept, accepted) -> pd.DataFrame:
