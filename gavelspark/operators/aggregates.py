@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import COPY_BLOCK, OrderBy, present, repeat_rows, running_before
+from gavelspark.operators.scan import COPY_BLOCK, HOT_ROWS, OrderBy, present, repeat_rows, running_before, split_keys
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
@@ -87,7 +87,8 @@ def avg_of_last_sales(
 
 
 def moving_average(
-    rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int = SALES_BLOCK
+    rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int = SALES_BLOCK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Average over the last ``last`` rows of the key, for every row that has a value.
 
@@ -97,9 +98,9 @@ def moving_average(
     columns = rows.columns
     # counted by the value: both uses of the rows then need all their columns and share one exchange
     one = F.when(F.col(value).isNotNull(), F.lit(1))
-    numbered = running_before(present(rows, key, value), [key], order_by, {"_n": ("sum", one)}).withColumn(
-        "_n", F.coalesce("_n", F.lit(0))
-    )
+    numbered = running_before(
+        present(rows, key, value), [key], order_by, {"_n": ("sum", one)}, hot_rows, weight=one
+    ).withColumn("_n", F.coalesce("_n", F.lit(0)))
     own = F.floor(F.col("_n") / block)
     # the last rows of a block also lead in the next one
     leads = F.when(F.pmod(F.col("_n"), F.lit(block)) >= block - (last - 1), F.array(own, own + 1)).otherwise(F.array(own))
@@ -113,20 +114,39 @@ def moving_average(
 
 def record_highs(
     rows: DataFrame, key: str, position: str = "ts", chunk: int | str = "1 hour",
-    tie_order: Sequence[str] = ("auction", "bidder"),
+    tie_order: Sequence[str] = ("auction", "bidder"), hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The rows whose price is above every earlier price of their key.
 
-    Earlier means a smaller ``position``, then a smaller price, then ``tie_order``. Within
-    one position every price above the past is thus a record, held by its first row: rows
-    are collapsed to (position, price) before anything is ordered. The peak of a position
-    carries that first row along, only so that both uses of the collapsed rows read the
-    same exchange and the input is computed once.
+    Earlier means a smaller ``position``, then a smaller price, then ``tie_order``. With
+    ``hot_rows`` None all keys are taken as hot.
     """
     rows = present(rows, key, position, "price")
+    if hot_rows is None:
+        return _record_highs_of_hot(rows, key, position, chunk, tie_order)
+    cold, hot = split_keys(rows, [key], hot_rows)
+    earlier = (
+        Window.partitionBy(key).orderBy(position, "price", *tie_order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    best = F.max("price").over(earlier)
+    records = cold.withColumn("_best", best).filter(F.col("_best").isNull() | (F.col("price") > F.col("_best")))
+    return records.select(key, position, "price", *tie_order).unionByName(
+        _record_highs_of_hot(hot, key, position, chunk, tie_order)
+    )
+
+
+def _record_highs_of_hot(
+    rows: DataFrame, key: str, position: str, chunk: int | str, tie_order: Sequence[str]
+) -> DataFrame:
+    """Within one position every price above the past is a record, held by its first row.
+
+    So rows are collapsed to (position, price) before anything is ordered. The peak of a
+    position carries its first row along, only so that both uses of the collapsed rows
+    read the same exchange and the input is computed once.
+    """
     firsts = rows.groupBy(key, position, "price").agg(F.min(F.struct(*tie_order)).alias("_first"))
     peaks = firsts.groupBy(key, position).agg(F.max(F.struct("price", "_first")).alias("_peak"))
-    past = running_before(peaks, [key], [(position, chunk)], {"_best": ("max", "_peak")}).select(
+    past = running_before(peaks, [key], [(position, chunk)], {"_best": ("max", "_peak")}, hot_rows=None).select(
         F.struct(key, position).alias("_at"), F.col("_best.price").alias("_best")
     )
     # one struct as the join key: from single columns Spark derives filters for one use of ``firsts`` only
@@ -136,7 +156,8 @@ def record_highs(
 
 
 def running_average(
-    rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price", block: int = COPY_BLOCK
+    rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price", block: int = COPY_BLOCK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """After every row of a key, the count and average of the values so far.
 
@@ -150,6 +171,7 @@ def running_average(
     past = running_before(
         groups, [key], order_by,
         {"_n": ("sum", "_copies"), "_sum": ("sum", F.col(value) * F.col("_copies"))},
+        hot_rows, weight=F.col("_copies"),
     )
     nth = repeat_rows(past, "_copies", "_nth", block, source=groups)
     n = F.coalesce("_n", F.lit(0)) + F.col("_nth")

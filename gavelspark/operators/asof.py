@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
-from gavelspark.operators.scan import OrderBy, present, running_before
+from gavelspark.operators.scan import HOT_ROWS, OrderBy, present, running_before
 
 SEQ_CHUNK = 1 << 20
 _PERSON_FIELDS = ("name", "city", "state")
@@ -27,7 +27,8 @@ def _tagged(auctions: DataFrame, persons: DataFrame, item_fields: Sequence[str])
 
 
 def pending_join(
-    auctions: DataFrame, persons: DataFrame, states: Sequence[str] = LOCAL_STATES, chunk: int = SEQ_CHUNK
+    auctions: DataFrame, persons: DataFrame, states: Sequence[str] = LOCAL_STATES, chunk: int = SEQ_CHUNK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Every auction once, with the seller as known at that moment.
 
@@ -36,7 +37,7 @@ def pending_join(
     """
     persons = in_states(persons, states)
     history = _tagged(auctions, persons, ["id"])
-    known = running_before(history, ["key"], [("seq", chunk)], {"known": ("max", "person")}).filter(
+    known = running_before(history, ["key"], [("seq", chunk)], {"known": ("max", "person")}, hot_rows).filter(
         F.col("item").isNotNull()
     )
     at_once = known.filter(F.col("known").isNotNull()).select(
@@ -55,6 +56,7 @@ def pending_join(
 def latest_join(
     auctions: DataFrame, persons: DataFrame, category: int = LOCAL_CATEGORY,
     states: Sequence[str] = LOCAL_STATES, prefilter: bool = False, chunk: int = SEQ_CHUNK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The latest auction and the latest person of a seller, at each arrival of either.
 
@@ -65,7 +67,8 @@ def latest_join(
         persons = in_states(persons, states)
     history = _tagged(auctions, persons, ["id", "category"])
     seen = running_before(
-        history, ["key"], [("seq", chunk)], {"last_item": ("max", "item"), "last_person": ("max", "person")}
+        history, ["key"], [("seq", chunk)], {"last_item": ("max", "item"), "last_person": ("max", "person")},
+        hot_rows,
     )
     pairs = seen.select(
         F.coalesce("item", "last_item").alias("item"), F.coalesce("person", "last_person").alias("person")
@@ -85,7 +88,8 @@ def with_arrival_watermark(
 
 
 def buffered_join(
-    bids: DataFrame, auctions: DataFrame, keep: Sequence[str] = ("seller",), chunk: int = SEQ_CHUNK
+    bids: DataFrame, auctions: DataFrame, keep: Sequence[str] = ("seller",), chunk: int = SEQ_CHUNK,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Bids that wait for their auction, and bids on a live one.
 
@@ -104,9 +108,10 @@ def buffered_join(
     upcoming = back.withColumn(
         "_upcoming", F.struct((-F.col("item.seq")).alias("order"), F.col("item").alias("item"))
     ).withColumn("_upcoming", F.when(F.col("item").isNotNull(), F.col("_upcoming")))
-    nexts = running_before(upcoming, ["key"], [("_back", chunk)], {"_next": ("max", "_upcoming")})
+    nexts = running_before(upcoming, ["key"], [("_back", chunk)], {"_next": ("max", "_upcoming")}, hot_rows)
     both = running_before(
-        nexts.select("key", "seq", "bid", "item", "_next"), ["key"], [("seq", chunk)], {"_last": ("max", "item")}
+        nexts.select("key", "seq", "bid", "item", "_next"), ["key"], [("seq", chunk)], {"_last": ("max", "item")},
+        hot_rows,
     ).filter(F.col("bid").isNotNull())
     live = F.col("_last").isNotNull() & (F.col("_last.expires") > F.col("bid.ts"))
     if has_watermark:

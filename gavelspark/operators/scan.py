@@ -1,10 +1,13 @@
 """Running totals that no single task has to hold.
 
 ``Window.partitionBy(key).orderBy(...)`` puts all rows of a key into one task, so one
-key with a third of the rows, or no key at all, ends the job. Here the order of a key is
+key with a third of the rows, or no key at all, ends the job. The order of such a key is
 cut into nested chunks instead. Each chunk is summed up on its own, the sums are scanned
 one level up (again in chunks), and what came before a chunk enters it as one more row.
 Groups are then as large as a chunk, whatever the size of the key.
+
+For keys of a few rows the sums would be as many as the rows. So rows are counted by key
+first, and only hot keys go through the chunks; the others take the plain window.
 """
 
 from __future__ import annotations
@@ -66,17 +69,59 @@ def present(df: DataFrame, *names: str) -> DataFrame:
     return df.filter(reduce(and_, [F.col(name).isNotNull() for name in names]))
 
 
+# Rows of a key that one task may hold.
+HOT_ROWS = 1 << 22
+
+
+def split_keys(
+    rows: DataFrame, keys: Sequence[str], hot_rows: int, weight: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary keys, and those of keys with more than ``hot_rows`` rows.
+
+    ``weight`` counts a row as several. There is at most one hot key per ``hot_rows`` rows,
+    a million in 4 * 10^12: their list is broadcast. If it is empty, Spark does not run
+    what is built on the hot rows.
+    """
+    total = F.count("*") if weight is None else F.sum(weight)
+    # compared as one struct: from single columns Spark derives filters that set the uses of ``rows`` apart
+    key = F.struct(*keys)
+    hot = F.broadcast(rows.groupBy(*keys).agg(total.alias("_rows")).filter(F.col("_rows") > hot_rows).select(key.alias("_hot")))
+    is_hot = key == F.col("_hot")
+    return rows.join(hot, is_hot, "left_anti"), rows.join(hot, is_hot, "left_semi")
+
+
 def running_before(
     rows: DataFrame,
     keys: Sequence[str],
     order_by: OrderBy,
     measures: dict[str, tuple[str, str | Column]],
+    hot_rows: int | None = HOT_ROWS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Add, for every row, a measure over all earlier rows of its key (null at the first).
 
     ``measures`` maps a new column to ``(op, input)`` with op ``sum``, ``max`` or ``min``.
     Rows must be unique by key and order; key and order columns must not be null.
+    Without ``hot_rows`` all keys are taken as hot, and the rows are not counted first.
     """
+    if not keys or hot_rows is None:
+        return _chunked(rows, keys, order_by, measures)
+    cold, hot = split_keys(rows, keys, hot_rows, weight)
+    names = [o if isinstance(o, str) else o[0] for o in order_by]
+    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    plain = cold.select(
+        "*",
+        *[
+            _OPS[op](F.col(source) if isinstance(source, str) else source).over(earlier).alias(name)
+            for name, (op, source) in measures.items()
+        ],
+    )
+    return plain.unionByName(_chunked(hot, keys, order_by, measures))
+
+
+def _chunked(
+    rows: DataFrame, keys: Sequence[str], order_by: OrderBy, measures: dict[str, tuple[str, str | Column]]
+) -> DataFrame:
     columns = rows.columns
     df, levels = order_levels(rows, order_by)
     inputs = {f"_in_{name}": op for name, (op, _) in measures.items()}

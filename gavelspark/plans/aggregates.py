@@ -102,6 +102,7 @@ def records_sql(key: str) -> str:
     WHERE best IS NULL OR price > best"""
 
 
+# Categories are few, so all of them are hot at any size worth the while: nothing to count.
 # Ship dates are whole days: a chunk of an hour would hold one of them.
 _DAYS = "30 days"
 _BY_DAY = (("ts", _DAYS), ("price", 1 << 20), "auction", "bidder")
@@ -113,7 +114,7 @@ def _joined(spark, sf_dir, key):
 
 @query("record_highs_category", records_sql("category"), "bid auction")
 def record_highs_category(spark, sf_dir):
-    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category", chunk=_DAYS)
+    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category", chunk=_DAYS, hot_rows=None)
 
 
 @query("record_highs_seller", records_sql("seller"), "bid auction")
@@ -132,7 +133,7 @@ def _running_sql(key: str) -> str:
 
 @query("running_avg", _running_sql("category"), "bid auction")
 def running_avg(spark, sf_dir):
-    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category", _BY_DAY)
+    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category", _BY_DAY, hot_rows=None)
 
 
 @query("running_avg_by_expiry", """

@@ -64,20 +64,22 @@ BY_CATEGORY = [
 ]
 
 
-def averages(spark, rows, position, chunk):
+def averages(spark, rows, position, chunk, hot_rows=None):
     rows = joined(spark, rows)
-    high = aggregates.record_highs(rows, "key", position, chunk, ["seq", "ts"] if position == "seq" else ["seq"])
+    high = aggregates.record_highs(rows, "key", position, chunk, ["ts"] if position == "seq" else ["seq"], hot_rows)
     return tuples(aggregates.windowed_average(high, "key"), "key", "n", "total", "avg_price")
 
 
+@pytest.mark.parametrize("hot_rows", [None, 0, 4, 100])
 @pytest.mark.parametrize("chunk", [1, 2, 1 << 20])
-def test_record_highs_by_arrival(spark, chunk):
-    assert averages(spark, BY_CATEGORY, "seq", chunk) == [(1, 6, 210, 35.0), (2, 3, 90, 30.0)]
+def test_record_highs_by_arrival(spark, chunk, hot_rows):
+    assert averages(spark, BY_CATEGORY, "seq", chunk, hot_rows) == [(1, 6, 210, 35.0), (2, 3, 90, 30.0)]
 
 
+@pytest.mark.parametrize("hot_rows", [None, 4, 100])
 @pytest.mark.parametrize("chunk", ["500 milliseconds", "1 hour"])
-def test_record_highs_by_event_time(spark, chunk):
-    assert averages(spark, BY_CATEGORY, "ts", chunk) == [(1, 4, 120, 30.0), (2, 2, 70, 35.0)]
+def test_record_highs_by_event_time(spark, chunk, hot_rows):
+    assert averages(spark, BY_CATEGORY, "ts", chunk, hot_rows) == [(1, 4, 120, 30.0), (2, 2, 70, 35.0)]
 
 
 def test_record_highs_in_two_rounds(spark):
@@ -93,14 +95,14 @@ def test_averages_by_seller(spark):
 @pytest.mark.parametrize("order", [
     [("ts", "1 second"), ("price", 2), "bidder"], [("ts", "1 hour"), "price", "bidder"],
 ])
-@pytest.mark.parametrize("block", [20, 1 << 20])
-def test_running_average_with_copies(spark, order, block):
+@pytest.mark.parametrize("block, hot_rows", [(20, None), (20, 200), (1 << 20, None), (1 << 20, 10_000)])
+def test_running_average_with_copies(spark, order, block, hot_rows):
     rng = random.Random(3)
     rows = [(1 if rng.random() < 0.5 else 2, rng.randrange(6), 1000 * rng.randrange(5)) for _ in range(300)]
     # a third of all rows are copies of one row
     rows += [(1, 3, 2000)] * 150
     df = joined(spark, rows).withColumn("bidder", F.lit(0).cast("long"))
-    got = tuples(aggregates.running_average(df, "key", order, block=block), "key", "running_count", "running_avg")
+    got = tuples(aggregates.running_average(df, "key", order, block=block, hot_rows=hot_rows), "key", "running_count", "running_avg")
     want = []
     for key in (1, 2):
         n = total = 0
@@ -110,13 +112,14 @@ def test_running_average_with_copies(spark, order, block):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [10, 12, 1 << 16])
-def test_moving_average_in_blocks(spark, block):
+@pytest.mark.parametrize("block, hot_rows", [(10, None), (12, 100), (1 << 16, None), (12, 10_000)])
+def test_moving_average_in_blocks(spark, block, hot_rows):
     rng = random.Random(4)
     rows = [(1 if i % 3 else 2, BASE + 1000 * rng.randrange(20), i, rng.randrange(100)) for i in range(200)]
     df = spark.createDataFrame(rows, "seller long, expires long, auction long, final long")
     order = [("expires", 5000), ("auction", 16)]
-    got = tuples(aggregates.moving_average(df, "seller", order, "final", 10, block), "auction", "sales", "avg_final")
+    averaged = aggregates.moving_average(df, "seller", order, "final", 10, block, hot_rows)
+    got = tuples(averaged, "auction", "sales", "avg_final")
     want = []
     for seller in (1, 2):
         prices = []

@@ -33,9 +33,9 @@ def test_nobody_lives_in_no_state(spark):
 def test_three_readings_of_versions(spark):
     a, p = auctions(spark, VERSION_ITEMS), persons(spark, VERSIONS)
     assert len(tuples(joins.local_items(a, p), *NCSI)) == 6
-    for chunk in (1, 2, 100):
-        assert tuples(asof.pending_join(a, p, chunk=chunk), "id", "city") == [(10, "Bend"), (11, "Bend"), (12, "Bend")]
-        assert tuples(asof.latest_join(a, p, chunk=chunk), "id", "city") == [(11, "Bend"), (12, "Bend"), (12, "Salem")]
+    for how in ({}, {"chunk": 1, "hot_rows": None}, {"chunk": 2, "hot_rows": 0}):
+        assert tuples(asof.pending_join(a, p, **how), "id", "city") == [(10, "Bend"), (11, "Bend"), (12, "Bend")]
+        assert tuples(asof.latest_join(a, p, **how), "id", "city") == [(11, "Bend"), (12, "Bend"), (12, "Salem")]
 
 
 STATES = ["OR", "ID", "CA", "WA", "NV"]
@@ -89,13 +89,13 @@ def play_latest(items, people, prefilter):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 20])
-def test_asof_joins_against_a_replay(spark, chunk):
+@pytest.mark.parametrize("chunk, hot_rows", [(1, None), (7, 40), (64, None), (64, 10_000)])
+def test_asof_joins_against_a_replay(spark, chunk, hot_rows):
     items, people = history(chunk)
     a, p = auctions(spark, items), persons(spark, people)
-    assert tuples(asof.pending_join(a, p, chunk=chunk), *NCSI) == play_pending(items, people)
+    assert tuples(asof.pending_join(a, p, chunk=chunk, hot_rows=hot_rows), *NCSI) == play_pending(items, people)
     for prefilter in (False, True):
-        got = tuples(asof.latest_join(a, p, prefilter=prefilter, chunk=chunk), *NCSI)
+        got = tuples(asof.latest_join(a, p, prefilter=prefilter, chunk=chunk, hot_rows=hot_rows), *NCSI)
         assert got == play_latest(items, people, prefilter)
 
 
@@ -140,14 +140,14 @@ def offer_frames(spark, offered, opened):
     )
 
 
-@pytest.mark.parametrize("chunk", [1, 16, 1 << 20])
+@pytest.mark.parametrize("chunk, hot_rows", [(1, None), (16, 40), (16, 10_000)])
 @pytest.mark.parametrize("delay", [None, 5])
-def test_buffered_join_against_a_replay(spark, chunk, delay):
+def test_buffered_join_against_a_replay(spark, chunk, hot_rows, delay):
     offered, opened = offers(5)
     b, a = offer_frames(spark, offered, opened)
     if delay:
         b = asof.with_arrival_watermark(b, f"{delay} seconds", [("seq", chunk)])
-    got = asof.buffered_join(b, a, chunk=chunk).withColumn("expires", F.unix_millis("expires"))
+    got = asof.buffered_join(b, a, chunk=chunk, hot_rows=hot_rows).withColumn("expires", F.unix_millis("expires"))
     want = play_buffered(offered, opened, delay and delay * 1000)
     assert tuples(got, "auction", "price", "expires", "seller") == want
 

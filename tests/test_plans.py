@@ -7,7 +7,9 @@ import re
 import pytest
 from conftest import SMALL
 
+from gavelspark.operators import aggregates
 from gavelspark.plans import PLANS
+from gavelspark.sources import tables
 
 BATCH = sorted(name for name in PLANS if not name.startswith("stream_"))
 
@@ -44,23 +46,38 @@ def test_filters_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize("name, scans", [
-    ("record_highs_category", 2), ("running_avg", 2), ("q6_avg_price_by_seller_last10", 2), ("q5_hot_items", 1),
+    ("record_highs_category", 2), ("running_avg", 2), ("q5_hot_items", 1),
 ])
 def test_inputs_are_computed_once(spark, name, scans):
     plan = final_plan(PLANS[name](spark, SMALL))
     assert plan.count("FileScan parquet") == scans and "ReusedExchange" in plan
 
 
-@pytest.mark.parametrize("name, keys", [
-    ("record_highs_category", ["category"]), ("running_avg", ["category"]), ("q3_latest_join", ["key"]),
-    ("late_flags", []),
-])
-def test_rows_are_never_ordered_by_whole_key(spark, name, keys):
-    """A window over a bare key may only run over the sums of its chunks."""
-    plan = final_plan(PLANS[name](spark, SMALL))
-    specs = set(re.findall(r"windowspecdefinition\(([^)]*?), (?:_carried#\d+|false) DESC", plan))
-    bare = [s for s in specs if [c.split("#")[0] for c in s.split(", ")] == keys]
-    assert len(specs) >= 2 and len(bare) <= 1
+def window_keys(plan: str) -> set[tuple[str, ...]]:
+    specs = re.findall(r"windowspecdefinition\(([^)]*?), (?:_carried#\d+|false) DESC", plan)
+    return {tuple(c.split("#")[0] for c in spec.split(", ")) for spec in specs}
+
+
+def test_hot_keys_are_ordered_by_chunk(spark):
+    """A window over the bare key of hot rows may only run over the sums of its chunks."""
+    plan = final_plan(PLANS["running_avg"](spark, SMALL))
+    assert window_keys(plan) == {
+        ("category", "_chunk0", "ts", "_chunk1"), ("category", "_chunk0", "ts"), ("category", "_chunk0"), ("category",),
+    }
+    bids = tables.event_bids(spark, SMALL)
+    plan = final_plan(aggregates.running_average(bids, "auction", [("seq", 16)], hot_rows=40))
+    assert window_keys(plan) == {("auction", "_chunk0"), ("auction",)}
+
+
+def test_nothing_runs_for_hot_keys_where_there_are_none(spark):
+    plan = final_plan(PLANS["running_avg_by_arrival"](spark, SMALL))
+    assert "_chunk" not in plan and window_keys(plan) == set()
+
+
+def test_late_rows_are_found_without_one_big_task(spark):
+    plan = final_plan(PLANS["late_flags"](spark, SMALL))
+    # the one window without keys runs over the sums of the minutes
+    assert window_keys(plan) >= {("_chunk0",), ("_chunk0", "arrival")} and plan.count("SinglePartition") == 1
 
 
 def test_sliding_windows_are_counted_by_pane_first(spark):

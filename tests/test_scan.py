@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gavelspark.operators.scan import repeat_rows, running_before
+from gavelspark.operators.scan import repeat_rows, running_before, split_keys
 
 
 def expected(rows):
@@ -25,10 +25,10 @@ def expected(rows):
     return out
 
 
-def scanned(spark, rows, order, keys=("k",)):
+def scanned(spark, rows, order, keys=("k",), hot_rows=None):
     df = spark.createDataFrame(rows, "k long, pos long, price long, id long")
     measures = {"n": ("sum", F.lit(1)), "total": ("sum", "price"), "best": ("max", "price")}
-    out = running_before(df, list(keys), order, measures).collect()
+    out = running_before(df, list(keys), order, measures, hot_rows).collect()
     assert len(out) == len(rows)
     return {r.id: (r.n, r.total, r.best) for r in out}
 
@@ -51,9 +51,25 @@ def random_rows(n, keys, seed):
     [("pos", 1), ("price", 1), ("id", 4)],
     [("pos", 1000), ("price", 1000), "id"],
 ])
-def test_any_chunks(spark, order):
+@pytest.mark.parametrize("hot_rows", [None, 0, 330, 10_000])
+def test_any_chunks(spark, order, hot_rows):
+    # keys have about 510 or 330 rows: all, some or none are hot
     rows = random_rows(1500, 4, 1)
-    assert scanned(spark, rows, order) == expected(rows)
+    assert scanned(spark, rows, order, hot_rows=hot_rows) == expected(rows)
+
+
+def test_weights_make_keys_hot(spark):
+    df = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (1, 1, 1)], "k long, pos long, copies long")
+    cold, hot = split_keys(df, ["k"], 5, F.col("copies"))
+    assert (cold.count(), hot.count()) == (1, 2)
+    cold, hot = split_keys(df, ["k"], 5)
+    assert (cold.count(), hot.count()) == (3, 0)
+
+
+def test_keys_may_be_missing_from_the_hot_list(spark):
+    df = spark.createDataFrame([(None, 1), (0, 1)], "k long, pos long")
+    cold, hot = split_keys(df, ["k"], 100)
+    assert (cold.count(), hot.count()) == (2, 0)
 
 
 def test_without_key(spark):
@@ -86,7 +102,8 @@ def test_times_are_chunked(spark):
     df = spark.range(200).select(
         F.lit(0).alias("k"), "id", (F.timestamp_millis(F.col("id") * 1000)).cast("timestamp_ntz").alias("ts")
     )
-    out = running_before(df, ["k"], [("ts", "10 seconds")], {"n": ("sum", F.lit(1)), "last": ("max", "id")}).collect()
+    out = running_before(df, ["k"], [("ts", "10 seconds")], {"n": ("sum", F.lit(1)), "last": ("max", "id")}, None)
+    out = out.collect()
     assert all((r.n or 0) == r.id and (r.last if r.id else -1) == r.id - 1 for r in out)
 
 
