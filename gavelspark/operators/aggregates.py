@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import COPY_BLOCK, HOT_ROWS, OrderBy, present, repeat_rows, running_before, split_keys
+from gavelspark.operators.scan import ALL_HOT, COPY_BLOCK, HOT_ROWS, OrderBy, present, repeat_rows, running_before, split_keys
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
@@ -88,7 +88,7 @@ def avg_of_last_sales(
 
 def moving_average(
     rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int = SALES_BLOCK,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """Average over the last ``last`` rows of the key, for every row that has a value.
 
@@ -114,15 +114,15 @@ def moving_average(
 
 def record_highs(
     rows: DataFrame, key: str, position: str = "ts", chunk: int | str = "1 hour",
-    tie_order: Sequence[str] = ("auction", "bidder"), hot_rows: int | None = HOT_ROWS,
+    tie_order: Sequence[str] = ("auction", "bidder"), hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """The rows whose price is above every earlier price of their key.
 
     Earlier means a smaller ``position``, then a smaller price, then ``tie_order``. With
-    ``hot_rows`` None all keys are taken as hot.
+    ``hot_rows`` ``ALL_HOT`` no key goes through the plain window.
     """
     rows = present(rows, key, position, "price")
-    if hot_rows is None:
+    if hot_rows is ALL_HOT:
         return _record_highs_of_hot(rows, key, position, chunk, tie_order)
     cold, hot = split_keys(rows, [key], hot_rows)
     earlier = (
@@ -146,7 +146,7 @@ def _record_highs_of_hot(
     """
     firsts = rows.groupBy(key, position, "price").agg(F.min(F.struct(*tie_order)).alias("_first"))
     peaks = firsts.groupBy(key, position).agg(F.max(F.struct("price", "_first")).alias("_peak"))
-    past = running_before(peaks, [key], [(position, chunk)], {"_best": ("max", "_peak")}, hot_rows=None).select(
+    past = running_before(peaks, [key], [(position, chunk)], {"_best": ("max", "_peak")}, hot_rows=ALL_HOT).select(
         F.struct(key, position).alias("_at"), F.col("_best.price").alias("_best")
     )
     # one struct as the join key: from single columns Spark derives filters for one use of ``firsts`` only
@@ -157,7 +157,7 @@ def _record_highs_of_hot(
 
 def running_average(
     rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price", block: int = COPY_BLOCK,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """After every row of a key, the count and average of the values so far.
 

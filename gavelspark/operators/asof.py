@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
-from gavelspark.operators.scan import HOT_ROWS, OrderBy, present, running_before
+from gavelspark.operators.scan import ALL_HOT, HOT_ROWS, NONE_HOT, OrderBy, present, running_before, split_keys
 
 SEQ_CHUNK = 1 << 20
 _PERSON_FIELDS = ("name", "city", "state")
@@ -28,7 +28,7 @@ def _tagged(auctions: DataFrame, persons: DataFrame, item_fields: Sequence[str])
 
 def pending_join(
     auctions: DataFrame, persons: DataFrame, states: Sequence[str] = LOCAL_STATES, chunk: int = SEQ_CHUNK,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """Every auction once, with the seller as known at that moment.
 
@@ -56,7 +56,7 @@ def pending_join(
 def latest_join(
     auctions: DataFrame, persons: DataFrame, category: int = LOCAL_CATEGORY,
     states: Sequence[str] = LOCAL_STATES, prefilter: bool = False, chunk: int = SEQ_CHUNK,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """The latest auction and the latest person of a seller, at each arrival of either.
 
@@ -89,7 +89,7 @@ def with_arrival_watermark(
 
 def buffered_join(
     bids: DataFrame, auctions: DataFrame, keep: Sequence[str] = ("seller",), chunk: int = SEQ_CHUNK,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
     """Bids that wait for their auction, and bids on a live one.
 
@@ -103,16 +103,13 @@ def buffered_join(
     b = bids.select(F.col("auction").alias("key"), "seq", F.struct("seq", *offer).alias("bid"))
     a = auctions.select(F.col("id").alias("key"), "seq", F.struct("seq", *fields).alias("item"))
     history = b.unionByName(a, allowMissingColumns=True)
-    # "next" is "last" in the reversed order
-    back = history.withColumn("_back", -F.col("seq"))
-    upcoming = back.withColumn(
-        "_upcoming", F.struct((-F.col("item.seq")).alias("order"), F.col("item").alias("item"))
-    ).withColumn("_upcoming", F.when(F.col("item").isNotNull(), F.col("_upcoming")))
-    nexts = running_before(upcoming, ["key"], [("_back", chunk)], {"_next": ("max", "_upcoming")}, hot_rows)
-    both = running_before(
-        nexts.select("key", "seq", "bid", "item", "_next"), ["key"], [("seq", chunk)], {"_last": ("max", "item")},
-        hot_rows,
-    ).filter(F.col("bid").isNotNull())
+    if hot_rows in (ALL_HOT, NONE_HOT):
+        both = _last_and_next(history, chunk, hot_rows)
+    else:
+        # split once for both scans
+        cold, hot = split_keys(history, ["key"], hot_rows)
+        both = _last_and_next(cold, chunk, NONE_HOT).unionByName(_last_and_next(hot, chunk, ALL_HOT))
+    both = both.filter(F.col("bid").isNotNull())
     live = F.col("_last").isNotNull() & (F.col("_last.expires") > F.col("bid.ts"))
     if has_watermark:
         live = live & (F.col("bid.watermark").isNull() | (F.col("_last.expires") > F.col("bid.watermark")))
@@ -122,3 +119,16 @@ def buffered_join(
         F.col("_met.id").alias("auction"), F.col("bid.price").alias("price"), F.col("_met.expires").alias("expires"),
         *[F.col(f"_met.{k}").alias(k) for k in keep],
     )
+
+
+def _last_and_next(history: DataFrame, chunk: int, hot_rows: float | None) -> DataFrame:
+    """Add the auction version before each row and the one after it."""
+    # "next" is "last" in the reversed order
+    upcoming = history.withColumn("_back", -F.col("seq")).withColumn(
+        "_upcoming",
+        F.when(F.col("item").isNotNull(), F.struct((-F.col("item.seq")).alias("order"), F.col("item").alias("item"))),
+    )
+    nexts = running_before(upcoming, ["key"], [("_back", chunk)], {"_next": ("max", "_upcoming")}, hot_rows)
+    return running_before(
+        nexts.select("key", "seq", "bid", "item", "_next"), ["key"], [("seq", chunk)], {"_last": ("max", "item")}, hot_rows
+    )

@@ -71,6 +71,8 @@ def present(df: DataFrame, *names: str) -> DataFrame:
 
 # Rows of a key that one task may hold.
 HOT_ROWS = 1 << 22
+# Instead of such a number: no key is hot, or all keys are. Rows are then not counted first.
+NONE_HOT, ALL_HOT = float("inf"), None
 
 
 def split_keys(
@@ -95,28 +97,35 @@ def running_before(
     keys: Sequence[str],
     order_by: OrderBy,
     measures: dict[str, tuple[str, str | Column]],
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: float | None = HOT_ROWS,
     weight: Column | None = None,
 ) -> DataFrame:
     """Add, for every row, a measure over all earlier rows of its key (null at the first).
 
     ``measures`` maps a new column to ``(op, input)`` with op ``sum``, ``max`` or ``min``.
     Rows must be unique by key and order; key and order columns must not be null.
-    Without ``hot_rows`` all keys are taken as hot, and the rows are not counted first.
+    ``hot_rows`` may be ``NONE_HOT`` or ``ALL_HOT``; ``weight`` counts a row as several.
     """
-    if not keys or hot_rows is None:
+    if not keys or hot_rows is ALL_HOT:
         return _chunked(rows, keys, order_by, measures)
+    if hot_rows == NONE_HOT:
+        return _plain(rows, keys, order_by, measures)
     cold, hot = split_keys(rows, keys, hot_rows, weight)
+    return _plain(cold, keys, order_by, measures).unionByName(_chunked(hot, keys, order_by, measures))
+
+
+def _plain(
+    rows: DataFrame, keys: Sequence[str], order_by: OrderBy, measures: dict[str, tuple[str, str | Column]]
+) -> DataFrame:
     names = [o if isinstance(o, str) else o[0] for o in order_by]
     earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    plain = cold.select(
+    return rows.select(
         "*",
         *[
             _OPS[op](F.col(source) if isinstance(source, str) else source).over(earlier).alias(name)
             for name, (op, source) in measures.items()
         ],
     )
-    return plain.unionByName(_chunked(hot, keys, order_by, measures))
 
 
 def _chunked(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavelspark.operators import aggregates, joins, project, windows
+from gavelspark.operators.scan import ALL_HOT
 from gavelspark.plans.events import AS_OF
 from gavelspark.plans.registry import query
 from gavelspark.sources import tables
@@ -114,7 +115,7 @@ def _joined(spark, sf_dir, key):
 
 @query("record_highs_category", records_sql("category"), "bid auction")
 def record_highs_category(spark, sf_dir):
-    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category", chunk=_DAYS, hot_rows=None)
+    return aggregates.record_highs(_joined(spark, sf_dir, "category"), "category", chunk=_DAYS, hot_rows=ALL_HOT)
 
 
 @query("record_highs_seller", records_sql("seller"), "bid auction")
@@ -133,7 +134,7 @@ def _running_sql(key: str) -> str:
 
 @query("running_avg", _running_sql("category"), "bid auction")
 def running_avg(spark, sf_dir):
-    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category", _BY_DAY, hot_rows=None)
+    return aggregates.running_average(_joined(spark, sf_dir, "category"), "category", _BY_DAY, hot_rows=ALL_HOT)
 
 
 @query("running_avg_by_expiry", """
