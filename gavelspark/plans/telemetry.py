@@ -26,16 +26,14 @@ def marker_span(spark, sf_dir):
 
 
 def _log_lines(spark, sf_dir):
-    """Users as log files: errors are restores, views are tasks that start to run."""
+    """Users as log files: views are tasks that start to run; errors are restores, but not in every file."""
     kind = F.col("event_type")
     message = (
-        F.when(kind == "error", "INFO Restoring job 0 from Checkpoint 7")
+        F.when((kind == "error") & (F.col("user_id") % 10 > 0), "INFO Restoring job 0 from Checkpoint 7")
         .when(kind == "view", "INFO Source (1/1) switched from INITIALIZING to RUNNING.")
         .otherwise(F.concat(F.lit("INFO "), F.col("props")))
     )
-    # some users' files are never restored
-    kept = tables.events(spark, sf_dir).filter((F.col("user_id") % 10 > 0) | (kind != "error"))
-    return kept.select(
+    return tables.events(spark, sf_dir).select(
         F.concat(
             F.lit("paral_"), (F.col("user_id") % 6 + 7).cast("string"), F.lit("_interval_"),
             (1000 * (F.col("user_id") + 1)).cast("string"), F.lit(".log"),
@@ -47,11 +45,11 @@ def _log_lines(spark, sf_dir):
 
 _LOG = """
     SELECT 'paral_' || (user_id % 6 + 7) || '_interval_' || 1000 * (user_id + 1) || '.log' AS file,
-           event_id AS line, event_type, date_trunc('millisecond', ts) AS ts, user_id
-    FROM events WHERE user_id % 10 > 0 OR event_type <> 'error'"""
+           event_id AS line, event_type = 'view' AS running, event_type = 'error' AND user_id % 10 > 0 AS restore,
+           date_trunc('millisecond', ts) AS ts
+    FROM events"""
 _SPANS = f"""
-    SELECT file, epoch_us(max_by(ts, line) FILTER (event_type = 'view'))
-                 - epoch_us(max_by(ts, line) FILTER (event_type = 'error')) AS span_micros
+    SELECT file, epoch_us(max_by(ts, line) FILTER (running)) - epoch_us(max_by(ts, line) FILTER (restore)) AS span_micros
     FROM ({_LOG}) GROUP BY file"""
 
 
@@ -73,12 +71,12 @@ def sweep_summary(spark, sf_dir):
 
 @query("transition_offsets", f"""
     WITH log AS ({_LOG}),
-    start AS (SELECT file, max_by(ts, line) AS t0 FROM log WHERE event_type = 'error' GROUP BY file)
+    start AS (SELECT file, max_by(ts, line) AS t0 FROM log WHERE restore GROUP BY file)
     SELECT l.file, l.line, CAST(epoch(date_trunc('second', l.ts)) AS BIGINT)
                            - CAST(epoch(date_trunc('second', s.t0)) AS BIGINT) AS offset_seconds,
            CAST(epoch(date_trunc('second', l.ts)) AS BIGINT)
            >= CAST(epoch(date_trunc('second', s.t0)) AS BIGINT) AS valid
-    FROM log l JOIN start s USING (file) WHERE l.event_type = 'view'""")
+    FROM log l JOIN start s USING (file) WHERE l.running""")
 def transition_offsets(spark, sf_dir):
     return telemetry.transition_offsets(_log_lines(spark, sf_dir))
 

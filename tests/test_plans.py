@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from gavelspark.operators import aggregates
 from gavelspark.plans import PLANS
@@ -86,3 +87,37 @@ def test_sliding_windows_are_counted_by_pane_first(spark):
     last_exchange = plan.index("Exchange hashpartitioning")
     assert plan.count("Exchange hashpartitioning") == 2 and plan.index("_start#") < last_exchange
     assert "Expand" not in plan
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    "spark.sql.shuffle.partitions": "20",
+}
+
+
+def test_hot_join_keys_are_split(spark):
+    """A third of the bids on one auction: its partition is split, also under a grouping by auction."""
+    before = {key: spark.conf.get(key, None) for key in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        number = F.col("id")
+        hot = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+        bids = spark.range(0, 60_000, 1, 8).select(
+            F.when(hot, 1).otherwise(number % 500).cast("long").alias("auction"), number.alias("bidder"),
+            (number * 7919 % 100_003).alias("price"), F.timestamp_millis(number).alias("ts"),
+        )
+        auctions = spark.range(500).select(
+            number.alias("id"), (number % 5).alias("category"), F.timestamp_millis(number * 0 + 10**9).alias("expires")
+        )
+        finals = aggregates.final_prices(bids, auctions)
+        plan = final_plan(finals)
+        assert "SortMergeJoin(skew=true)" in plan and "BroadcastHashJoin" not in plan
+        best = bids.groupBy("auction").agg(F.max("price").alias("final"))
+        assert finals.select("auction", "final").exceptAll(best).count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

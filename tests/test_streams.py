@@ -218,3 +218,19 @@ def test_bids_to_a_topic_of_files(spark, folder):
     stream = in_files(bids(spark, HIGHEST), f"{folder}/in")
     sent = emitted(encode(stream, BID), folder)
     assert json.loads(sent.first().value).keys() == {"auction", "bidder", "price", "dateTime"}
+
+
+def test_rows_in_memory(spark, folder):
+    stream = in_files(bids(spark, HIGHEST), f"{folder}/in")
+    query = run.to_memory(stream.select("auction", "price"), "seen_bids").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("seen_bids").count() == 9
+
+
+def test_partial_results_merge(spark, folder):
+    df = bids(spark, [(i % 3, i, (i * 37) % 101, i * 1000) for i in range(60)])
+    best = lambda rows: rows.groupBy("auction").agg(F.max("price").alias("price"), F.sum("n").alias("n"))
+    stream = in_files(df, f"{folder}/in", 4).withColumn("n", F.lit(1))
+    parts = run.run_partials(stream, best, "test", f"{folder}/run")
+    assert parts.count() == 12
+    assert tuples(best(parts), "auction", "price", "n") == tuples(best(df.withColumn("n", F.lit(1))), "auction", "price", "n")
