@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import ALL_HOT, COPY_BLOCK, HOT_ROWS, OrderBy, present, repeat_rows, running_before, split_keys
+from gavelspark.operators.scan import ALL_HOT, COPY_BLOCK, HOT_ROWS, OrderBy, order_names, present, repeat_rows, running_before, split_keys
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
@@ -90,26 +90,41 @@ def moving_average(
     rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int = SALES_BLOCK,
     hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
-    """Average over the last ``last`` rows of the key, for every row that has a value.
+    """Average over the last ``last`` rows of the key, for every row that has a value."""
+    # counted by the value: all uses of the rows then need all their columns and share one exchange
+    one = F.when(F.col(value).isNotNull(), F.lit(1))
+    rows = present(rows, key, value)
+    if hot_rows is ALL_HOT:
+        return _moving_average_of_hot(rows, key, order_by, value, last, block, one)
+    cold, hot = split_keys(rows, [key], hot_rows, one)
+    frame = Window.partitionBy(key).orderBy(*order_names(order_by)).rowsBetween(-(last - 1), 0)
+    return _averaged(cold, frame, value).unionByName(
+        _moving_average_of_hot(hot, key, order_by, value, last, block, one)
+    )
+
+
+def _averaged(rows: DataFrame, frame: WindowSpec, value: str) -> DataFrame:
+    sales = F.count("*").over(frame)
+    return rows.withColumns({"sales": sales, f"avg_{value}": ratio(F.sum(value).over(frame), sales)})
 
-    Rows are numbered by a chunked scan and cut into blocks. Each block also gets the
-    ``last - 1`` rows before it, so the frames of a large key run block by block.
+
+def _moving_average_of_hot(
+    rows: DataFrame, key: str, order_by: OrderBy, value: str, last: int, block: int, one: Column
+) -> DataFrame:
+    """Rows are numbered by a chunked scan and cut into blocks.
+
+    Each block also gets the ``last - 1`` rows before it, so that the frames run block by block.
     """
     columns = rows.columns
-    # counted by the value: both uses of the rows then need all their columns and share one exchange
-    one = F.when(F.col(value).isNotNull(), F.lit(1))
-    numbered = running_before(
-        present(rows, key, value), [key], order_by, {"_n": ("sum", one)}, hot_rows, weight=one
-    ).withColumn("_n", F.coalesce("_n", F.lit(0)))
+    numbered = running_before(rows, [key], order_by, {"_n": ("sum", one)}, ALL_HOT).withColumn(
+        "_n", F.coalesce("_n", F.lit(0))
+    )
     own = F.floor(F.col("_n") / block)
     # the last rows of a block also lead in the next one
     leads = F.when(F.pmod(F.col("_n"), F.lit(block)) >= block - (last - 1), F.array(own, own + 1)).otherwise(F.array(own))
     placed = numbered.withColumn("_block", F.explode(leads))
     frame = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(-(last - 1), 0)
-    averaged = placed.withColumn("sales", F.count("*").over(frame)).withColumn(
-        f"avg_{value}", ratio(F.sum(value).over(frame), F.count("*").over(frame))
-    )
-    return averaged.filter(F.col("_block") == own).select(*columns, "sales", f"avg_{value}")
+    return _averaged(placed, frame, value).filter(F.col("_block") == own).select(*columns, "sales", f"avg_{value}")
 
 
 def record_highs(
@@ -159,19 +174,27 @@ def running_average(
     rows: DataFrame, key: str, order_by: OrderBy = BID_ORDER, value: str = "price", block: int = COPY_BLOCK,
     hot_rows: float | None = HOT_ROWS,
 ) -> DataFrame:
-    """After every row of a key, the count and average of the values so far.
-
-    Copies (rows equal in key and order) are counted first and numbered last.
-    """
-    names = [o if isinstance(o, str) else o[0] for o in order_by]
+    """After every row of a key that has a value, the count and average of the values so far."""
+    names = order_names(order_by)
     if value not in names:
-        names.append(value)
-        order_by = [*order_by, value]
+        names, order_by = [*names, value], [*order_by, value]
+    rows = present(rows, key, value)
+    if hot_rows is ALL_HOT:
+        return _running_average_of_hot(rows, key, order_by, value, block)
+    cold, hot = split_keys(rows, [key], hot_rows)
+    so_far = Window.partitionBy(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    n, total = F.count("*").over(so_far), F.sum(value).over(so_far)
+    averaged = cold.select(key, *names, n.alias("running_count"), ratio(total, n).alias("running_avg"))
+    return averaged.unionByName(_running_average_of_hot(hot, key, order_by, value, block))
+
+
+def _running_average_of_hot(rows: DataFrame, key: str, order_by: OrderBy, value: str, block: int) -> DataFrame:
+    """Copies (rows equal in key and order) are counted first and numbered last."""
+    names = order_names(order_by)
     groups = rows.groupBy(key, *names).agg(F.count("*").alias("_copies"))
     past = running_before(
         groups, [key], order_by,
-        {"_n": ("sum", "_copies"), "_sum": ("sum", F.col(value) * F.col("_copies"))},
-        hot_rows, weight=F.col("_copies"),
+        {"_n": ("sum", "_copies"), "_sum": ("sum", F.col(value) * F.col("_copies"))}, ALL_HOT,
     )
     nth = repeat_rows(past, "_copies", "_nth", block, source=groups)
     n = F.coalesce("_n", F.lit(0)) + F.col("_nth")

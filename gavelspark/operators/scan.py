@@ -38,6 +38,10 @@ def chunk_of(df: DataFrame, name: str, width: int | str) -> Column:
     return F.col(name) - F.pmod(F.col(name), F.lit(width))
 
 
+def order_names(order_by: OrderBy) -> list[str]:
+    return [o if isinstance(o, str) else o[0] for o in order_by]
+
+
 def order_levels(df: DataFrame, order_by: OrderBy) -> tuple[DataFrame, list[str]]:
     """Add the level columns of an order, coarse to fine.
 
@@ -117,8 +121,7 @@ def running_before(
 def _plain(
     rows: DataFrame, keys: Sequence[str], order_by: OrderBy, measures: dict[str, tuple[str, str | Column]]
 ) -> DataFrame:
-    names = [o if isinstance(o, str) else o[0] for o in order_by]
-    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(*order_names(order_by)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         "*",
         *[
