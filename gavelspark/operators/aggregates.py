@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from gavelspark.functions.scalar import ratio, ratio_or_zero
 from gavelspark.operators.joins import BEFORE_EXPIRY, IN_LIFETIME, at_group_max, bid_auction_join
 from gavelspark.operators.project import closed_auctions
-from gavelspark.operators.scan import ALL_HOT, COPY_BLOCK, HOT_ROWS, OrderBy, order_names, present, repeat_rows, running_before, split_keys
+from gavelspark.operators.scan import (
+    ALL_HOT, COPY_BLOCK, HOT_ROWS, OrderBy, order_names, present, repeat_rows, running_before, split_keys,
+)
 from gavelspark.operators.windows import WINDOW_COLUMNS, sliding_counts, windowed
 
 # Order of joined bids: event time, then price, then the parties. Total up to copies.
