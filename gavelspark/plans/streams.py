@@ -18,6 +18,7 @@ from gavelspark.streaming.run import run_available, run_partials
 from gavelspark.streaming.windows import highest_bids_stream, hot_items_stream
 
 DELAY = "20 seconds"
+SALTS = 4  # parts of a join key: streams have no skew join
 
 
 def _closed(sql: str) -> str:
@@ -63,7 +64,7 @@ def stream_q3_local_items(spark, sf_dir):
     nation = tables.read_table(spark, sf_dir, "nation")
     persons = tables.persons_from(_stream(spark, sf_dir, "customer"), nation)
     auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    return _results(joins.local_items(auctions, persons, salts=2), "q3")
+    return _results(joins.local_items(auctions, persons, salts=SALTS), "q3")
 
 
 @query("stream_bid_auction_join", """
@@ -72,7 +73,7 @@ def stream_q3_local_items(spark, sf_dir):
 def stream_bid_auction_join(spark, sf_dir):
     bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
     auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    joined = joins.bid_auction_join(bids, auctions).select("auction", "price", "expires", "category")
+    joined = joins.bid_auction_join(bids, auctions, salts=SALTS).select("auction", "price", "expires", "category")
     return _results(joined, "bid-auction")
 
 
@@ -100,7 +101,7 @@ def stream_q7_highest_bid(spark, sf_dir):
 def stream_q8_new_sellers(spark, sf_dir):
     events = lambda: windows.with_watermark(_stream(spark, sf_dir, "events"), DELAY)
     persons, items = tables.event_persons_from(events()), tables.event_items_from(events())
-    return _results(joins.new_sellers(persons, items, "1 day", salts=2), "q8")
+    return _results(joins.new_sellers(persons, items, "1 day", salts=SALTS), "q8")
 
 
 _SEQ_RECORDS = """
@@ -208,7 +209,7 @@ def stream_windowed_avg(spark, sf_dir):
 def stream_q4_avg_price_by_category(spark, sf_dir):
     bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
     auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    valid = joins.bid_auction_join(bids, auctions, rule=joins.IN_LIFETIME)
+    valid = joins.bid_auction_join(bids, auctions, rule=joins.IN_LIFETIME, salts=SALTS)
     best = lambda rows: rows.groupBy("auction", "category").agg(F.max("price").alias("price"))
     finals = best(run_partials(valid, best, "q4"))
     return aggregates.average_price(finals.withColumnRenamed("price", "final"), "category")
@@ -227,5 +228,5 @@ def stream_q4_avg_price_by_category(spark, sf_dir):
 def stream_q6_last10(spark, sf_dir):
     bids = tables.bids_from(_keyed(spark, sf_dir, "lineitem"))
     auctions = tables.auctions_from(_keyed(spark, sf_dir, "orders"))
-    finals = stateful.closed_auction_prices(bids, auctions, "12 hours")
+    finals = stateful.closed_auction_prices(bids, auctions, "12 hours", SALTS)
     return _results(stateful.last_sales_stream(finals), "last-sales")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavelspark.operators.joins import keyed_join
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
 from gavelspark.streaming import processors
 
@@ -46,7 +47,7 @@ def last_sales_stream(
     )
 
 
-def closed_auction_prices(bids: DataFrame, auctions: DataFrame, delay: str) -> DataFrame:
+def closed_auction_prices(bids: DataFrame, auctions: DataFrame, delay: str, salts: int = 1) -> DataFrame:
     """Highest bid before its end of each auction that is over.
 
     The end is the auctions' event time: no more bids can come for an auction once the
@@ -55,7 +56,7 @@ def closed_auction_prices(bids: DataFrame, auctions: DataFrame, delay: str) -> D
     offers = bids.select("auction", "price", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     ends = auctions.select(F.col("id").alias("auction_id"), "seller", F.col("expires").cast("timestamp").alias("expires"))
     ends = ends.withWatermark("expires", delay)
-    valid = offers.join(ends, (F.col("auction") == F.col("auction_id")) & (F.col("ts") < F.col("expires")))
+    valid = keyed_join(offers, ends, [("auction", "auction_id")], F.col("ts") < F.col("expires"), salts)
     return valid.groupBy("auction", "seller", "expires").agg(F.max("price").alias("final"))
 
 
