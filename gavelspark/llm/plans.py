@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import pieces
+from gavelspark.llm import bytecnn, langid, pieces
+from gavelspark.llm.rows import held_out
 from gavelspark.sources.tables import read_table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,28 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
+@plan("op1_language_mixture")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# A document of this score or more counts as good.
+GOOD_SCORE = 0.7
+
+
+@plan("op5_byte_network")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    network = bytecnn.learn(docs, labels.filter(~held_out(F.col("doc_id"))), "quality")
+    scored = bytecnn.predict(docs, network)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted")
+    )
+
+
 def encoded_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Encoded and decoded texts, each as a digest."""
     both = pieces.decode(pieces.encode(docs, model), model)

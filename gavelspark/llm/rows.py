@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ SLICE_BYTES = 4 << 20
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut into parts of about ``limit`` bytes in ``column``; one row may be longer."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         part = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:]):
