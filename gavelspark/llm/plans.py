@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, langid, pieces
+from gavelspark.llm import bytecnn, decontam, grammar, langid, pieces
 from gavelspark.llm.rows import held_out
+from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+# Appended to the ids of every document.
+END_ID = 2
+
+
+@plan("op2_grammar_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-blocks")
+    with open(WORD_TOKENIZER, "rb") as file:
+        grammar.write(read_table(spark, sf_dir, "documents"), file.read(), END_ID, path)
+    return grammar.read(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@plan("op3_benchmark_suffixes", f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+     i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+     iw AS (SELECT DISTINCT item_id, n, list_slice(w, k, k + n - 1) AS win
+            FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM i)),
+     sizes AS (SELECT DISTINCT n FROM iw),
+     dw AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS win
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes)),
+     hits AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (n, win)),
+     places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id),
+     names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS joined
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select(
+        "doc_id", "n_words", decontam.hit_words(F.col("matches")).alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"),
+    )
+
+
 # A document of this score or more counts as good.
 GOOD_SCORE = 0.7
 
