@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, decontam, grammar, langid, pieces
+from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces
 from gavelspark.llm.rows import held_out
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
@@ -95,6 +95,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan("op7_maxscore", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def encoded_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """Encoded and decoded texts, each as a digest."""
     both = pieces.decode(pieces.encode(docs, model), model)
@@ -109,3 +120,12 @@ def encoded_digests(docs: DataFrame, model: bytes) -> DataFrame:
 @plan("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(read_table(spark, sf_dir, "documents"), pieces.read_model(PIECE_MODEL))
+
+
+@plan("op10_gear_chunks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = chunks.dedup(read_table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), chunks.removed_bytes(F.col("removed")).alias("removed_bytes"),
+        F.octet_length("text").cast("long").alias("kept_bytes"), (F.size("removed") > 0).alias("repeats"), F.sha2("text", 256).alias("text_sha256"),
+    )

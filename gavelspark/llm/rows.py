@@ -26,6 +26,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 yield batch.slice(start, stop - start)
 
 
+def slices_of_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, regrouped into batches of ``rows`` rows and a smaller last one."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            held.append(part)
+            n += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if n == rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a column; null is the empty text."""
     return [text or "" for text in batch.column(column).to_pylist()]
