@@ -32,7 +32,7 @@ SPACE = "▁"
 
 # Characters of a chunk beyond which it goes through the heap.
 LONG_CHUNK = 64
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 450_000
 _NEVER = np.iinfo(np.int32).max
 
 
