@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces
+from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces, templates
 from gavelspark.llm.rows import held_out
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
@@ -95,6 +95,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan("op6_line_templates", r"""
+WITH l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS number
+           FROM (SELECT doc_id, text, string_split(regexp_replace(text, '[^\s]*[0-9][^\s]*', '<*>', 'g'), chr(10)) AS ls FROM documents)),
+     k AS (SELECT doc_id, number, line, string_split(line, ' ') AS t, len(string_split(line, ' ')) AS n,
+                  array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM l WHERE trim(line, ' ') <> ''),
+     leaf AS (SELECT n, lead FROM k GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 20),
+     c AS (SELECT k.* FROM k JOIN leaf USING (n, lead)),
+     kind AS (SELECT n, lead, line, any_value(t) AS t, count(DISTINCT doc_id) AS w FROM c GROUP BY n, lead, line),
+     tok AS (SELECT n, lead, line, w, unnest(t) AS token, unnest(range(n)) AS position FROM kind),
+     con AS (SELECT n, lead, position, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(w) >= 20),
+     tpl AS (SELECT tok.n, tok.lead, line, string_agg(coalesce(con.token, '<*>'), ' ' ORDER BY tok.position) AS template
+             FROM tok LEFT JOIN con ON tok.n = con.n AND tok.lead = con.lead AND tok.position = con.position AND tok.token = con.token
+             GROUP BY tok.n, tok.lead, line HAVING count(con.token) >= ceil(CAST(0.6 AS DOUBLE) * count(*))),
+     d AS (SELECT doc_id, number, template FROM c JOIN tpl USING (n, lead, line)),
+     rec AS (SELECT template, min(struct_pack(doc_id := doc_id, number := number)) AS spot FROM d GROUP BY template HAVING count(DISTINCT doc_id) >= 20),
+     gone AS (SELECT doc_id, number FROM d JOIN rec USING (template) WHERE struct_pack(doc_id := doc_id, number := number) <> spot),
+     p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS number FROM documents)
+SELECT p.doc_id, count(*) AS n_lines, count(gone.number) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p.number) FILTER (WHERE gone.number IS NULL), '')) AS text_sha256
+FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.number = gone.number GROUP BY p.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = templates.dedup(docs)
+    return left.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @plan("op7_maxscore", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
