@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces, templates
+from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces, revisits, templates
 from gavelspark.llm.rows import held_out
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
@@ -81,6 +81,46 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan("op4_revisits", r"""
+WITH r AS (
+  SELECT page_id * 3 AS record_id, url, page_id AS tick, 200 AS status, '"' || md5(html) || '"' AS etag,
+         map {'content-type': 'text/html; charset=utf-8', 'content-length': CAST(octet_length(encode(html)) AS VARCHAR), 'etag': '"' || md5(html) || '"',
+              'date': CAST(page_id AS VARCHAR), 'cache-control': 'max-age=60'} AS h
+  FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)
+  UNION ALL BY NAME
+  SELECT page_id * 3 + 1 AS record_id, url, page_id + 86400 AS tick, 304 AS status,
+         CASE page_id % 4 WHEN 1 THEN '"changed"' WHEN 2 THEN NULL ELSE '"' || md5(html) || '"' END AS etag,
+         map_concat(CASE page_id % 4 WHEN 1 THEN map {'etag': '"changed"'} WHEN 2 THEN map {} ELSE map {'etag': 'W/"' || md5(html) || '"'} END,
+                    map {'date': CAST(page_id + 86400 AS VARCHAR), 'cache-control': 'max-age=3600', 'content-length': '0', 'connection': 'close'}) AS h
+  FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)
+  UNION ALL BY NAME
+  SELECT page_id * 3 + 2 AS record_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/robots.txt' AS url, page_id AS tick,
+         CASE WHEN page_id % 50 = 0 THEN 200 ELSE 304 END AS status, '"r' || (page_id // 5000) || '"' AS etag,
+         map_concat(CASE WHEN page_id % 50 = 0 THEN map {'content-type': 'text/plain'} ELSE map {} END,
+                    map {'etag': '"r' || (page_id // 5000) || '"', 'date': CAST(page_id AS VARCHAR)}) AS h
+  FROM pages),
+u AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+             || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS page,
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+                                                   lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS q FROM r),
+c AS (SELECT * REPLACE (page || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url) FROM u),
+f AS (SELECT *, max(CASE WHEN status = 200 THEN struct_pack(tick := tick, record_id := record_id) END) OVER
+             (PARTITION BY url ORDER BY tick, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM c),
+j AS (SELECT f.*, s.h AS stored, s.record_id AS other, CASE WHEN f.status = 200 THEN 'full' WHEN s.record_id IS NULL THEN 'missing'
+             WHEN f.etag IS NULL OR s.etag IS NULL OR f.etag = s.etag THEN 'resolved' ELSE 'changed' END AS outcome
+      FROM f LEFT JOIN c s ON f.status = 304 AND s.status = 200 AND s.url = f.url AND s.record_id = f.latest.record_id),
+e AS (SELECT record_id, url, outcome, CASE outcome WHEN 'resolved' THEN other WHEN 'full' THEN record_id ELSE -1 END AS payload_of, h, stored,
+             CASE WHEN outcome = 'resolved' THEN list_concat(
+               list_filter(map_entries(stored), lambda x: NOT list_contains(list_filter(map_keys(h), lambda k: k NOT IN ('connection', 'content-length', 'content-type')), x.key)),
+               list_filter(map_entries(h), lambda x: x.key NOT IN ('connection', 'content-length', 'content-type'))) ELSE map_entries(h) END AS entries FROM j)
+SELECT record_id, url, outcome, payload_of, sha256(array_to_string(list_sort(list_transform(entries, lambda x: x.key || ': ' || x.value)), chr(10))) AS headers_sha256 FROM e""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.crawl_of(read_table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])))
+    payload_of = F.when(F.col("outcome") == "full", F.col("record_id")).otherwise(F.coalesce("refers_to", F.lit(-1))).alias("payload_of")
+    return found.select("record_id", "url", "outcome", payload_of, F.sha2(F.array_join(lines, "\n"), 256).alias("headers_sha256"))
+
+
 # A document of this score or more counts as good.
 GOOD_SCORE = 0.7
 
