@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gavelspark.llm.rows import about, id_and_text, slices, texts_of
+from gavelspark.llm.rows import about, slices, texts_of
 
 # Trigrams share this many buckets: the model has so many numbers for each language.
 BUCKETS = 1 << 16
@@ -133,8 +134,8 @@ def mixture(table: np.ndarray, found: np.ndarray, penalty: float = PENALTY) -> n
     return out
 
 
-def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (its share) and ``mixture`` (share by language) of every row.
+def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score`` (its share) and ``mixture`` (share by language) of every row, after columns to ``keep``.
 
     A null text, one without a letter, or a model without languages gives ``und`` and score 0.
     Ties between languages go to the one that sorts first. Whole texts are used, however long.
@@ -154,8 +155,13 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
                 scores.append(0.0 if best is None else min(1.0, float(share[best])))
                 mixed.append([] if best is None else [(x, float(s)) for x, s in zip(languages, share) if s > 0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "mixture"],
+                [
+                    *(batch.column(name) for name in keep), batch.column("doc_id"), pa.array(names, pa.string()),
+                    pa.array(scores, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64())),
+                ],
+                names=[*keep, "doc_id", "lang_pred", "score", "mixture"],
             )
 
-    return id_and_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string, double>")
+    rows = docs.select(*keep, docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
+    schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("doc_id long, lang_pred string, score double, mixture map<string, double>")])
+    return rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, pieces, revisits, templates
+from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, partenum, pieces, revisits, templates
 from gavelspark.llm.rows import held_out
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
@@ -172,11 +172,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def encoded_digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """Encoded and decoded texts, each as a digest."""
+def encoded_digests(docs: DataFrame, model: bytes, *more: str) -> DataFrame:
+    """Encoded and decoded texts, each as a digest, and ``more`` of the columns."""
     both = pieces.decode(pieces.encode(docs, model), model)
     return both.select(
-        "doc_id",
+        "doc_id", *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -188,6 +188,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(read_table(spark, sf_dir, "documents"), pieces.read_model(PIECE_MODEL))
 
 
+@plan("op9_partenum", r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, k, k + 4) END AS shingle
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, l.y FROM r JOIN l ON r.reached = l.x)
+SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(read_table(spark, sf_dir, "documents"))
+
+
 @plan("op10_gear_chunks")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = chunks.dedup(read_table(spark, sf_dir, "documents"))
