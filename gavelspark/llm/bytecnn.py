@@ -26,7 +26,7 @@ from gavelspark.llm.rows import about, id_and_text, slices, texts_of
 HALF, WIDTH, FILTERS = 8, 6, 32
 # Bounds of the sample to learn from: rows, and bytes of text in all, about.
 FIT_ROWS, FIT_BYTES = 4_000, 12_000_000
-_EPOCHS, _BATCH, _RATE, _DECAY, _SEED = 10, 32, 4e-3, 1e-4, 20260101
+_EPOCHS, _STEPS, _BATCH, _RATE, _DECAY, _SEED = 10, 600, 32, 4e-3, 1e-4, 20260101
 # Half chunks that are multiplied at a time.
 _PART = 1 << 15
 
@@ -75,11 +75,15 @@ def score(network: Network, text: str) -> float:
     return float(1 / (1 + np.exp(-(pooled @ network.weight + network.offset))))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = _EPOCHS) -> Network:
-    """A network learned by gradient descent; the same rows in the same order give the same network."""
+def fit(texts: list[str], labels: list[int], epochs: int | None = None) -> Network:
+    """A network learned by gradient descent; the same rows in the same order give the same network.
+
+    Few rows are gone through more often.
+    """
     truth = np.asarray(labels, dtype=np.float32)
     if not len(truth) or truth.min() == truth.max():
         return Network.constant(float(truth.mean()) if len(truth) else 0.5)
+    epochs = epochs or max(_EPOCHS, -(-_STEPS * _BATCH // len(truth)))
     random = np.random.default_rng(_SEED)
     share = float(truth.mean())
     values = {

@@ -97,7 +97,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAI
         rank = _ranks(wanted, pairs)
         # a pair is replaced where neither neighbour is a better one; in a run of one pair every other one
         before, after = np.r_[np.int32(len(wanted)), rank[:-1]], np.r_[rank[1:], np.int32(len(wanted))]
-        taken = (rank < len(wanted)) & (rank < before) & (rank <= after)
+        at = np.arange(len(rank))
+        within = at - np.maximum.accumulate(np.where(rank != before, at, 0))
+        taken = (rank < len(wanted)) & (rank <= before) & (rank <= after) & (within % 2 == 0)
         used = np.unique(rank[taken])
         number = np.zeros(len(wanted), dtype=kind)
         number[used] = np.arange(base + len(rules), base + len(rules) + len(used), dtype=kind)

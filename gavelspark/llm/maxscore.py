@@ -105,6 +105,8 @@ def _search(rows: DataFrame, queries: list, scale: int, k: int, shard_rows: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shipped.value
+        if not queries:
+            return
         wanted = matrix_of([vector for _, vector in queries], scale)
         for batch in slices_of_rows(batches, shard_rows):
             shard = Shard(batch.column("name").to_numpy(), matrix_of(batch.column("vector").to_pylist(), scale))
