@@ -46,6 +46,7 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(source.decode())
         self.cache = Generations(CACHED_WORDS)
+        self.marks = dict(zip(("", ".", ","), self._ids(["", ".", ","])))
         probe = ["a", "don't", "wORds9", "<|x|>", "é,", "", "b"]
         alone = [np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() for word in probe]
         if self._ids(probe) != alone:
@@ -69,10 +70,28 @@ class WordTokenizer:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         new = self.cache.missing(set().union(*split))
         if new:
-            self.cache.new.update(zip(new, self._ids(new)))
+            self._learn(new)
         known = self.cache.new
         return [b"".join([known[word] for word in words]) for words in split]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Spellings that the tokenizer takes alike are given to the library once:
+        capital letters of ASCII, and a mark at the end, which is a token of its own after a letter."""
+        known, plain = self.cache.new, [_plain(word) for word in words]
+        asked = list({base for base, _ in plain} - known.keys())
+        found = dict(zip(asked, self._ids(asked)))
+        for word, (base, mark) in zip(words, plain):
+            ids = found[base] if base in found else known[base]
+            known[word] = ids + self.marks[mark]
+
+
+def _plain(word: str) -> tuple[str, str]:
+    """A word in small letters, and the mark at its end."""
+    if not word.isascii() or "<|" in word:
+        return word, ""
+    word = word.lower()
+    return (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
+
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAIRS, least_count: int = LEAST_COUNT) -> bytes:
     """Ids as a block: header, rules, expansion lengths, sequence."""
