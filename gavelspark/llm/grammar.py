@@ -33,6 +33,7 @@ ROUND_PAIRS, LEAST_COUNT, ROUNDS = 2048, 32, 6
 CACHED_WORDS = 600_000
 # New words that the library gets in one text.
 _WORDS_AT_ONCE = 4096
+_SLOT_BITS = 18
 _MAGIC = b"GRM1"
 _HEAD = struct.Struct("<4sIIIB")
 
@@ -100,20 +101,25 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAI
     kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
     sequence = ids.astype(kind)
     rules, lengths = np.empty((0, 2), dtype=kind), np.empty(0, dtype=np.uint32)
-    for _ in range(rounds):
+    for step in range(rounds):
         if len(sequence) < 2:
             break
         pairs = (sequence[:-1] << kind(shift)) | sequence[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[starts, len(ordered)])
+        # a slot of the table counts one pair; pairs that share its slot wait for another round
+        slots = _slots(pairs, step)
+        held = np.zeros(1 << _SLOT_BITS, dtype=kind)
+        held[slots] = pairs
+        own = held[slots] == pairs
+        counts = np.bincount(slots[own], minlength=len(held))
         often = np.flatnonzero(counts >= least_count)
         if not len(often):
             break
         # the most frequent first, smaller pairs first among equals
-        often = often[np.argsort(-counts[often], kind="stable")][:round_pairs]
-        wanted = ordered[starts[often]]
-        rank = _ranks(wanted, pairs)
+        often = often[np.lexsort((held[often], -counts[often]))][:round_pairs]
+        wanted = held[often]
+        place_of = np.full(len(held), len(wanted), dtype=np.int32)
+        place_of[often] = np.arange(len(often), dtype=np.int32)
+        rank = np.where(own, place_of[slots], np.int32(len(wanted)))
         # a pair is replaced where neither neighbour is a better one; in a run of one pair every other one
         before, after = np.r_[np.int32(len(wanted)), rank[:-1]], np.r_[rank[1:], np.int32(len(wanted))]
         at = np.arange(len(rank))
@@ -136,15 +142,12 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAI
     return head + rules.astype(stored).tobytes() + lengths.astype("<u4").tobytes() + sequence.astype(stored).tobytes()
 
 
-def _ranks(wanted: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Place of every pair among the wanted ones, or their number. Of wanted pairs that share a
-    slot of the table the best stays; the others wait for another round."""
-    table = np.full(1 << 18, len(wanted), dtype=np.int32)
-    mixed = wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)
-    table[mixed[::-1]] = np.arange(len(wanted) - 1, -1, -1, dtype=np.int32)
-    rank = table[pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)]
-    rank[np.r_[wanted, wanted[:1]][rank] != pairs] = len(wanted)
-    return rank
+def _slots(pairs: np.ndarray, step: int) -> np.ndarray:
+    """A slot for every pair; which pairs share one differs from round to round."""
+    factor = 0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * step
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(factor & 0xFFFFFFFF) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+    return (pairs * np.uint64(factor & 0xFFFFFFFFFFFFFFFF) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def _spans(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
