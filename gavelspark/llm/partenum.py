@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.llm.components import components
-from gavelspark.llm.rows import id_and_text, slices
+from gavelspark.llm.rows import id_and_text, slices, small_or_not
 from gavelspark.operators.scan import running_before
 from gavelspark.session import shared_folder
 
@@ -40,8 +40,6 @@ SPARE = 24
 _SINGLE, _FILL = 64, 1.5
 # Shingles of a block of documents that are compared with another block at a time.
 BLOCK_SHINGLES = 1 << 18
-# A list of so many documents at most is broadcast.
-BROADCAST_ROWS = 500_000
 
 _PIECE = 1 << 20
 _U = np.uint64
@@ -280,9 +278,7 @@ def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
 
 def _verified(rows: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between documents of one class; ``members`` has ``doc``, ``component``, ``block``, ``blocks``."""
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    texts = rows.join(members, "doc").select("doc", "component", "block", "blocks", "text")
+    texts = rows.join(small_or_not(members), "doc").select("doc", "component", "block", "blocks", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):

@@ -70,6 +70,15 @@ def about(rows: DataFrame, total: int, wanted: int, *by: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(scale)) < int(scale * wanted / total))
 
 
+# A table of few numbers and of so many rows at most is broadcast (some tens of megabytes).
+BROADCAST_ROWS = 500_000
+
+
+def small_or_not(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small: joined without a shuffle of the other side."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 class Generations:
     """A bounded cache: two dicts, of which the older is forgotten when the newer is full."""
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.llm.rows import id_and_text, text_digest
+from gavelspark.llm.rows import id_and_text, small_or_not, text_digest
 from gavelspark.session import shared_folder
 
 # Leading tokens that lead to a leaf.
@@ -59,12 +59,14 @@ def recurring(
 
     # a document counts once for each leaf
     own = F.array_distinct(F.transform(F.filter("lines", lambda line: ~_blank(line)), lambda line: _leaf(line, depth)))
-    leaves = rows.select(F.explode(own).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
-    often = leaves.filter(F.col("n") >= least_docs).select("leaf")
-    split = rows.select(*document, F.posexplode("lines").alias("number", "line")).filter(~_blank(F.col("line")))
-    path = shared_folder(docs.sparkSession, "template-lines")
-    split.withColumn("leaf", _leaf(F.col("line"), depth)).join(often, "leaf", "left_semi").write.parquet(path)
-    lines = docs.sparkSession.read.parquet(path).withColumn("name", F.xxhash64("line"))
+    leaves = rows.select(F.explode_outer(own).alias("leaf")).filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"))
+    folder, read = shared_folder(docs.sparkSession, "template-lines"), docs.sparkSession.read
+    leaves.filter(F.col("n") >= least_docs).select("leaf").write.parquet(f"{folder}/leaves")
+    # the outer form: else the texts are masked and split once more, to see whether there are lines
+    split = rows.select(*document, F.posexplode_outer("lines").alias("number", "line")).filter(~_blank(F.col("line")))
+    split = split.withColumn("leaf", _leaf(F.col("line"), depth))
+    split.join(small_or_not(read.parquet(f"{folder}/leaves")), "leaf", "left_semi").write.parquet(f"{folder}/lines")
+    lines = read.parquet(f"{folder}/lines").withColumn("name", F.xxhash64("line"))
 
     once = lines.groupBy("leaf", "name", *document).agg(F.first("line").alias("line"))
     kinds = once.groupBy("leaf", "name").agg(F.count("*").alias("n"), F.first("line").alias("line"))
