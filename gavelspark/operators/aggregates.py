@@ -115,15 +115,16 @@ def _moving_average_of_hot(
 ) -> DataFrame:
     """Rows are numbered by a chunked scan and cut into blocks.
 
-    Each block also gets the ``last - 1`` rows before it, so that the frames run block by block.
+    Each block also gets the ``last - 1`` rows before it, from as many blocks as these take,
+    so that the frames run block by block.
     """
     columns = rows.columns
     numbered = running_before(rows, [key], order_by, {"_n": ("sum", one)}, ALL_HOT).withColumn(
         "_n", F.coalesce("_n", F.lit(0))
     )
     own = F.floor(F.col("_n") / block)
-    # the last rows of a block also lead in the next one
-    leads = F.when(F.pmod(F.col("_n"), F.lit(block)) >= block - (last - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    # a row also leads in every later block that a frame with it reaches
+    leads = F.sequence(own, F.floor((F.col("_n") + (last - 1)) / block))
     placed = numbered.withColumn("_block", F.explode(leads))
     frame = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(-(last - 1), 0)
     return _averaged(placed, frame, value).filter(F.col("_block") == own).select(*columns, "sales", f"avg_{value}")

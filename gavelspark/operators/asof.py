@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
@@ -63,14 +63,27 @@ def latest_join(
     The filters apply to the pair, after "latest" is settled. ``prefilter`` drops persons
     of other states before, so that moving away leaves the old version in force.
     """
-    if prefilter:
-        persons = in_states(persons, states)
-    history = _tagged(auctions, persons, ["id", "category"])
+    history = latest_history(auctions, persons, states, prefilter)
+    return latest_pairs(history, category, states, chunk, hot_rows)
+
+
+def latest_history(
+    auctions: DataFrame, persons: DataFrame, states: Sequence[str] = LOCAL_STATES, prefilter: bool = False
+) -> DataFrame:
+    """Arrivals of both inputs by seller: ``key``, ``seq``, and ``item`` or ``person``."""
+    return _tagged(auctions, in_states(persons, states) if prefilter else persons, ["id", "category"])
+
+
+def latest_pairs(
+    history: DataFrame, category: int = LOCAL_CATEGORY, states: Sequence[str] = LOCAL_STATES, chunk: int = SEQ_CHUNK,
+    hot_rows: float | None = HOT_ROWS, emits: Column | None = None,
+) -> DataFrame:
+    """The pair at each arrival of a history; ``emits`` tells the arrivals that count."""
     seen = running_before(
         history, ["key"], [("seq", chunk)], {"last_item": ("max", "item"), "last_person": ("max", "person")},
         hot_rows,
     )
-    pairs = seen.select(
+    pairs = (seen if emits is None else seen.filter(emits)).select(
         F.coalesce("item", "last_item").alias("item"), F.coalesce("person", "last_person").alias("person")
     )
     matches = (F.col("item.category") == category) & F.col("person.state").isin(*states)
@@ -97,12 +110,28 @@ def buffered_join(
     after the bid's ``watermark`` (where the column is there and not null). All other bids
     wait for the next version of the auction and are then released whatever their time.
     """
+    return released(met_bids(bids, auctions, keep, chunk, hot_rows), keep)
+
+
+def released(met: DataFrame, keep: Sequence[str] = ("seller",)) -> DataFrame:
+    """The joined rows of the bids that met a version."""
+    return met.filter(F.col("_met").isNotNull()).select(
+        F.col("_met.id").alias("auction"), F.col("bid.price").alias("price"), F.col("_met.expires").alias("expires"),
+        *[F.col(f"_met.{k}").alias(k) for k in keep],
+    )
+
+
+def met_bids(
+    bids: DataFrame, auctions: DataFrame, keep: Sequence[str] = ("seller",), chunk: int = SEQ_CHUNK,
+    hot_rows: float | None = HOT_ROWS,
+) -> DataFrame:
+    """Every bid (``key``, ``seq``, ``bid``) with the version ``_met`` that it is joined to; null if it still waits."""
     fields = ["id", "expires", *keep]
     has_watermark = "watermark" in bids.columns
     offer = ["price", "ts", *(["watermark"] if has_watermark else [])]
     b = bids.select(F.col("auction").alias("key"), "seq", F.struct("seq", *offer).alias("bid"))
     a = auctions.select(F.col("id").alias("key"), "seq", F.struct("seq", *fields).alias("item"))
-    history = b.unionByName(a, allowMissingColumns=True)
+    history = present(b.unionByName(a, allowMissingColumns=True), "key")
     if hot_rows in (ALL_HOT, NONE_HOT):
         both = _last_and_next(history, chunk, hot_rows)
     else:
@@ -114,11 +143,7 @@ def buffered_join(
     if has_watermark:
         live = live & (F.col("bid.watermark").isNull() | (F.col("_last.expires") > F.col("bid.watermark")))
     met = F.when(F.coalesce(live, F.lit(False)), F.col("_last")).otherwise(F.col("_next.item"))
-    out = both.withColumn("_met", met).filter(F.col("_met").isNotNull())
-    return out.select(
-        F.col("_met.id").alias("auction"), F.col("bid.price").alias("price"), F.col("_met.expires").alias("expires"),
-        *[F.col(f"_met.{k}").alias(k) for k in keep],
-    )
+    return both.select("key", "seq", "bid", met.alias("_met"))
 
 
 def _last_and_next(history: DataFrame, chunk: int, hot_rows: float | None) -> DataFrame:

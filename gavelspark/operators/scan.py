@@ -32,21 +32,29 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 
 def chunk_of(df: DataFrame, name: str, width: int | str) -> Column:
     """Start of the chunk a value falls in; grows with the value."""
-    if isinstance(df.schema[name].dataType, _TIMES):
-        at = F.unix_micros(F.col(name).cast("timestamp"))
-        return at - F.pmod(at, F.lit(micros(width)))
-    return F.col(name) - F.pmod(F.col(name), F.lit(width))
+    at = F.unix_micros(F.col(name).cast("timestamp")) if isinstance(df.schema[name].dataType, _TIMES) else F.col(name)
+    return at - F.pmod(at, F.lit(plain_width(width)))
+
+
+def plain_width(width: int | str) -> int:
+    return micros(width) if isinstance(width, str) else width
 
 
 def order_names(order_by: OrderBy) -> list[str]:
     return [o if isinstance(o, str) else o[0] for o in order_by]
 
 
-def order_levels(df: DataFrame, order_by: OrderBy) -> tuple[DataFrame, list[str]]:
+# An order without a key also gets chunks of so many chunks, and of so many of those.
+_WIDER = (1 << 20, 1 << 10)
+
+
+def order_levels(df: DataFrame, order_by: OrderBy, widen: bool = False) -> tuple[DataFrame, list[str]]:
     """Add the level columns of an order, coarse to fine.
 
     Every column up to the last one with a width gets a chunk level and, unless it is
-    that last one, a level of its own; the rest of the order is one struct.
+    that last one, a level of its own; the rest of the order is one struct. With ``widen``
+    there are coarser levels above the first: however few rows a chunk holds, what is
+    left for the one window over all of them is small.
     """
     specs = [(o, None) if isinstance(o, str) else tuple(o) for o in order_by]
     chunked = [i for i, (_, width) in enumerate(specs) if width is not None]
@@ -54,6 +62,10 @@ def order_levels(df: DataFrame, order_by: OrderBy) -> tuple[DataFrame, list[str]
     levels: list[str] = []
     for i, (name, width) in enumerate(specs[: last + 1]):
         if width is not None:
+            for factor in _WIDER if widen and i == 0 else ():
+                if plain_width(width) * factor < 1 << 62:
+                    levels.append(f"_wide{factor}")
+                    df = df.withColumn(levels[-1], chunk_of(df, name, plain_width(width) * factor))
             levels.append(f"_chunk{i}")
             df = df.withColumn(levels[-1], chunk_of(df, name, width))
         if i < last:
@@ -75,6 +87,8 @@ def present(df: DataFrame, *names: str) -> DataFrame:
 
 # Rows of a key that one task may hold.
 HOT_ROWS = 1 << 22
+# The list of hot keys is broadcast if each has so many rows at least: then it is short.
+LISTED_ROWS = 1 << 20
 # Instead of such a number: no key is hot, or all keys are. Rows are then not counted first.
 NONE_HOT, ALL_HOT = float("inf"), None
 
@@ -85,13 +99,15 @@ def split_keys(
     """The rows of ordinary keys, and those of keys with more than ``hot_rows`` rows.
 
     ``weight`` counts a row as several. There is at most one hot key per ``hot_rows`` rows,
-    a million in 4 * 10^12: their list is broadcast. If it is empty, Spark does not run
-    what is built on the hot rows.
+    a million in 4 * 10^12: such a list is broadcast, one of smaller keys only if it turns out
+    small. If it is empty, Spark does not run what is built on the hot rows.
     """
     total = F.count("*") if weight is None else F.sum(weight)
     # compared as one struct: from single columns Spark derives filters that set the uses of ``rows`` apart
     key = F.struct(*keys)
-    hot = F.broadcast(rows.groupBy(*keys).agg(total.alias("_rows")).filter(F.col("_rows") > hot_rows).select(key.alias("_hot")))
+    hot = rows.groupBy(*keys).agg(total.alias("_rows")).filter(F.col("_rows") > hot_rows).select(key.alias("_hot"))
+    if hot_rows >= LISTED_ROWS:
+        hot = F.broadcast(hot)
     is_hot = key == F.col("_hot")
     return rows.join(hot, is_hot, "left_anti"), rows.join(hot, is_hot, "left_semi")
 
@@ -135,7 +151,7 @@ def _chunked(
     rows: DataFrame, keys: Sequence[str], order_by: OrderBy, measures: dict[str, tuple[str, str | Column]]
 ) -> DataFrame:
     columns = rows.columns
-    df, levels = order_levels(rows, order_by)
+    df, levels = order_levels(rows, order_by, widen=not keys)
     inputs = {f"_in_{name}": op for name, (op, _) in measures.items()}
     for name, (_, source) in measures.items():
         df = df.withColumn(f"_in_{name}", F.col(source) if isinstance(source, str) else source)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,36 +30,45 @@ def windowed(
 
 
 def sliding_counts(
-    df: DataFrame, keys: Sequence[str], size: str, slide: str, ts: str = "ts", name: str = "n"
+    df: DataFrame, keys: Sequence[str], size: str, slide: str, ts: str = "ts", name: str = "n", weight: str | None = None
 ) -> DataFrame:
-    """Rows per sliding window and key, by way of panes.
+    """Rows per sliding window and key, by way of panes. ``weight`` counts a row as several.
 
     Assigning rows to windows multiplies them by size/slide. Here rows are counted per
     pane of one slide first. A pane feeds windows that start within one ``size`` before
     it, that is in at most two size-long stretches: it is sent to both, and only there
     fanned out to windows, which need no second exchange.
     """
+    one = F.count("*") if weight is None else F.sum(weight)
     size_us, slide_us = micros(size), micros(slide)
-    if size_us % slide_us:
-        return windowed(df, [F.count("*").alias(name)], size, slide, keys, ts)
+    if df.isStreaming and size_us % slide_us:
+        return windowed(df, [one.alias(name)], size, slide, keys, ts)
     if df.isStreaming:
-        panes = df.groupBy(F.window(ts, slide).alias("pane"), *keys).agg(F.count("*").alias("_n"))
+        panes = df.groupBy(F.window(ts, slide).alias("pane"), *keys).agg(one.alias("_n"))
         return flat_window(panes.groupBy(F.window("pane", size, slide), *keys).agg(F.sum("_n").alias(name)))
 
     kind = df.schema[ts].dataType.simpleString()
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    panes = df.groupBy(*keys, (at - F.pmod(at, F.lit(slide_us))).alias("_pane")).agg(F.count("*").alias("_n"))
-    oldest = F.col("_pane") - (size_us - slide_us)
+    # a pane lies within the same windows as a whole: its width divides size and slide
+    pane_us = gcd(size_us, slide_us)
+    panes = df.groupBy(*keys, (at - F.pmod(at, F.lit(pane_us))).alias("_pane")).agg(one.alias("_n"))
+    newest = F.col("_pane") - F.pmod(F.col("_pane"), F.lit(slide_us))
+    late = F.col("_pane") - size_us + pane_us
+    # the first window start from there on
+    oldest = late + F.pmod(-late, F.lit(slide_us))
+
+    # a stretch begins with a window start, whether or not the slide divides the size
+    long_us = -(-size_us // slide_us) * slide_us
 
     def stretch(c: Column) -> Column:
-        return c - F.pmod(c, F.lit(size_us))
+        return c - F.pmod(c, F.lit(long_us))
 
-    placed = panes.withColumn(
-        "_stretch", F.explode(F.array_distinct(F.array(stretch(oldest), stretch(F.col("_pane")))))
+    placed = panes.filter(oldest <= newest).withColumn(
+        "_stretch", F.explode(F.array_distinct(F.array(stretch(oldest), stretch(newest))))
     ).repartition(*keys, "_stretch")
     starts = F.sequence(
         F.greatest(F.col("_stretch"), oldest),
-        F.least(F.col("_stretch") + (size_us - slide_us), F.col("_pane")),
+        F.least(F.col("_stretch") + (long_us - slide_us), newest),
         F.lit(slide_us),
     )
     counted = (

@@ -1,7 +1,10 @@
 """Queries run as streams over the tables' files, up to what is there now.
 
-Append mode emits a window once it is over, so the SQL of windowed queries is limited to
-windows that end by the latest event time less the delay.
+Results do not depend on how a table is cut into files and micro-batches. What merges (counts,
+sums, maxima, records) is aggregated per micro-batch and merged when read. What depends on the
+order of arrival carries a small table from one micro-batch to the next; its files have to be
+written in that order. Windows count once they are over: the SQL of windowed queries is limited
+to windows that end by the latest event time less the delay.
 """
 
 from __future__ import annotations
@@ -13,9 +16,8 @@ from gavelspark.plans import aggregates as batch
 from gavelspark.plans.joins import PENDING_SQL, VERSIONS_SQL, latest_sql, new_sellers_sql
 from gavelspark.plans.registry import query
 from gavelspark.sources import tables
-from gavelspark.streaming import stateful
+from gavelspark.streaming import carried, stateful
 from gavelspark.streaming.run import run_available, run_partials
-from gavelspark.streaming.windows import highest_bids_stream, hot_items_stream
 
 DELAY = "20 seconds"
 SALTS = 4  # parts of a join key: streams have no skew join
@@ -26,16 +28,21 @@ def _closed(sql: str) -> str:
     WHERE r.window_end <= (SELECT max(ts) FROM events) - INTERVAL 20 SECOND"""
 
 
-def _stream(spark, sf_dir, table):
-    return tables.stream_table(spark, sf_dir, table)
+_stream = tables.stream_table
 
 
-def _keyed(spark, sf_dir, table):
-    return tables.stream_table(spark, sf_dir, table, tables.KEYED_BATCH)
+def _event_bids(spark, sf_dir):
+    return tables.event_bids_from(_stream(spark, sf_dir, "events"))
 
 
-def _event_bids(spark, sf_dir, source=_stream):
-    return windows.with_watermark(tables.event_bids_from(source(spark, sf_dir, "events")), DELAY)
+def _latest(ts="ts"):
+    """The latest event time of a micro-batch."""
+    return lambda rows: rows.agg(F.max(ts).alias("ts"))
+
+
+def _over(result, parts):
+    """The windows that end by the latest event time less the delay."""
+    return windows.closed_windows(result, parts["latest"], DELAY)
 
 
 def _zone_free(df):
@@ -77,31 +84,52 @@ def stream_bid_auction_join(spark, sf_dir):
     return _results(joined, "bid-auction")
 
 
+_PANE = "1 minute"
+
+
+def _panes(rows):
+    return rows.groupBy(F.window("ts", _PANE)["start"].alias("ts"), "auction").agg(F.count("*").alias("n"))
+
+
+def _counts(spark, sf_dir, label):
+    parts = run_partials(_event_bids(spark, sf_dir), {"panes": _panes, "latest": _latest()}, label)
+    return _over(windows.sliding_counts(parts["panes"], ["auction"], "60 minutes", _PANE, weight="n"), parts)
+
+
 @query("stream_q5_bid_counts", _closed(batch.COUNTS_SQL), "ebid")
 def stream_q5_bid_counts(spark, sf_dir):
-    return _results(aggregates.bid_counts(_event_bids(spark, sf_dir)), "q5-counts")
+    return _counts(spark, sf_dir, "q5-counts")
 
 
 @query("stream_q5_hot_items", _closed(batch.HOT_SQL), "ebid")
 def stream_q5_hot_items(spark, sf_dir):
-    return _results(hot_items_stream(_event_bids(spark, sf_dir)), "q5-hot")
+    return joins.at_group_max(_counts(spark, sf_dir, "q5-hot"), windows.WINDOW_COLUMNS, "n")
 
 
 @query("stream_q7_highest_bid_per_auction", _closed(batch.highest_per_auction_sql("10 MINUTE")), "ebid")
 def stream_q7_highest_bid_per_auction(spark, sf_dir):
-    return _results(aggregates.highest_bid_per_auction(_event_bids(spark, sf_dir), "10 minutes"), "q7-auction")
+    # the best row of a window stays a row with its time: the best of those is the best of all
+    best = lambda rows: rows.groupBy(F.window("ts", "10 minutes"), "auction").agg(
+        F.max(F.struct("price", "ts", "bidder")).alias("top")
+    ).select("auction", "top.*")
+    parts = run_partials(_event_bids(spark, sf_dir), {"best": best, "latest": _latest()}, "q7-auction")
+    return _over(aggregates.highest_bid_per_auction(parts["best"], "10 minutes"), parts)
 
 
 @query("stream_q7_highest_bid", _closed(batch.HIGHEST_SQL), "ebid")
 def stream_q7_highest_bid(spark, sf_dir):
-    return _results(highest_bids_stream(_event_bids(spark, sf_dir), "10 minutes"), "q7")
+    parts = run_partials(
+        _event_bids(spark, sf_dir), {"best": lambda rows: aggregates.highest_bids(rows, "10 minutes"), "latest": _latest()}, "q7"
+    )
+    return _over(joins.at_group_max(parts["best"], windows.WINDOW_COLUMNS, "price"), parts)
 
 
 @query("stream_q8_new_sellers", new_sellers_sql("member", "item", "1 DAY"), "member item")
 def stream_q8_new_sellers(spark, sf_dir):
-    events = lambda: windows.with_watermark(_stream(spark, sf_dir, "events"), DELAY)
-    persons, items = tables.event_persons_from(events()), tables.event_items_from(events())
-    return _results(joins.new_sellers(persons, items, "1 day", salts=SALTS), "q8")
+    parts = run_partials(
+        _stream(spark, sf_dir, "events"), {"persons": tables.event_persons_from, "items": tables.event_items_from}, "q8"
+    )
+    return joins.new_sellers(parts["persons"], parts["items"], "1 day")
 
 
 _SEQ_RECORDS = """
@@ -119,17 +147,17 @@ def record_highs_by_arrival(spark, sf_dir):
 
 @query("stream_record_highs", _SEQ_RECORDS, "ebid")
 def stream_record_highs(spark, sf_dir):
-    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).select("auction", "seq", "price", "bidder")
-    return _results(stateful.record_highs_stream(bids, "auction"), "records")
+    bids = _event_bids(spark, sf_dir).select("auction", "seq", "price", "bidder")
+    return carried.record_highs(bids, "auction", "records")
 
 
 @query("stream_record_highs_by_batch", _SEQ_RECORDS, "ebid")
 def stream_record_highs_by_batch(spark, sf_dir):
     # a record of all rows is a record of its micro-batch: the batch operator, with its care
     # for hot keys, runs on each of them and once more on what they leave
-    bids = tables.event_bids_from(_stream(spark, sf_dir, "events")).select("auction", "seq", "price", "bidder")
+    bids = _event_bids(spark, sf_dir).select("auction", "seq", "price", "bidder")
     highs = lambda rows: aggregates.record_highs(rows, "auction", "seq", 1 << 20, ["bidder"])
-    return highs(run_partials(bids, highs, "record-parts"))
+    return highs(run_partials(bids, {"highs": highs}, "record-parts")["highs"])
 
 
 _SEQ_RUNNING = """
@@ -145,38 +173,35 @@ def running_avg_by_arrival(spark, sf_dir):
 
 @query("stream_running_avg", _SEQ_RUNNING, "ebid")
 def stream_running_avg(spark, sf_dir):
-    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).select("auction", "seq", "price")
-    return _results(stateful.running_average_stream(bids, "auction"), "running")
+    bids = _event_bids(spark, sf_dir).select("auction", "seq", "price")
+    return carried.running_average(bids, "auction", "running")
 
 
-def _people_and_items(spark, sf_dir):
-    persons = tables.event_persons_from(_keyed(spark, sf_dir, "events"))
-    return tables.event_items_from(_keyed(spark, sf_dir, "events")), persons
+def _items_and_people(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events")
+    return tables.event_items_from(events), tables.event_persons_from(events)
 
 
 @query("stream_q3_pending_join", PENDING_SQL, "item member")
 def stream_q3_pending_join(spark, sf_dir):
-    items, persons = _people_and_items(spark, sf_dir)
-    return _results(stateful.pending_join_stream(items, persons), "pending")
+    return carried.pending_join(*_items_and_people(spark, sf_dir), "pending")
 
 
 @query("stream_q3_latest_join", latest_sql(False), "item member")
 def stream_q3_latest_join(spark, sf_dir):
-    items, persons = _people_and_items(spark, sf_dir)
-    return _results(stateful.latest_join_stream(items, persons), "latest")
+    return carried.latest_join(*_items_and_people(spark, sf_dir), "latest")
 
 
 @query("stream_q3_latest_join_prefiltered", latest_sql(True), "item member")
 def stream_q3_latest_join_prefiltered(spark, sf_dir):
-    items, persons = _people_and_items(spark, sf_dir)
-    return _results(stateful.latest_join_stream(items, persons, prefilter=True), "latest")
+    return carried.latest_join(*_items_and_people(spark, sf_dir), "latest-prefiltered", prefilter=True)
 
 
 @query("stream_bid_auction_buffered", VERSIONS_SQL, "ebid version")
 def stream_bid_auction_buffered(spark, sf_dir):
-    bids = tables.event_bids_from(_keyed(spark, sf_dir, "events")).withColumn("seq", 2 * F.col("seq"))
-    versions = tables.event_versions_from(_keyed(spark, sf_dir, "events"))
-    return _results(stateful.buffered_join_stream(bids, versions), "buffered")
+    events = _stream(spark, sf_dir, "events")
+    bids = tables.event_bids_from(events).withColumn("seq", 2 * F.col("seq"))
+    return carried.buffered_join(bids, tables.event_versions_from(events), "buffered")
 
 
 # Auctions whose end the watermark has passed when the stream has read everything.
@@ -185,9 +210,9 @@ def stream_bid_auction_buffered(spark, sf_dir):
     FROM ubid b JOIN cauction a ON b.auction = a.id
     WHERE b.ts < a.expires OR a.expires <= (SELECT max(ts) FROM events) - INTERVAL 20 SECOND""", "ubid cauction")
 def stream_expired_bid_flush(spark, sf_dir):
-    bids = tables.user_bids_from(_keyed(spark, sf_dir, "events"))
-    auctions = tables.customer_auctions_from(_keyed(spark, sf_dir, "customer"))
-    return _results(stateful.expiry_timer_stream(bids, auctions, DELAY), "expiry")
+    bids = tables.user_bids_from(_stream(spark, sf_dir, "events"))
+    auctions = tables.customer_auctions_from(_stream(spark, sf_dir, "customer"))
+    return _results(stateful.expiry_timer_stream(bids, auctions, DELAY, hold="365 days"), "expiry")
 
 
 @query("stream_windowed_avg", _closed(f"""
@@ -197,9 +222,13 @@ def stream_expired_bid_flush(spark, sf_dir):
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ebid)
     WHERE best IS NULL OR price > best GROUP BY ALL"""), "ebid")
 def stream_windowed_avg(spark, sf_dir):
-    bids = _event_bids(spark, sf_dir, _keyed).select("auction", "seq", "price", "ts")
-    high = stateful.record_highs_stream(bids, "auction", event_time="ts")
-    return _results(aggregates.windowed_average(high, "auction", "1 day"), "windowed-average")
+    return _windowed_avg(spark, sf_dir, "auction")
+
+
+def _windowed_avg(spark, sf_dir, key):
+    highs = lambda rows: aggregates.record_highs(rows, key, "seq", 1 << 20, ["ts"])
+    parts = run_partials(_event_bids(spark, sf_dir), {"highs": highs, "latest": _latest()}, "windowed-average")
+    return _over(aggregates.windowed_average(highs(parts["highs"]), key, "1 day"), parts)
 
 
 @query("stream_q4_avg_price_by_category", """
@@ -207,12 +236,18 @@ def stream_windowed_avg(spark, sf_dir):
     FROM (SELECT a.id, a.category, max(b.price) AS final FROM bid b JOIN auction a ON b.auction = a.id
           WHERE b.ts BETWEEN a.ts AND a.expires GROUP BY a.id, a.category) GROUP BY category""", "bid auction")
 def stream_q4_avg_price_by_category(spark, sf_dir):
+    finals = _final_prices(spark, sf_dir, "category", joins.IN_LIFETIME, "q4")["finals"]
+    return aggregates.average_price(finals, "category")
+
+
+def _final_prices(spark, sf_dir, key, rule, label):
+    """Highest valid bid per auction: bids stream past the table of auctions, and only maxima are kept."""
+    auctions = tables.auctions(spark, sf_dir)
+    best = lambda rows: aggregates.final_prices(rows, auctions, [key], rule)
     bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
-    auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    valid = joins.bid_auction_join(bids, auctions, rule=joins.IN_LIFETIME, salts=SALTS)
-    best = lambda rows: rows.groupBy("auction", "category").agg(F.max("price").alias("price"))
-    finals = best(run_partials(valid, best, "q4"))
-    return aggregates.average_price(finals.withColumnRenamed("price", "final"), "category")
+    parts = run_partials(bids, {"finals": best, "latest": _latest()}, label)
+    merged = parts["finals"].groupBy("auction", "expires", key).agg(F.max("final").alias("final"))
+    return parts | {"finals": merged}
 
 
 @query("stream_q6_last10", """
@@ -226,7 +261,52 @@ def stream_q4_avg_price_by_category(spark, sf_dir):
     WINDOW w AS (PARTITION BY seller ORDER BY expires, auction ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     "bid auction")
 def stream_q6_last10(spark, sf_dir):
-    bids = tables.bids_from(_keyed(spark, sf_dir, "lineitem"))
-    auctions = tables.auctions_from(_keyed(spark, sf_dir, "orders"))
-    finals = stateful.closed_auction_prices(bids, auctions, "12 hours", SALTS)
-    return _results(stateful.last_sales_stream(finals), "last-sales")
+    parts = _final_prices(spark, sf_dir, "seller", joins.BEFORE_EXPIRY, "last-sales")
+    # an auction is over once both inputs have passed its end
+    ends = tables.auctions(spark, sf_dir).agg(F.max("expires").alias("ts"))
+    passed = parts["latest"].agg(F.max("ts").alias("ts")).union(ends).agg(F.min("ts") - F.expr("interval 12 hours"))
+    finals = parts["finals"].filter(F.col("expires") <= passed.scalar())
+    return aggregates.moving_average(finals, "seller", (("expires", "1 day"), ("auction", 1 << 20)), "final", 10)
+
+
+@query("stream_max_price_per_auction", """
+    SELECT b.auction, a.expires, a.seller, max(b.price) AS final
+    FROM bid b JOIN auction a ON b.auction = a.id WHERE b.ts < a.expires GROUP BY ALL""", "bid auction")
+def stream_max_price_per_auction(spark, sf_dir):
+    return _final_prices(spark, sf_dir, "seller", joins.BEFORE_EXPIRY, "final-prices")["finals"]
+
+
+def _sellers_bids(spark, sf_dir):
+    """Bids streamed past the table of auctions, with the seller; ``seq`` is the day of the bid."""
+    auctions = tables.auctions(spark, sf_dir)
+    bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
+    return bids, lambda rows: joins.bid_auction_join(rows, auctions, ["seller"])
+
+
+@query("stream_bid_auction_seller_join", """
+    SELECT b.auction, b.bidder, b.price, b.ts, a.seller, a.expires FROM bid b JOIN auction a ON b.auction = a.id
+    WHERE b.ts < a.expires""", "bid auction")
+def stream_bid_auction_seller_join(spark, sf_dir):
+    bids, joined = _sellers_bids(spark, sf_dir)
+    columns = ("auction", "bidder", "price", "ts", "seller", "expires")
+    return run_partials(bids, {"joined": lambda rows: joined(rows).select(*columns)}, "seller-join")["joined"]
+
+
+@query("stream_record_highs_seller", batch.records_sql("seller"), "bid auction")
+def stream_record_highs_seller(spark, sf_dir):
+    bids, joined = _sellers_bids(spark, sf_dir)
+    highs = lambda rows: aggregates.record_highs(rows, "seller", chunk="30 days")
+    return highs(run_partials(bids, {"highs": lambda rows: highs(joined(rows))}, "seller-records")["highs"])
+
+
+@query("stream_q6_windowed_avg", batch.windowed_avg_sql("seller", "30 DAY"), "bid auction")
+def stream_q6_windowed_avg(spark, sf_dir):
+    return aggregates.windowed_average(stream_record_highs_seller(spark, sf_dir), "seller", "30 days")
+
+
+@query("stream_throughput", """
+    SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL""")
+def stream_throughput(spark, sf_dir):
+    counts = lambda rows: rows.groupBy(F.window("ts", "1 minute")["start"].alias("window_start")).agg(F.count("*").alias("n"))
+    parts = run_partials(_stream(spark, sf_dir, "events"), {"counts": counts}, "throughput")["counts"]
+    return parts.groupBy("window_start").agg(F.sum("n").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,11 +26,16 @@ def is_local(spark: SparkSession) -> bool:
     return spark.conf.get("spark.master", "local").startswith("local")
 
 
+def _partitions_set(spark: SparkSession) -> bool:
+    """Whether this session names its number of shuffle partitions."""
+    return any(row.key == "spark.sql.shuffle.partitions" for row in spark.sql("SET").collect())
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a running session; returns it."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
-    if is_local(spark) and int(spark.conf.get("spark.sql.shuffle.partitions")) == 200:
+    if is_local(spark) and not _partitions_set(spark):
         cores = spark.sparkContext.defaultParallelism
         spark.conf.set("spark.sql.shuffle.partitions", str(cores))
     return spark
@@ -57,11 +60,9 @@ def build_session(app: str = "gavelspark", cores: str | int = "*", **conf: str)
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors can reach.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Without that setting it is under the warehouse, which a cluster shares too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "gavelspark")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -21,11 +21,13 @@ def decode(records: DataFrame, schema: T.StructType, value: str = "value") -> Da
     """The events of the records that decode; the others are dropped.
 
     Fields absent from a record are null, so ``{}`` decodes to an event of nulls. The
-    one-element ``inline`` makes Spark parse a record once, not once per use of a field.
+    one-element ``explode`` makes Spark parse a record once, not once per use of a field. A null
+    record is told by its parsed form: a filter on the record itself would make Spark
+    compute it once more, where it comes out of an encoder.
     """
-    parsed = records.filter(F.col(value).isNotNull()).select(F.inline(F.array(_parsed(value, schema))))
-    good = parsed.filter(F.col(_CORRUPT).isNull())
-    return with_event_time(good.drop(_CORRUPT))
+    parsed = records.select(F.explode(F.array(_parsed(value, schema))).alias("_event"))
+    good = parsed.filter(F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull())
+    return with_event_time(good.select("_event.*").drop(_CORRUPT))
 
 
 def dead_letters(records: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:

@@ -13,21 +13,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Bytes of input files per micro-batch. Keyed state machines hold what one key brings in a
-# micro-batch in memory, and one key may bring much of it.
-WINDOW_BATCH = 1 << 40
-KEYED_BATCH = 1 << 30
+# Bytes of input files per micro-batch, about; a larger file is one of its own. Results do not
+# depend on it.
+BATCH_BYTES = 1 << 36
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = WINDOW_BATCH) -> DataFrame:
-    """The table's files as a stream; a micro-batch takes a bounded part of them."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's files as a stream, in the order in which they were written.
+
+    The table is one file or a folder of files; without either, reading its schema fails.
+    """
     schema = read_table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", batch_bytes)
-        .parquet(sf_dir)
-    )
+    # a pattern: a plain path would have to be a folder
+    pattern = f"{sf_dir}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(pattern)
 
 
 def minor_units(amount: str) -> Column:

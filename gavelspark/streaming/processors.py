@@ -1,21 +1,17 @@
-"""Keyed state machines over Arrow batches.
+"""A keyed state machine with timers, over Arrow batches.
 
-Rows of a key come without order, so each micro-batch is sorted by ``seq`` here. What a
-key can bring per micro-batch is bounded by the source's per-trigger limit. State beyond
-one row per key (waiting ids, buffered bids) has no such bound: it lives in the state
-store and is read and passed on in slices.
+What a key brings in a micro-batch comes in parts of bounded size, and so does what is
+read from the state; neither is put together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-LOWEST = np.iinfo(np.int64).min
 MILLI = 1000  # event times are microseconds, watermarks and timers are milliseconds
 
 
@@ -23,10 +19,6 @@ def _up_to_millis(micros: int) -> int:
     return -(-micros // MILLI)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
-
-
 SLICE = 100_000
 
 
@@ -37,252 +29,69 @@ def _slices(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield part
 
 
-def _last_at(flags: np.ndarray) -> np.ndarray:
-    """Position of the last flagged row up to each row, -1 before the first."""
-    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
-
-
-def _next_at(flags: np.ndarray) -> np.ndarray:
-    """Position of the first flagged row from each row on, the length after the last."""
-    n = len(flags)
-    return np.minimum.accumulate(np.where(flags, np.arange(n), n)[::-1])[::-1]
-
-
-class RecordHighs(StatefulProcessor):
-    """Rows whose price is above all earlier prices of the key."""
-
-    def __init__(self, order: Sequence[str]) -> None:
-        self._order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._best = handle.getValueState("best", "price long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, self._order)
-        price = batch["price"].to_numpy()
-        known = self._best.exists()
-        start = self._best.get()[0] if known else LOWEST
-        before = np.maximum.accumulate(np.concatenate(([start], price[:-1])))
-        record = price > before
-        if not known:
-            record[0] = True
-        if record.any():
-            self._best.update((int(price[record][-1]),))
-            yield batch[record]
-
-
-class RunningAverage(StatefulProcessor):
-    """Count and average of the prices of the key after every row."""
-
-    def __init__(self, order: Sequence[str]) -> None:
-        self._order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._sums = handle.getValueState("sums", "n long, total long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, self._order)
-        n, total = self._sums.get() if self._sums.exists() else (0, 0)
-        count = n + np.arange(1, len(batch) + 1)
-        sums = total + np.cumsum(batch["price"].to_numpy())
-        self._sums.update((int(count[-1]), int(sums[-1])))
-        yield batch.assign(running_count=count, running_avg=sums / count)
-
-
-class LastSales(StatefulProcessor):
-    """Average of the last few final prices of the key after every sale."""
-
-    def __init__(self, order: Sequence[str], last: int) -> None:
-        self._order, self._last = order, last
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._recent = handle.getListState("recent", "final long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, self._order)
-        held = [row[0] for row in self._recent.get()] if self._recent.exists() else []
-        prices = np.concatenate((np.array(held, dtype=np.int64), batch["final"].to_numpy()))
-        ends = np.arange(len(held) + 1, len(prices) + 1)
-        starts = np.maximum(ends - self._last, 0)
-        sums = np.concatenate(([0], np.cumsum(prices)))
-        self._recent.put([(int(p),) for p in prices[-self._last:]])
-        yield batch.assign(sales=ends - starts, avg_final=(sums[ends] - sums[starts]) / (ends - starts))
-
-
-PERSON = "name string, city string, state string"
-PERSON_FIELDS = ["name", "city", "state"]
-
-
-class PendingJoin(StatefulProcessor):
-    """Auctions meet the person known when they arrive, or wait as a set for the first one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._person = handle.getValueState("person", PERSON)
-        self._waiting = handle.getMapState("waiting", "id long", "there boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["seq"])
-        if self._person.exists():
-            known = pd.DataFrame([self._person.get()], columns=PERSON_FIELDS).assign(is_person=True)
-            batch = pd.concat([known, batch], ignore_index=True)
-            batch["id"] = batch["id"].fillna(0).astype("int64")
-        is_person = batch["is_person"].to_numpy(dtype=bool)
-        last = _last_at(is_person)
-        met = ~is_person & (last >= 0)
-        persons = batch[PERSON_FIELDS]
-        yield persons.iloc[last[met]].assign(id=batch["id"].to_numpy()[met])
-
-        early = np.unique(batch["id"].to_numpy(dtype=np.int64)[~is_person & (last < 0)])
-        held = self._waiting.exists()
-        if held or not is_person.any():
-            for auction in early:
-                self._waiting.updateValue((int(auction),), (True,))
-        if not is_person.any():
-            return
-        first = persons.iloc[int(np.argmax(is_person))]
-        if held:
-            for part in _slices(self._waiting.keys()):
-                yield self._released(first, [row[0] for row in part])
-            self._waiting.clear()
-        elif len(early):
-            yield self._released(first, early)
-        self._person.update(tuple(persons.iloc[last[-1]]))
-
-    @staticmethod
-    def _released(person, auctions) -> pd.DataFrame:
-        return pd.DataFrame({f: person[f] for f in PERSON_FIELDS} | {"id": auctions})
-
-
-class LatestJoin(StatefulProcessor):
-    """The latest auction and the latest person, at each arrival of either."""
-
-    def __init__(self, category: int, states: Sequence[str]) -> None:
-        self._category, self._states = category, list(states)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._person = handle.getValueState("person", PERSON)
-        self._item = handle.getValueState("item", "id long, category long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["seq"])
-        held = 0
-        # the state goes first, as one row of each kind that emits nothing
-        if self._item.exists():
-            batch = pd.concat([self._as_row(self._item, ["id", "category"], False), batch], ignore_index=True)
-            held += 1
-        if self._person.exists():
-            batch = pd.concat([self._as_row(self._person, PERSON_FIELDS, True), batch], ignore_index=True)
-            held += 1
-        is_person = batch["is_person"].to_numpy(dtype=bool)
-        person, item = _last_at(is_person), _last_at(~is_person)
-        both = (person >= 0) & (item >= 0) & (np.arange(len(batch)) >= held)
-        pairs = batch[PERSON_FIELDS].iloc[person[both]].reset_index(drop=True)
-        items = batch[["id", "category"]].iloc[item[both]].reset_index(drop=True)
-        hit = (items["category"] == self._category) & pairs["state"].isin(self._states)
-        yield pairs[hit].assign(id=items.loc[hit, "id"].astype("int64"))
-        if person[-1] >= 0:
-            self._person.update(tuple(batch[PERSON_FIELDS].iloc[person[-1]]))
-        if item[-1] >= 0:
-            self._item.update(tuple(int(v) for v in batch[["id", "category"]].iloc[item[-1]]))
-
-    @staticmethod
-    def _as_row(state, fields, is_person) -> pd.DataFrame:
-        empty = {"id": 0, "category": 0, "name": None, "city": None, "state": None}
-        return pd.DataFrame([empty | dict(zip(fields, state.get())) | {"is_person": is_person}])
-
-
-class BufferedJoin(StatefulProcessor):
-    """Bids on a live auction are passed on; all others wait for its next version."""
-
-    def __init__(self, use_watermark: bool) -> None:
-        self._use_watermark = use_watermark
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._auction = handle.getValueState("auction", "expires_us long, kept long")
-        self._waiting = handle.getListState("waiting", "price long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["seq"])
-        known = self._auction.exists()
-        if known:
-            expires, kept = self._auction.get()
-            first = {"is_auction": True, "price": 0, "ts_us": 0, "expires_us": expires, "kept": kept}
-            batch = pd.concat([pd.DataFrame([first]), batch], ignore_index=True)
-        is_auction = batch["is_auction"].to_numpy(dtype=bool)
-        expires = batch["expires_us"].to_numpy(dtype=np.int64)
-        kept = batch["kept"].to_numpy(dtype=np.int64)
-        price = batch["price"].to_numpy(dtype=np.int64)
-        last, following = _last_at(is_auction), _next_at(is_auction)
-
-        end = np.where(last >= 0, expires[last], LOWEST)
-        live = ~is_auction & (end > batch["ts_us"].to_numpy(dtype=np.int64))
-        if self._use_watermark:
-            live &= end > timerValues.getCurrentWatermarkInMs() * MILLI
-        released = ~is_auction & ~live & (following < len(batch))
-        meets = np.where(live, last, np.minimum(following, len(batch) - 1))
-        out = live | released
-        yield self._joined(key[0], price[out], expires[meets[out]], kept[meets[out]])
-
-        arrived = np.flatnonzero(is_auction[1 if known else 0:]) + (1 if known else 0)
-        if len(arrived) and self._waiting.exists():
-            for part in _slices(self._waiting.get()):
-                held = np.array([row[0] for row in part], dtype=np.int64)
-                ones = np.ones(len(held), dtype=np.int64)
-                yield self._joined(key[0], held, expires[arrived[0]] * ones, kept[arrived[0]] * ones)
-            self._waiting.clear()
-        waits = ~is_auction & ~live & ~released
-        if waits.any():
-            self._waiting.appendList([(int(p),) for p in price[waits]])
-        if len(arrived):
-            self._auction.update((int(expires[arrived[-1]]), int(kept[arrived[-1]])))
-
-    @staticmethod
-    def _joined(auction, price, expires, kept) -> pd.DataFrame:
-        return pd.DataFrame({"auction": auction, "price": price, "expires_us": expires, "kept": kept})
-
-
 BID_FIELDS = ["price", "bidder", "ts_us"]
 
 
 class ExpiryTimer(StatefulProcessor):
     """Bids before their auction's end at once, the others when its end passes.
 
-    A timer at the end releases what is left. The end itself is kept, so that bids which
-    arrive later still are told apart.
+    A timer at the end releases what is left. The auction stays for ``hold`` milliseconds
+    more, so that bids which arrive later still are told apart; bids of an auction that has
+    not come wait as long. Then a second timer clears the state.
     """
 
+    def __init__(self, hold: int) -> None:
+        self._hold_ms = hold
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._auction = handle.getValueState("auction", "expires_us long, kept long, over boolean")
-        # bids of an auction that is not known yet, and bids that wait for the timer
+        # bids of an auction that is not known yet and until when they wait, and bids that wait for the timer
         self._early = handle.getListState("early", "price long, bidder long, ts_us long")
+        self._until = handle.getValueState("until", "ms long")
         self._left = handle.getListState("left", "price long, bidder long, ts_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, ["seq"])
-        auctions, bids = batch[batch["is_auction"]], batch[~batch["is_auction"]][BID_FIELDS]
-        if len(auctions):
-            newest = auctions.iloc[-1]
-            self._auction.update((int(newest["expires_us"]), int(newest["kept"]), False))
-            self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
-            if self._early.exists():
-                for part in self._held(self._early):
-                    yield from self._told_apart(key, part)
-                self._early.clear()
-        if self._auction.exists():
-            yield from self._told_apart(key, bids)
-        else:
-            self._hold(self._early, bids)
+        for part in rows:
+            auctions, bids = part[part["is_auction"]], part[~part["is_auction"]][BID_FIELDS]
+            if len(auctions):
+                newest = auctions.loc[auctions["seq"].idxmax()]
+                self._auction.update((int(newest["expires_us"]), int(newest["kept"]), False))
+                self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
+                if self._early.exists():
+                    for held in self._held(self._early):
+                        yield from self._told_apart(key, held)
+                    self._early.clear()
+                    self._until.clear()
+            if self._auction.exists():
+                yield from self._told_apart(key, bids)
+            elif len(bids):
+                self._hold(self._early, bids)
+                until = _up_to_millis(int(bids["ts_us"].max())) + self._hold_ms
+                if not self._until.exists() or self._until.get()[0] < until:
+                    self._until.update((until,))
+                    self._handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expires, kept, _ = self._auction.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < _up_to_millis(expires):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self._until.exists() and now >= self._until.get()[0]:
+            self._early.clear()
+            self._until.clear()
+        if not self._auction.exists():
+            return
+        expires, kept, over = self._auction.get()
+        end = _up_to_millis(expires)
+        if now < end:
             return  # the end was moved since
-        self._auction.update((expires, kept, True))
-        if self._left.exists():
-            for part in self._held(self._left):
-                yield self._marked(key, part, expires, kept, False)
-            self._left.clear()
+        if not over:
+            self._auction.update((expires, kept, True))
+            self._handle.registerTimer(end + self._hold_ms)
+            if self._left.exists():
+                for part in self._held(self._left):
+                    yield self._marked(key, part, expires, kept, False)
+                self._left.clear()
+        if now >= end + self._hold_ms:
+            self._auction.clear()
 
     def _told_apart(self, key, bids: pd.DataFrame) -> Iterator[pd.DataFrame]:
         expires, kept, over = self._auction.get()
@@ -301,7 +110,7 @@ class ExpiryTimer(StatefulProcessor):
     @staticmethod
     def _hold(state, bids: pd.DataFrame) -> None:
         if len(bids):
-            state.appendList([tuple(int(v) for v in row) for row in bids.itertuples(index=False)])
+            state.appendList(list(map(tuple, bids.to_numpy(dtype="int64").tolist())))
 
     @staticmethod
     def _marked(key, bids, expires, kept, accepted) -> pd.DataFrame:

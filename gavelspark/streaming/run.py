@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from gavelspark.session import shared_folder
@@ -29,26 +30,67 @@ def run_available(stream: DataFrame, label: str, folder: str | None = None) -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+Partial = Callable[[DataFrame], DataFrame]
+
+
 def run_partials(
-    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], label: str, folder: str | None = None
-) -> DataFrame:
-    """Aggregate each micro-batch on its own; the partial results of all batches as a batch frame.
+    stream: DataFrame, partials: dict[str, Partial], label: str, folder: str | None = None
+) -> dict[str, DataFrame]:
+    """Aggregate each micro-batch on its own; by name the partial results of all batches.
 
-    A batch that is run again overwrites its own part. Whoever reads the parts merges them,
-    which is all that sums, counts, minima and maxima need.
+    A batch that is run again overwrites its own parts. Whoever reads the parts merges them,
+    which is all that sums, counts, minima and maxima need, and does not depend on what came in
+    which batch.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, label)
+    nothing = spark.createDataFrame([], stream.schema)
+    schemas = {name: partial(nothing).schema for name, partial in partials.items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        for name, partial in partials.items():
+            partial(batch).write.mode("overwrite").parquet(f"{folder}/{name}/{batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    _run_batches(stream, write, folder)
+    return {name: _parts(spark, schema, f"{folder}/{name}") for name, schema in schemas.items()}
+
+
+# New rows and what was carried from earlier batches give the results and what is carried on.
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def run_carried(stream: DataFrame, step: Step, carried: T.StructType | str, label: str, folder: str | None = None) -> DataFrame:
+    """Run a batch operator on each micro-batch, together with a table that it carries on.
+
+    The table holds what later rows may still meet, say the last row of each key. It is
+    written next to the results, batch by batch, so that a batch that is run again begins
+    with the same table and overwrites its own results. No key is gathered in one task.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, label)
+    before = spark.createDataFrame([], carried)
+    schema = step(spark.createDataFrame([], stream.schema), before)[0].schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        read = batch.sparkSession.read.schema(before.schema)
+        held = read.parquet(f"{folder}/carried/{batch_id - 1}") if batch_id else before
+        results, left = step(batch, held)
+        results.write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+        left.write.mode("overwrite").parquet(f"{folder}/carried/{batch_id}")
+
+    _run_batches(stream, write, folder)
+    return _parts(spark, schema, f"{folder}/out")
+
+
+def _run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> None:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _parts(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    """All parts in a folder; there may be none."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/none")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
 
 
 def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataStreamWriter:

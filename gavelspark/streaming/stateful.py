@@ -1,98 +1,15 @@
-"""Stream operators that a relational plan cannot express, on keyed state.
-
-They emit what their batch twins in ``operators`` give for rows arriving in ``seq``
-order. They need the RocksDB state store (``session.tune``).
-"""
+"""Stream operators with timers, on keyed state. They need the RocksDB state store (``session.tune``)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gavelspark.operators.joins import keyed_join
-from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES, in_states
+from gavelspark.functions.intervals import micros
+from gavelspark.operators.scan import present
 from gavelspark.streaming import processors
 
 
-def record_highs_stream(
-    rows: DataFrame, key: str, order: Sequence[str] = ("seq",), event_time: str | None = None
-) -> DataFrame:
-    """With ``event_time``, a watermarked column, the result can go on into windows."""
-    grouped, processor = rows.groupBy(key), processors.RecordHighs(list(order))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-    if event_time:
-        return grouped.transformWithStateInPandas(
-            processor, schema, "Append", "EventTime", eventTimeColumnName=event_time
-        )
-    return grouped.transformWithStateInPandas(processor, schema, "Append", "None")
-
-
-def running_average_stream(rows: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
-    schema = T.StructType(list(rows.schema)).add("running_count", "long").add("running_avg", "double")
-    return rows.groupBy(key).transformWithStateInPandas(
-        processors.RunningAverage(list(order)), schema, "Append", "None"
-    )
-
-
-def last_sales_stream(
-    finals: DataFrame, key: str = "seller", order: Sequence[str] = ("expires", "auction"), last: int = 10
-) -> DataFrame:
-    """Final prices (``final``) of closed auctions, with the average of the seller's last ones."""
-    schema = T.StructType(list(finals.schema)).add("sales", "long").add("avg_final", "double")
-    return finals.groupBy(key).transformWithStateInPandas(
-        processors.LastSales(list(order), last), schema, "Append", "None"
-    )
-
-
-def closed_auction_prices(bids: DataFrame, auctions: DataFrame, delay: str, salts: int = 1) -> DataFrame:
-    """Highest bid before its end of each auction that is over.
-
-    The end is the auctions' event time: no more bids can come for an auction once the
-    watermark has passed its end, and its result is then final.
-    """
-    offers = bids.select("auction", "price", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    ends = auctions.select(F.col("id").alias("auction_id"), "seller", F.col("expires").cast("timestamp").alias("expires"))
-    ends = ends.withWatermark("expires", delay)
-    valid = keyed_join(offers, ends, [("auction", "auction_id")], F.col("ts") < F.col("expires"), salts)
-    return valid.groupBy("auction", "seller", "expires").agg(F.max("price").alias("final"))
-
-
-_LOCAL_ITEM = "name string, city string, state string, id long"
-
-
-def _tagged(auctions: DataFrame, persons: DataFrame) -> DataFrame:
-    """Both inputs as one; numbers have no nulls, so that they stay whole numbers."""
-    none = F.lit(0).cast("long")
-    a = auctions.select(
-        F.col("seller").alias("key"), "seq", F.lit(False).alias("is_person"), "id",
-        *([F.col("category")] if "category" in auctions.columns else [none.alias("category")]),
-        *[F.lit(None).cast("string").alias(f) for f in processors.PERSON_FIELDS],
-    )
-    p = persons.select(
-        F.col("id").alias("key"), "seq", F.lit(True).alias("is_person"), none.alias("id"), none.alias("category"),
-        *processors.PERSON_FIELDS,
-    )
-    return a.unionByName(p)
-
-
-def pending_join_stream(auctions: DataFrame, persons: DataFrame, states: Sequence[str] = LOCAL_STATES) -> DataFrame:
-    both = _tagged(auctions, in_states(persons, states))
-    return both.groupBy("key").transformWithStateInPandas(processors.PendingJoin(), _LOCAL_ITEM, "Append", "None")
-
-
-def latest_join_stream(
-    auctions: DataFrame, persons: DataFrame, category: int = LOCAL_CATEGORY,
-    states: Sequence[str] = LOCAL_STATES, prefilter: bool = False,
-) -> DataFrame:
-    both = _tagged(auctions, in_states(persons, states) if prefilter else persons)
-    return both.groupBy("key").transformWithStateInPandas(
-        processors.LatestJoin(category, states), _LOCAL_ITEM, "Append", "None"
-    )
-
-
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -100,41 +17,28 @@ def _micros(ts: str) -> Column:
 def _offers(bids: DataFrame, auctions: DataFrame, keep: str) -> DataFrame:
     """Bids and auctions as one input; ``ts`` is kept for the watermark."""
     none = F.lit(0).cast("long")
-    b = bids.select(
+    b = present(bids, "auction", "price", "bidder", "ts").select(
         F.col("auction").alias("key"), "seq", F.lit(False).alias("is_auction"), "price", "bidder",
         _micros("ts").alias("ts_us"), none.alias("expires_us"), none.alias("kept"), F.col("ts"),
     )
-    a = auctions.select(
+    a = present(auctions, "id", "expires", keep, "ts").select(
         F.col("id").alias("key"), "seq", F.lit(True).alias("is_auction"), none.alias("price"), none.alias("bidder"),
         none.alias("ts_us"), _micros("expires").alias("expires_us"), F.col(keep).alias("kept"), F.col("ts"),
     )
     return b.unionByName(a)
 
 
-def _with_expiry(joined: DataFrame, keep: str) -> DataFrame:
-    return joined.withColumn("expires", F.timestamp_micros("expires_us")).withColumnRenamed("kept", keep).drop("expires_us")
-
-
-def buffered_join_stream(
-    bids: DataFrame, auctions: DataFrame, keep: str = "seller", delay: str | None = None
-) -> DataFrame:
-    """With ``delay`` an auction also has to end after the watermark to be live."""
-    both = _offers(bids, auctions, keep)
-    if delay:
-        both = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    joined = both.groupBy("key").transformWithStateInPandas(
-        processors.BufferedJoin(delay is not None), "auction long, price long, expires_us long, kept long",
-        "Append", "EventTime" if delay else "None",
-    )
-    return _with_expiry(joined, keep)
+def expiry_timer_stream(bids: DataFrame, auctions: DataFrame, delay: str, keep: str = "category", hold: str = "1 day") -> DataFrame:
+    """Bids with ``accepted``: before their auction's end, or left over when it passed.
 
-
-def expiry_timer_stream(bids: DataFrame, auctions: DataFrame, delay: str, keep: str = "category") -> DataFrame:
-    """Bids with ``accepted``: before their auction's end, or left over when it passed."""
+    State goes ``hold`` after the watermark has passed the auction's end, or the last bid of an
+    auction that never came. Rows without a key, price or time take no part.
+    """
     both = _offers(bids, auctions, keep).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     joined = both.groupBy("key").transformWithStateInPandas(
-        processors.ExpiryTimer(),
+        processors.ExpiryTimer(micros(hold) // processors.MILLI),
         "auction long, price long, bidder long, ts_us long, expires_us long, kept long, accepted boolean",
         "Append", "EventTime",
     )
-    return _with_expiry(joined, keep).withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
+    named = joined.withColumn("expires", F.timestamp_micros("expires_us")).withColumnRenamed("kept", keep).drop("expires_us")
+    return named.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")

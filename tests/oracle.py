@@ -33,10 +33,10 @@ def rows_of(columns, rows):
     return sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=repr)
 
 
-def compare(spark, con, plan, sql, sf_dir) -> tuple[int, float, str | None]:
-    """Rows, seconds and what differs (None if nothing does)."""
+def compare(spark, con, plan, sql, sf_dir, read_from=None) -> tuple[int, float, str | None]:
+    """Rows, seconds and what differs (None if nothing does). ``read_from`` has the same tables in another form."""
     start = time.time()
-    df = plan(spark, sf_dir)
+    df = plan(spark, read_from or sf_dir)
     got = df.collect()
     took = time.time() - start
     want = con.execute(sql)
