@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.llm.components import components
-from gavelspark.llm.rows import id_and_text, slices, small_or_not
+from gavelspark.llm.rows import id_and_text, let_go, slices, small_or_not
 from gavelspark.operators.scan import running_before
 from gavelspark.session import shared_folder
 
@@ -197,7 +197,7 @@ def _signed(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """The rows whose signature another row has too, and those of whole sets; ``first`` is the smallest document of the equal ones."""
+    """The rows whose signature another row has too, and those of whole sets; ``first`` is the smallest document of the equal ones (0 for signatures)."""
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "extra", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +226,28 @@ def _shared(signed: DataFrame) -> DataFrame:
             last = (last[0][0], last[1][0], last[2][0], last[3], last[4])
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[keep]), pa.array(extra[keep]), pa.array(doc[keep]), pa.array(firsts[run_of][keep])], names=["sig", "extra", "doc", "first"]
+                    [pa.array(sig[keep]), pa.array(extra[keep]), pa.array(doc[keep]), pa.array(np.where(extra != 0, firsts[run_of], 0)[keep])], names=["sig", "extra", "doc", "first"]
                 )
 
     return ordered.mapInArrow(run, "sig long, extra long, doc long, first long")
 
 
+def _chained(shared: DataFrame) -> DataFrame:
+    """Each document with the one before it among those of a signature: all of these are connected then."""
+    ordered = shared.select("sig", "doc").repartition("sig").sortWithinPartitions("sig", "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        for batch in batches:
+            sig, doc = (np.r_[x, batch.column(name).to_numpy()] for x, name in zip(last, ("sig", "doc")))
+            pair = (sig[1:] == sig[:-1]) & (doc[1:] != doc[:-1])
+            both = np.unique(np.c_[doc[:-1][pair], doc[1:][pair]], axis=0)
+            last = sig[-1:], doc[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets, as pairs of places; between the two sides, or within one if there is one."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -318,23 +334,21 @@ def classes(
     shared = spark.read.parquet(f"{folder}/shared")
     whole = shared.filter("extra <> 0").select("doc", F.col("first").alias("rep"), F.expr("extra & 4294967295").alias("n"))
 
-    # of equal sets one goes on, if it has enough signatures in common with others
+    let_go(spark)
+
+    # a document goes on if it has enough signatures in common with others; of equal sets one
     need = F.floor(F.floor(F.col("n") * percent / 100) / SPARE) + 1
     reps = whole.filter("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"), F.min(need).alias("need"))
-    signed = shared.filter("extra = 0").select("sig", "doc").join(reps, "doc")
-    often = signed.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("sig")
-    common = signed.join(often, "sig", "left_semi")
-    enough = common.groupBy("doc").agg(
-        F.count("*").alias("n"), F.min("need").alias("need"), F.max(F.col("sig").isin(*FALLBACKS)).alias("short")
-    ).filter("n >= need or short").select("doc")
-    common.join(enough, "doc", "left_semi").select("sig", "doc", "n").write.parquet(f"{folder}/common")
-    common = spark.read.parquet(f"{folder}/common")
-    heads = common.groupBy("sig").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).filter("head <> tail").select("sig", "head")
-    candidates = components(common.join(heads, "sig").select("doc", "head"))
-
-    sizes = common.groupBy("doc").agg(F.max("n").alias("n"))
+    counts = shared.filter("extra = 0").groupBy("doc").agg(F.count("*").alias("signatures"), F.max(F.col("sig").isin(*FALLBACKS)).alias("short"))
+    enough = counts.join(reps, "doc").filter("signatures >= need or short").select("doc", "n")
+    enough.write.parquet(f"{folder}/enough")
+    enough = spark.read.parquet(f"{folder}/enough")
+    common = shared.filter("extra = 0").join(small_or_not(enough.select("doc")), "doc", "left_semi")
+    candidates = components(_chained(common))
+    let_go(spark)
+
     roots = candidates.select(F.col("component").alias("doc"), "component").distinct()
-    placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(sizes, "doc")
+    placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(enough, "doc")
     before = running_before(placed, ["component"], [("doc", 1 << 20)], {"before": ("sum", "n")})
     blocked = before.withColumn("block", F.floor(F.coalesce("before", F.lit(0)) / block_shingles))
     blocks = blocked.groupBy("component").agg((F.max("block") + 1).alias("blocks"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that a task works on at a time.
@@ -79,6 +80,12 @@ def small_or_not(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed: Spark does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Generations:
     """A bounded cache: two dicts, of which the older is forgotten when the newer is full."""
 
