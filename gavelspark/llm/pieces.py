@@ -32,7 +32,7 @@ SPACE = "▁"
 
 # Characters of a chunk beyond which it goes through the heap.
 LONG_CHUNK = 64
-CACHED_CHUNKS = 450_000
+CACHED_CHUNKS = 300_000
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -44,17 +44,12 @@ class Pieces:
         self.check = check
         self.size = library.get_piece_size()
         names = [library.id_to_piece(i) for i in range(self.size)]
-        special = [library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i) for i in range(self.size)]
-        plain = {name: i for i, name in enumerate(names) if not special[i]}
-        if any(SPACE in name.lstrip(SPACE) for name in plain):
+        if any(SPACE in name.lstrip(SPACE) or " " in name for name in names):
             raise ValueError("the vocabulary has pieces that reach over a space; chunks would not be independent")
+        special = [library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i) for i in range(self.size)]
+        # within this class a space stands for its mark
+        plain = {name.replace(SPACE, " "): i for i, name in enumerate(names) if not special[i]}
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(self.size) if library.is_byte(i)}
-        # what a piece stands for in a decoded text; control pieces stand for nothing
-        self.decoded = [
-            bytes([int(name[3:5], 16)]) if library.is_byte(i)
-            else name.replace(SPACE, " ").encode() if name in plain and plain[name] == i else b""
-            for i, name in enumerate(names)
-        ]
         self.unknown = library.unk_id()
         # symbols are pieces and the characters of pieces
         self.symbols = dict(plain)
@@ -64,26 +59,33 @@ class Pieces:
         self.stride = self.size + 2 * len(self.symbols)
         best = sorted({library.get_score(i) for i in plain.values()}, reverse=True)
         rank_of = {score: rank for rank, score in enumerate(best)}
-        self.pairs: dict[int, tuple[int, int]] = {}
+        found = []
         for name, i in plain.items():
             for cut in range(1, len(name)):
                 left, right = self.symbols.get(name[:cut]), self.symbols.get(name[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left * self.stride + right] = (rank_of[library.get_score(i)], i)
-        self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
-        found = np.array([self.pairs[key] for key in self.pair_keys.tolist()], dtype=np.int32).reshape(-1, 2)
-        self.pair_ranks, self.pair_merged = found[:, 0], found[:, 1]
+                    found.append((left * self.stride + right, rank_of[library.get_score(i)], i))
+        table = np.array(sorted(found), dtype=np.int64).reshape(-1, 3)
+        self.pair_keys, self.pair_ranks, self.pair_merged = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+        self._pairs: dict[int, tuple[int, int]] = {}
         self.of_character = np.full(0x110000, -1, dtype=np.int32)
         for name, symbol in self.symbols.items():
             if len(name) == 1:
                 self.of_character[ord(name)] = symbol
-        self.chunk = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if "\n" not in self.symbols else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.chunk = re.compile("\n| +[^ \n]*|[^ \n]+" if "\n" not in self.symbols else " +[^ ]*|[^ ]+")
         self.cache = Generations(CACHED_CHUNKS)
 
     # encoding
 
     def chunks(self, text: str) -> list[str]:
-        return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.chunk.findall(" " + text.replace(SPACE, " ")) if text else []
+
+    @property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol by pair, for the heap."""
+        if not self._pairs:
+            self._pairs = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_merged.tolist())))
+        return self._pairs
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -210,12 +212,24 @@ class Pieces:
             odd = next(c for c, mine, want in zip(chunks, ids, wanted) if np.array(want[lead:], dtype="<i4").tobytes() != mine)
             raise ValueError(f"the library encodes {odd!r} in another way")
 
-    # decoding
+
+class Decoder:
+    """What each piece stands for in a text; control pieces stand for nothing."""
+
+    def __init__(self, model: bytes) -> None:
+        library = SentencePieceProcessor(model_proto=model)
+        self.bytes = [
+            bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i)
+            else b"" if library.is_control(i) or library.is_unused(i)
+            else " \u2047 ".encode() if library.is_unknown(i)
+            else library.id_to_piece(i).replace(SPACE, " ").encode()
+            for i in range(library.get_piece_size())
+        ]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the first space mark goes, undecodable bytes are replaced."""
-        pieces = self.decoded
-        text = b"".join([pieces[i] for i in ids])
+        known = self.bytes
+        text = b"".join([known[i] for i in ids])
         return text.removeprefix(b" ").decode("utf-8", errors="replace")
 
 
@@ -252,7 +266,7 @@ def decode(encoded: DataFrame, model: bytes, ids_column: str = "ids", text_colum
     schema = kept.select("*", F.lit("").alias(text_column)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = built_once(Pieces, shipped.value, False)
+        pieces = built_once(Decoder, shipped.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)

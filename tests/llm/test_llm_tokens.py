@@ -35,22 +35,21 @@ def source():
 
 
 def test_chance_texts_equal_the_library(model, library):
-    rng, mine = random.Random(3), pieces.Pieces(model)
+    rng, mine, back = random.Random(3), pieces.Pieces(model), pieces.Decoder(model)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(n)) for n in (0, 1, 2, 5, 30, 300) for _ in range(40)]
     for text, found in zip(texts, mine.encode(texts)):
         ids = np.frombuffer(found, "<i4").tolist()
-        assert ids == library.encode(text) and mine.decode(ids) == library.decode(ids)
+        assert ids == library.encode(text) and back.decode(ids) == library.decode(ids)
 
 
 def test_heap_and_rounds_agree(model):
     rng, mine = random.Random(5), pieces.Pieces(model, check=False)
-    chunks = ["▁" + "".join(rng.choice("theringsand.,éq🙂") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    chunks = [" " + "".join(rng.choice("theringsand.,éq🙂") for _ in range(rng.randint(1, 40))) for _ in range(500)]
     assert mine._rounds(chunks) == [mine.agenda(chunk) for chunk in chunks]
 
 
 def test_a_wrong_encoding_is_found(model):
     mine = pieces.Pieces(model)
-    mine.pairs.clear()
     mine.pair_keys = np.array([-1])
     with pytest.raises(ValueError):
         mine.encode(["the thing"])
