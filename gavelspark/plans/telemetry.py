@@ -25,7 +25,7 @@ def marker_span(spark, sf_dir):
     )
 
 
-def _log_lines(spark, sf_dir):
+def log_lines(spark, sf_dir):
     """Users as log files: views are tasks that start to run; errors are restores, but not in every file."""
     kind = F.col("event_type")
     message = (
@@ -48,14 +48,14 @@ _LOG = """
            event_id AS line, event_type = 'view' AS running, event_type = 'error' AND user_id % 10 > 0 AS restore,
            date_trunc('millisecond', ts) AS ts
     FROM events"""
-_SPANS = f"""
+SPANS_SQL = f"""
     SELECT file, epoch_us(max_by(ts, line) FILTER (running)) - epoch_us(max_by(ts, line) FILTER (restore)) AS span_micros
     FROM ({_LOG}) GROUP BY file"""
 
 
-@query("recovery_duration", _SPANS)
+@query("recovery_duration", SPANS_SQL)
 def recovery_duration(spark, sf_dir):
-    return telemetry.recovery_duration(_log_lines(spark, sf_dir))
+    return telemetry.recovery_duration(log_lines(spark, sf_dir))
 
 
 @query("sweep_summary", f"""
@@ -64,9 +64,9 @@ def recovery_duration(spark, sf_dir):
            count(*) AS runs, count(span_micros) AS recovered,
            CAST(sum(span_micros) AS DOUBLE) / nullif(count(span_micros), 0) AS avg_micros,
            max(span_micros) AS max_micros
-    FROM ({_SPANS}) GROUP BY ALL""")
+    FROM ({SPANS_SQL}) GROUP BY ALL""")
 def sweep_summary(spark, sf_dir):
-    return telemetry.sweep_summary(telemetry.recovery_duration(_log_lines(spark, sf_dir)))
+    return telemetry.sweep_summary(telemetry.recovery_duration(log_lines(spark, sf_dir)))
 
 
 @query("transition_offsets", f"""
@@ -78,7 +78,7 @@ def sweep_summary(spark, sf_dir):
            >= CAST(epoch(date_trunc('second', s.t0)) AS BIGINT) AS valid
     FROM log l JOIN start s USING (file) WHERE l.running""")
 def transition_offsets(spark, sf_dir):
-    return telemetry.transition_offsets(_log_lines(spark, sf_dir))
+    return telemetry.transition_offsets(log_lines(spark, sf_dir))
 
 
 @query("throughput_samples", f"""

@@ -24,13 +24,13 @@ def dump_messages(messages: DataFrame, folder: str) -> None:
 def read_log_lines(spark: SparkSession, folder: str, pattern: str = "*.log") -> DataFrame:
     """The lines (file, line, value) of the logs of a folder; ``line`` grows within a file.
 
-    Lines are ordered by the file's block that they were read in, then by their place in it.
+    Logs are files, or folders ``file=...`` of one file. Lines are ordered by the file's block
+    that they were read in, then by their place in it.
     """
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    name = F.col("file") if "file" in lines.columns else F.col("_metadata.file_name")
     place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
-    return spark.read.option("pathGlobFilter", pattern).text(folder).select(
-        F.col("_metadata.file_name").alias("file"),
-        (F.col("_metadata.file_block_start") * (1 << 10) + place).alias("line"), "value",
-    )
+    return lines.select(name.alias("file"), (F.col("_metadata.file_block_start") * (1 << 10) + place).alias("line"), "value")
 
 
 def parse_int_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -143,3 +143,14 @@ def test_average_of_highest_valid_bids(spark):
 
 def test_max_price_bid(spark):
     assert tuples(aggregates.max_price_bid(bids(spark, HIGHEST)), *APB) == [(1, 60, 6), (2, 40, 4)]
+
+
+@pytest.mark.parametrize("last, block", [(10, 4), (10, 3), (25, 4), (5, 1), (4, 4), (5, 4)])
+def test_frames_longer_than_a_block(spark, last, block):
+    rows = [(i % 2, i, None if i % 11 == 4 else (i * 37) % 101) for i in range(60)]
+    df = spark.createDataFrame(rows, "seller long, at long, final long")
+    got = [
+        tuples(aggregates.moving_average(df, "seller", [("at", 8)], "final", last, block, hot_rows), "seller", "at", "sales", "avg_final")
+        for hot_rows in (None, 1 << 22, 5)
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == sum(r[2] is not None for r in rows)

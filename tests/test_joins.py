@@ -206,3 +206,10 @@ def test_group_maximum(spark):
     rows = spark.createDataFrame([(i % 3, i // 6) for i in range(36)], "k long, v long")
     assert tuples(joins.at_group_max(rows, ["k"], "v"), "k", "v") == sorted([(k, 5) for k in range(3)] * 2)
     assert tuples(joins.at_group_max(rows, ["k"], "v", salts=4), "k", "v") == sorted([(k, 5) for k in range(3)] * 2)
+
+
+def test_buffered_join_takes_no_null_keys(spark):
+    b = spark.createDataFrame([(None, 1, 1, 10, None), (1, 3, 1, 20, None)], "auction long, seq long, bidder long, price long, ts timestamp")
+    a = spark.createDataFrame([(None, 2, 7, None, None), (1, 4, 7, None, None)], "id long, seq long, seller long, ts timestamp, expires timestamp")
+    for hot_rows in (None, 1 << 22, 1):
+        assert tuples(asof.buffered_join(b, a, hot_rows=hot_rows), "auction", "price") == [(1, 20)]

@@ -8,7 +8,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from gavelspark.operators import aggregates
+from gavelspark.operators import aggregates, asof
+from gavelspark.operators.scan import chunk_of
 from gavelspark.plans import PLANS
 from gavelspark.sources import tables
 
@@ -40,8 +41,8 @@ def test_scans_read_only_what_is_used(spark, name, table, columns):
 
 
 def test_filters_reach_the_scan(spark):
-    plan = PLANS["marker_span"](spark, SMALL)
-    assert plan is not None
+    early = PLANS["state_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in early
     live = PLANS["q3_pending_join"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)" in live
 
@@ -77,8 +78,28 @@ def test_nothing_runs_for_hot_keys_where_there_are_none(spark):
 
 def test_late_rows_are_found_without_one_big_task(spark):
     plan = final_plan(PLANS["late_flags"](spark, SMALL))
-    # the one window without keys runs over the sums of the minutes
-    assert window_keys(plan) >= {("_chunk0",), ("_chunk0", "arrival")} and plan.count("SinglePartition") == 1
+    # the one window without keys runs over the sums of the widest chunks
+    wide = ("_wide1048576", "_wide1024")
+    assert window_keys(plan) >= {wide[:1], wide, (*wide, "_chunk0"), (*wide, "_chunk0", "arrival")}
+    assert plan.count("SinglePartition") == 1
+
+
+def test_sparse_orders_leave_little_for_the_last_window(spark):
+    """Arrival numbers far apart: the window without keys gets few rows all the same."""
+    rows = spark.range(4000).select((F.col("id") * (1 << 26)).alias("seq"), F.timestamp_millis("id").alias("ts"))
+    plan = asof.with_arrival_watermark(rows, "1 second")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.split("== Initial Plan ==")[0].count("SinglePartition") == 1
+    levels = rows.select(chunk_of(rows, "seq", 1 << 40).alias("top"), chunk_of(rows, "seq", 1 << 20).alias("chunk"))
+    assert levels.select("chunk").distinct().count() == 4000 and levels.select("top").distinct().count() == 1
+    want = rows.agg(F.max("ts")).first()[0]
+    assert plan.agg(F.max("watermark")).first()[0] < want and plan.filter("watermark is null").count() == 1
+
+
+def test_encoded_records_are_encoded_once(spark):
+    plan = final_plan(PLANS["bid_codec"](spark, SMALL))
+    assert plan.count("to_json") == 1 or plan.count("invoke(") == 1 or plan.count("StructsToJson") <= 1
 
 
 def test_sliding_windows_are_counted_by_pane_first(spark):
