@@ -7,7 +7,8 @@ Of more than k partitions two similar sets agree in one at least. The partitions
 of which one mismatch is allowed, so the subsets to enumerate are the single partitions:
 the content of a partition is a signature. Empty partitions say nothing; in a fixed order
 of the others the first k + 1 are enough, and the first k + 1 + t hold t + 1 on which both agree. A
-document with fewer than t + 1 signatures in common with others has no link.
+document with fewer than t + 1 signatures in common with others has no link, and each may
+forget its t most common ones: the rarest of the t + 1 is then still there on both sides.
 
 Sharing signatures is necessary, not sufficient: documents that share any, directly or through
 others, form a candidate class. Sets are compared within classes, in pairs of blocks of bounded
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.llm.components import components
@@ -34,10 +35,11 @@ from gavelspark.session import shared_folder
 WORDS = 5
 # Two sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-# A set of n shingles gives n // SPARE signatures more than needed, to tell chance from likeness.
-SPARE = 24
+# A set of n shingles gives n // SPARE signatures more than needed, to tell chance from likeness;
+# where a partition holds one shingle, n // SINGLE_SPARE.
+SPARE, SINGLE_SPARE = 16, 4
 # Sizes from which partitions hold several shingles, and shingles of the largest set of a band in each.
-_SINGLE, _FILL = 64, 1.5
+_SINGLE, _FILL = 64, 2.0
 # Shingles of a block of documents that are compared with another block at a time.
 BLOCK_SHINGLES = 1 << 18
 
@@ -126,8 +128,12 @@ def differences(first: int, second: int, percent: int) -> int:
     return (100 - percent) * (first + second) // (100 + percent)
 
 
-def spare(size: int) -> int:
-    return size // SPARE
+def _single(tag: int) -> bool:
+    return 2 << tag <= _SINGLE
+
+
+def spare(size: int, tag: int) -> int:
+    return size // (SINGLE_SPARE if _single(tag) else SPARE)
 
 
 def _fallback(band: int) -> np.uint64:
@@ -150,10 +156,10 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         largest = _most(size, percent)
         if tag > band and largest < 1 << tag:
             continue
-        wanted = differences(size, min(largest, (2 << tag) - 1), percent) + 1 + spare(size)
+        wanted = differences(size, min(largest, (2 << tag) - 1), percent) + 1 + spare(size, tag)
         highest = 2 << tag
         salt = _mix(np.array([tag + 1], dtype=np.uint64))
-        if highest <= _SINGLE:
+        if _single(tag):
             out.append(_mix(mixed[:wanted] + salt))
             if size < wanted:
                 out.append(np.array([_fallback(tag)]))
@@ -337,18 +343,25 @@ def classes(
     let_go(spark)
 
     # a document goes on if it has enough signatures in common with others; of equal sets one
-    need = F.floor(F.floor(F.col("n") * percent / 100) / SPARE) + 1
+    # similar sets may be smaller; sets that larger ones of the next kind of bands are similar to spare less
+    few = F.when(F.floor(F.col("n") * 100 / percent) < _SINGLE, SINGLE_SPARE).otherwise(SPARE)
+    need = F.floor(F.floor(F.col("n") * percent / 100) / few) + 1
     reps = whole.filter("doc = rep and n > 0").groupBy("doc").agg(F.max("n").alias("n"), F.min(need).alias("need"))
     counts = shared.filter("extra = 0").groupBy("doc").agg(F.count("*").alias("signatures"), F.max(F.col("sig").isin(*FALLBACKS)).alias("short"))
-    enough = counts.join(reps, "doc").filter("signatures >= need or short").select("doc", "n")
+    enough = counts.join(reps, "doc").filter("signatures >= need or short").select(
+        "doc", "n", F.when(F.col("short"), 0).otherwise(F.col("need") - 1).alias("spare")
+    )
     enough.write.parquet(f"{folder}/enough")
     enough = spark.read.parquet(f"{folder}/enough")
-    common = shared.filter("extra = 0").join(small_or_not(enough.select("doc")), "doc", "left_semi")
+    common = shared.filter("extra = 0").select("sig", "doc").distinct().join(small_or_not(enough), "doc")
+    sizes = common.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), "sig"))
+    common = common.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare")
     candidates = components(_chained(common))
     let_go(spark)
 
     roots = candidates.select(F.col("component").alias("doc"), "component").distinct()
-    placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(enough, "doc")
+    placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(enough.select("doc", "n"), "doc")
     before = running_before(placed, ["component"], [("doc", 1 << 20)], {"before": ("sum", "n")})
     blocked = before.withColumn("block", F.floor(F.coalesce("before", F.lit(0)) / block_shingles))
     blocks = blocked.groupBy("component").agg((F.max("block") + 1).alias("blocks"))

@@ -168,9 +168,14 @@ def test_similar_sets_share_enough_signatures(percent):
             if not common or 100 * common < percent * (len(base) + len(other) - common):
                 continue
             shared = np.intersect1d(partenum.signatures(base, percent), partenum.signatures(other, percent))
-            least = min(partenum.spare(len(base)), partenum.spare(len(other)))
+            tag = max(len(base), len(other)).bit_length() - 1
+            least = min(partenum.spare(len(base), tag), partenum.spare(len(other), tag))
             short = set(shared.view(np.int64).tolist()) & set(partenum.FALLBACKS)
             assert len(shared) >= least + 1 or short
+            # no more is asked of a set than what each similar one shares with it
+            for n in (len(base), len(other)):
+                few = partenum.SINGLE_SPARE if n * 100 // percent < 64 else partenum.SPARE
+                assert n * percent // 100 // few <= least or short
 
 
 def test_word_hashes_over_pieces(monkeypatch):
