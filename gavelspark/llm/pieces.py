@@ -238,8 +238,11 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: bool = True) -> DataFrame:
-    """``doc_id`` and the array ``ids`` of every text; nothing is put before or after.
+def encode(
+    docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: bool = True, decoded: bool = False,
+) -> DataFrame:
+    """``doc_id`` and the array ``ids`` of every text; nothing is put before or after. With
+    ``decoded`` also the text that ``decode`` gives for the ids, in the same pass.
 
     Null and the empty text have no ids. Rows are encoded on their own, so ties, repeated rows
     and null ids stay as they are; other columns are ignored. ``check`` compares with the
@@ -249,13 +252,18 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = built_once(Pieces, shipped.value, check)
+        back = built_once(Decoder, shipped.value) if decoded else None
         for batch in slices(batches, "text"):
             found = pieces.encode(texts_of(batch, "text"))
             offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"), type=pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)]
+            if back:
+                columns.append(pa.array([back.decode(np.frombuffer(ids, "<i4").tolist()) for ids in found], type=pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return id_and_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>" + (", decoded string" if decoded else "")
+    return id_and_text(docs, id_column, text_column).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:

@@ -174,7 +174,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame, model: bytes, *more: str) -> DataFrame:
     """Encoded and decoded texts, each as a digest, and ``more`` of the columns."""
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode(docs, model, decoded=True)
     return both.select(
         "doc_id", *more,
         F.size("ids").cast("long").alias("n_tokens"),

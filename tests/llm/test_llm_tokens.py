@@ -62,6 +62,8 @@ def test_encode_and_decode_rows(spark, model, library):
     texts = [*TEXTS.items(), (1, TEXTS[1]), (None, TEXTS[1]), (None, None), (8, "another text of the same id")]
     wanted = Counter((i, tuple(library.encode(t or "")), library.decode(library.encode(t or ""))) for i, t in texts)
     assert known == wanted
+    at_once = pieces.encode(awkward(spark), model, decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in at_once) == wanted
     assert pieces.encode(empty(spark), model).count() == 0
 
 
