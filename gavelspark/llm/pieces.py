@@ -32,10 +32,16 @@ SPACE = "▁"
 
 # Characters of a chunk beyond which it goes through the heap.
 LONG_CHUNK = 64
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 450_000
 _NEVER = np.iinfo(np.int32).max
 
 
+class OddIds(bytes):
+    """Ids that decode to another ``text`` than they were made of."""
+
+    text: str
+
+
 class Pieces:
     """The pieces of a merge-type model: encoding, decoding, and the library as a check."""
 
@@ -74,6 +80,7 @@ class Pieces:
                 self.of_character[ord(name)] = symbol
         self.chunk = re.compile("\n| +[^ \n]*|[^ \n]+" if "\n" not in self.symbols else " +[^ ]*|[^ ]+")
         self.cache = Generations(CACHED_CHUNKS)
+        self.decoder, self.odd = Decoder(model), False
 
     # encoding
 
@@ -89,15 +96,41 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        return self.encode_and_decode(texts)[0]
+
+    def encode_and_decode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids of each text, and the texts that they decode to."""
         chunked = [self.chunks(text) for text in texts]
         new = self.cache.missing(set().union(*chunked))
         if new:
             ids = self._encode_new(new)
             if self.check:
                 self._compare(new, ids)
-            self.cache.new.update(zip(new, ids))
+            self.cache.new.update(zip(new, self._decoded(new, ids)))
         known = self.cache.new
-        return [b"".join([known[chunk] for chunk in chunks]) for chunks in chunked]
+        found = [[known[chunk] for chunk in chunks] for chunks in chunked]
+        if self.odd:
+            chunked = [[getattr(ids, "text", chunk) for chunk, ids in zip(chunks, own)] for chunks, own in zip(chunked, found)]
+        return [b"".join(ids) for ids in found], ["".join(chunks).removeprefix(" ") for chunks in chunked]
+
+    def _decoded(self, chunks: list[str], ids: list[bytes]) -> list[bytes]:
+        """The ids of new chunks, decoded once: those that give another text than the chunk keep it."""
+        pieces = self.decoder.bytes
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        text = [pieces[i] for i in flat.tolist()]
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4)
+        sizes = np.diff(np.r_[0, np.r_[0, np.cumsum(np.fromiter(map(len, text), dtype=np.int64, count=len(text)))][ends]])
+        wanted = [chunk.encode() for chunk in chunks]
+        if b"".join(text) == b"".join(wanted) and np.array_equal(sizes, np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted))):
+            return ids
+        out = []
+        for chunk, raw in zip(chunks, ids):
+            back = b"".join([pieces[i] for i in np.frombuffer(raw, "<i4").tolist()]).decode("utf-8", errors="replace")
+            if back != chunk:
+                raw = OddIds(raw)
+                raw.text, self.odd = back, True
+            out.append(raw)
+        return out
 
     def _encode_new(self, chunks: list[str]) -> list[bytes]:
         short = [i for i, chunk in enumerate(chunks) if len(chunk) <= LONG_CHUNK]
@@ -252,14 +285,13 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = built_once(Pieces, shipped.value, check)
-        back = built_once(Decoder, shipped.value) if decoded else None
         for batch in slices(batches, "text"):
-            found = pieces.encode(texts_of(batch, "text"))
+            found, texts = pieces.encode_and_decode(texts_of(batch, "text"))
             offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"), type=pa.int32())
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)]
-            if back:
-                columns.append(pa.array([back.decode(np.frombuffer(ids, "<i4").tolist()) for ids in found], type=pa.string()))
+            if decoded:
+                columns.append(pa.array(texts, type=pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids array<int>" + (", decoded string" if decoded else "")

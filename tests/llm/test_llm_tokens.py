@@ -37,9 +37,9 @@ def source():
 def test_chance_texts_equal_the_library(model, library):
     rng, mine, back = random.Random(3), pieces.Pieces(model), pieces.Decoder(model)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(n)) for n in (0, 1, 2, 5, 30, 300) for _ in range(40)]
-    for text, found in zip(texts, mine.encode(texts)):
+    for text, found, decoded in zip(texts, *mine.encode_and_decode(texts)):
         ids = np.frombuffer(found, "<i4").tolist()
-        assert ids == library.encode(text) and back.decode(ids) == library.decode(ids)
+        assert ids == library.encode(text) and decoded == back.decode(ids) == library.decode(ids)
 
 
 def test_heap_and_rounds_agree(model):
