@@ -38,6 +38,7 @@ def tuples(df: DataFrame, *columns: str) -> list[tuple]:
 
 
 # The highest-bid inputs.
+# Bids whose highest ones are known.
 HIGHEST = [
     (1, 1, 10, 0), (1, 2, 20, 0), (1, 3, 30, 0), (1, 4, 40, 1000), (1, 5, 50, 1500), (1, 6, 60, 750),
     (2, 2, 20, 1000), (2, 3, 30, 750), (2, 4, 40, 1500),
@@ -55,6 +56,7 @@ FIVE_AUCTIONS = [(i % 5, i, 1000 - i, 100 * i) for i in range(500)]
 REVERSED = [(1, i, 1000 - i, 100 * i) for i in range(100, -1, -1)]
 
 # The local-items inputs.
+# Sellers and their items, two of them local.
 PEOPLE = [
     (0, 1, "Alice", "Portland", "OR"), (1, 2, "Bob", "Boise", "ID"),
     (2, 3, "Charlie", "San Diego", "CA"), (3, 4, "David", "Reno", "NV"),

@@ -58,6 +58,7 @@ def test_ties(spark):
     assert tuples(aggregates.highest_bids(tie), *APB) == [(1, 50, 7), (1, 50, 8)]
 
 
+# Fixed values: (key, price, offset), whose averages are known.
 BY_CATEGORY = [
     (1, 10, 0), (1, 20, 0), (1, 30, 0), (1, 40, 1000), (1, 50, 1500), (1, 60, 750),
     (2, 20, 1000), (2, 30, 750), (2, 40, 1500),

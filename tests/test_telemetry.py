@@ -75,13 +75,13 @@ def test_latency(spark):
 def test_lag_samples(spark):
     lines = [
         "Timestamp,Messages Per Second,Current Offsets,Unread Messages",
-        "16:36:39,4482.99,{TopicPartition(topic='a', partition=0): 711517},{TopicPartition(topic='a', partition=0): 7580663}",
-        "16:36:41,1.5,{TopicPartition(topic='a', partition=0): 1, TopicPartition(topic='a', partition=1): 2},"
+        "09:15:02,120.25,{TopicPartition(topic='a', partition=0): 4001},{TopicPartition(topic='a', partition=0): 88}",
+        "09:15:04,1.5,{TopicPartition(topic='a', partition=0): 1, TopicPartition(topic='a', partition=1): 2},"
         "{TopicPartition(topic='a', partition=0): 3, TopicPartition(topic='a', partition=1): 4}",
     ]
     got = telemetry.parse_lag_samples(spark.createDataFrame([(v,) for v in lines], "value string")).collect()
     assert [tuple(r) for r in got] == [
-        ("16:36:39", 4482.99, {0: 711517}, {0: 7580663}), ("16:36:41", 1.5, {0: 1, 1: 2}, {0: 3, 1: 4}),
+        ("09:15:02", 120.25, {0: 4001}, {0: 88}), ("09:15:04", 1.5, {0: 1, 1: 2}, {0: 3, 1: 4}),
     ]
 
 
