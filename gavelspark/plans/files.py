@@ -12,7 +12,7 @@ from gavelspark.session import shared_folder
 from gavelspark.sources import codec, files, tables
 
 
-@query("topic_dump", """SELECT auction, bidder, price, epoch_ms(ts) AS "dateTime" FROM ebid""", "ebid")
+@query("topic_dump", """SELECT auction, bidder, price, epoch_us(ts) // 1000 AS "dateTime" FROM ebid""", "ebid")
 def topic_dump(spark, sf_dir):
     folder = shared_folder(spark, "dump")
     bids = tables.event_bids(spark, sf_dir).withColumn("dateTime", epoch_millis("ts"))
