@@ -75,3 +75,10 @@ def test_closed_windows(spark):
 
 def test_day_aligned_base():
     assert BASE % 86_400_000 == 0
+
+
+@pytest.mark.parametrize("size, slide", [("10 minutes", "4 minutes"), ("7 seconds", "3 seconds"), ("1 hour", "25 minutes"), ("6 minutes", "2 minutes")])
+def test_panes_count_by_weight(spark, size, slide):
+    df = bids(spark, [(i % 3, i, 1, i * i * 1771 % 9_000_000) for i in range(200)]).withColumn("w", F.col("bidder") % 5)
+    got = windows.sliding_counts(df, ["auction"], size, slide, weight="w")
+    assert tuples(got, *WAN) == tuples(windows.windowed(df, [F.sum("w").alias("n")], size, slide, ["auction"]), *WAN)
