@@ -5,7 +5,8 @@ separate), then by its leading tokens. Words with a digit are variable from the
 leaf, a token is constant at its position if lines of enough documents have it there; the
 others generalise to a variable field. What remains is the line's template. Templates that
 recur in enough documents and are constant enough are boilerplate: their lines are dropped,
-but for the first one.
+but for the first one. A line that recurs as it is needs no template and fewer witnesses: it is
+counted by its own digest, in distinct texts, whatever its fields.
 
 The tree is a key, not a structure: leaves, tokens at positions and templates are groups that
 are counted with partial sums, so the leaf of a very common line is no task of its own. Only
@@ -24,6 +25,8 @@ from gavelspark.session import shared_folder
 DEPTH = 3
 # Documents in which a template has to recur.
 LEAST_DOCS = 20
+# Distinct texts in which a line has to recur as it is.
+LEAST_TEXTS = 3
 # Share of a template's tokens that has to be constant.
 LEAST_CONSTANT = 0.6
 # Fixed value: what stands for a variable field.
@@ -92,16 +95,50 @@ def recurring(
     return described.join(totals, "template").select(*document, "number", "template", (spot == F.col("spot")).alias("first"))
 
 
+def verbatim(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """The lines that recur as they are in distinct texts: ``doc_id``, ``digest`` of the text, line ``number`` (from 0), ``first``.
+
+    Documents of the same text count once. ``first`` is as in ``recurring``; lines of white space
+    do not count.
+    """
+    document = ("doc_id", "digest")
+    rows = id_and_text(docs, id_column, text_column).withColumn("digest", text_digest(F.col("text")))
+    rows = rows.select(*document, F.split("text", "\n").alias("lines"))
+
+    # a document counts once for each line; copies are told apart once few lines are left
+    own = F.array_distinct(F.transform(F.filter("lines", lambda line: line.rlike(r"\S")), text_digest))
+    names = rows.select(F.explode_outer(own).alias("name")).filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    folder, read = shared_folder(docs.sparkSession, "verbatim-lines"), docs.sparkSession.read
+    names.filter(F.col("n") >= least_texts).select("name").write.parquet(f"{folder}/names")
+    split = rows.select(*document, F.posexplode_outer("lines").alias("number", "line")).filter(F.col("line").rlike(r"\S"))
+    split = split.select(*document, "number", text_digest(F.col("line")).alias("name"))
+    split.join(small_or_not(read.parquet(f"{folder}/names")), "name", "left_semi").write.parquet(f"{folder}/lines")
+    lines = read.parquet(f"{folder}/lines")
+
+    spot = F.struct(*document, "number")
+    totals = (
+        lines.groupBy("name", "digest").agg(F.min(spot).alias("spot"))
+        .groupBy("name").agg(F.count("*").alias("n"), F.min("spot").alias("spot"))
+        .filter(F.col("n") >= least_texts).drop("n")
+    )
+    return lines.join(totals, "name").select(*document, "number", (spot == F.col("spot")).alias("first"))
+
+
 def dedup(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_constant: float = LEAST_CONSTANT, keep_first: bool = True,
+    least_texts: int | None = LEAST_TEXTS,
 ) -> DataFrame:
     """``row`` (all columns of a document), its ``doc_id``, ``text`` without the dropped lines, ``n_lines`` and ``dropped`` (their numbers).
 
     Every row is returned. Null and empty texts stay as they are; lines without a token are
-    never dropped. ``keep_first`` leaves one line of each template in the corpus.
+    never dropped. ``keep_first`` leaves one line of each template in the corpus. Without
+    ``least_texts`` lines that recur as they are go by their templates only.
     """
-    found = recurring(docs, id_column, text_column, depth, least_docs, least_constant)
+    found = recurring(docs, id_column, text_column, depth, least_docs, least_constant).drop("template")
+    if least_texts is not None:
+        # the first line of a template is the first of its own kind, so that it stays in both
+        found = found.unionByName(verbatim(docs, id_column, text_column, least_texts))
     if keep_first:
         found = found.filter(~F.col("first"))
     drops = found.groupBy(F.col("doc_id").alias("_1"), F.col("digest").alias("_2")).agg(F.array_sort(F.collect_set("number")).alias("dropped"))

@@ -323,6 +323,36 @@ def test_templates_of_awkward_documents(spark):
     assert templates.dedup(empty(spark)).count() == 0
 
 
+def plain_verbatim(rows, least):
+    spots = defaultdict(list)
+    for i, text in rows:
+        for number, line in enumerate((text or "").split("\n")):
+            if line.strip():
+                spots[line].append((i, number))
+    texts = dict(rows)
+    return {spot for found in spots.values() if len({texts[i] for i, _ in found}) >= least for spot in found if spot != min(found)}
+
+
+def test_lines_of_few_texts_by_the_production_values(spark):
+    rng = random.Random(9)
+    own = prose(46, 23, 9, 30)
+    shared = {f"A line that {n} texts share {w}": n for n, w in ((2, "alone"), (3, "at least"), (5, "or so"), (19, "nearly"), (30, "or more"))}
+    texts = [[own[i]] for i in range(40)]
+    for line, n in shared.items():
+        for i in rng.sample(range(40), n):
+            texts[i].insert(rng.randrange(len(texts[i]) + 1), line)
+    for i in range(40):
+        texts[i].append(f"Seen {i} times by all of our readers")
+    # copies are one text: their own lines stay
+    texts = ["\n".join(lines) for lines in texts] + ["copied line\nanother copied line"] * 6 + ["  \n\t\n" + own[i] for i in range(40, 46)]
+    rows = list(enumerate(texts))
+    got = {(r.doc_id, number) for r in templates.dedup(documents(spark, texts)).collect() for number in r.dropped}
+    by_template = plain_templates(rows, 3, 20, 0.6)
+    assert got == by_template | plain_verbatim(rows, 3) and got > by_template
+    alone = {(r.doc_id, number) for r in templates.dedup(documents(spark, texts), least_texts=None).collect() for number in r.dropped}
+    assert alone == by_template
+
+
 def test_rows_keep_their_columns(spark):
     kept = templates.dedup(documents(spark, ["a b", "c d"])).select("row.*")
     assert kept.columns == awkward(spark).columns and kept.count() == 2 and row(0, "a b") in [tuple(r) for r in kept.collect()]
