@@ -1,9 +1,10 @@
 """Queries run as streams over the tables' files, up to what is there now.
 
-Results do not depend on how a table is cut into files and micro-batches. What merges (counts,
-sums, maxima, records) is aggregated per micro-batch and merged when read. What depends on the
-order of arrival carries a small table from one micro-batch to the next; its files have to be
-written in that order. Windows count once they are over: the SQL of windowed queries is limited
+What merges (counts, sums, maxima, records) is aggregated per micro-batch and merged when read: it
+does not depend on how a table is cut into files and micro-batches. What depends on the order of
+arrival carries a small table from one micro-batch to the next. Within a micro-batch (64 GiB of
+files) its files may have any order; from one to the next they have to be written in the order of
+arrival, or the query fails. Windows count once they are over: the SQL of windowed queries is limited
 to windows that end by the latest event time less the delay.
 """
 

@@ -13,8 +13,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Bytes of input files per micro-batch, about; a larger file is one of its own. Results do not
-# depend on it.
+# Bytes of input files per micro-batch, about; a larger file is one of its own. Rows of results do
+# not depend on it, but whether there are any may: beyond it files come by the time of writing, and
+# what depends on the order of arrival fails (run.run_carried) if that is not the order of ``seq``.
 BATCH_BYTES = 1 << 36
 
 

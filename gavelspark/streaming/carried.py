@@ -2,8 +2,8 @@
 
 Each micro-batch goes through the batch operator, with its care for hot keys, together with a
 table of what earlier rows left behind: the best price, the sums, the last version or the
-waiting rows of each key. Micro-batches have to come in the order of ``seq``; rows within one
-may have any order. The functions are steps for ``run.run_carried``.
+waiting rows of each key. Micro-batches have to come in the order of ``seq``, else the run fails;
+rows within one may have any order. The functions are steps for ``run.run_carried``.
 """
 
 from __future__ import annotations

@@ -59,21 +59,33 @@ def run_partials(
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def run_carried(stream: DataFrame, step: Step, carried: T.StructType | str, label: str, folder: str | None = None) -> DataFrame:
+def run_carried(
+    stream: DataFrame, step: Step, carried: T.StructType | str, label: str, folder: str | None = None, order: str = "seq"
+) -> DataFrame:
     """Run a batch operator on each micro-batch, together with a table that it carries on.
 
     The table holds what later rows may still meet, say the last row of each key. It is
     written next to the results, batch by batch, so that a batch that is run again begins
     with the same table and overwrites its own results. No key is gathered in one task.
+
+    Later micro-batches have to be later in ``order``: the largest value so far is carried along,
+    and the run fails at a micro-batch that holds a smaller one, before it writes results.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, label)
     before = spark.createDataFrame([], carried)
     schema = step(spark.createDataFrame([], stream.schema), before)[0].schema
+    reached = T.StructType([T.StructField("reached", stream.schema[order].dataType)])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        read = batch.sparkSession.read.schema(before.schema)
-        held = read.parquet(f"{folder}/carried/{batch_id - 1}") if batch_id else before
+        read = batch.sparkSession.read
+        held = read.schema(before.schema).parquet(f"{folder}/carried/{batch_id - 1}") if batch_id else before
+        low, high = batch.agg(F.min(order), F.max(order)).first()
+        last = read.schema(reached).parquet(f"{folder}/reached/{batch_id - 1}").first()["reached"] if batch_id else None
+        if low is not None and last is not None and low < last:
+            raise ValueError(f"{label}: micro-batch {batch_id} has {order} {low}, an earlier one had {last}: files have to come in the order of {order}")
+        last = max((x for x in (last, high) if x is not None), default=None)
+        batch.sparkSession.createDataFrame([(last,)], reached).write.mode("overwrite").parquet(f"{folder}/reached/{batch_id}")
         results, left = step(batch, held)
         results.write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
         left.write.mode("overwrite").parquet(f"{folder}/carried/{batch_id}")

@@ -358,6 +358,15 @@ def test_results_do_not_depend_on_files(spark, con, cut_tables, monkeypatch, how
     assert problem is None
 
 
+@pytest.mark.parametrize("name", sorted(ORDERED - {"stream_expired_bid_flush"}))
+def test_files_out_of_order_fail_unless_in_one_micro_batch(spark, con, cut_tables, monkeypatch, name):
+    _, _, problem = compare(spark, con, PLANS[name], SQL[name], SMALL, f"{cut_tables}/random")
+    assert problem is None
+    monkeypatch.setattr(tables, "BATCH_BYTES", 1)
+    with pytest.raises(Exception, match="files have to come in the order of seq"):
+        PLANS[name](spark, f"{cut_tables}/random").count()
+
+
 def test_files_are_micro_batches(spark, cut_tables, monkeypatch):
     monkeypatch.setattr(tables, "BATCH_BYTES", 1)
     sizes = []
