@@ -323,6 +323,15 @@ def test_templates_of_awkward_documents(spark):
     assert templates.dedup(empty(spark)).count() == 0
 
 
+def test_recurring_lines_of_fields_by_the_production_values(spark):
+    footers = ["Page 3 of 10", "Tel 555 0199 12 44", "Page 4 of 10"]
+    texts = [text + "".join("\n" + f for i, f in enumerate(footers) if n % (i + 2) == 0 and n < 6) for n, text in enumerate(prose(12, 29, 9, 30))]
+    got = {(r.doc_id, number) for r in templates.dedup(documents(spark, texts)).collect() for number in r.dropped}
+    # three texts hold the first line, two the second, two the third
+    assert got == plain_verbatim(list(enumerate(texts)), 3) and len(got) == 2
+    assert not plain_templates(list(enumerate(texts)), 3, 3, 0.6) & got
+
+
 def plain_verbatim(rows, least):
     spots = defaultdict(list)
     for i, text in rows:
