@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gavelspark.llm import decontam, langid, partenum, pieces, templates
 from gavelspark.llm.plans import PIECE_MODEL, encoded_digests
+from gavelspark.llm.rows import text_digest
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
 
@@ -37,10 +38,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one of the smallest id. Rows without an id stay."""
-    copies = partenum.classes(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), "doc_id")
-    return packed.join(copies, packed["doc_id"] == copies["copy"], "left_anti").select("row.*")
+    """One row of each class of near duplicates: of the smallest id, then digest; rows without an id come last.
+
+    Rows are numbered and stored first, so ids may be null, repeated or shared by different texts.
+    """
+    folder, read = shared_folder(spark, "numbered"), spark.read
+    docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")).write.parquet(f"{folder}/rows")
+    rows = read.parquet(f"{folder}/rows")
+    found = partenum.classes(rows.select("key", "row.text"), "key").filter("component_id <> doc_id")
+    found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).write.parquet(f"{folder}/linked")
+    linked = read.parquet(f"{folder}/linked")
+    members = linked.union(linked.select(F.col("component").alias("key"), "component").distinct())
+    spot = F.struct(F.col("row.doc_id").isNull().alias("last"), "row.doc_id", text_digest(F.col("row.text")).alias("digest"), "key")
+    best = members.join(rows.select("key", spot.alias("spot")), "key").groupBy("component").agg(F.min("spot").alias("spot"))
+    copies = members.join(best.select("spot.key"), "key", "left_anti").select("key")
+    return rows.join(copies, "key", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

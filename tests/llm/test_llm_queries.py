@@ -7,7 +7,7 @@ from datetime import datetime
 
 import pytest
 from conftest import SMALL
-from corpus_cases import SCHEMA, awkward, empty, prose, row
+from corpus_cases import SCHEMA, TEXTS, awkward, empty, prose, row
 from oracle import compare, connect
 
 import __spark_entry__ as driver
@@ -127,6 +127,19 @@ def test_stages_take_awkward_documents(spark, stage):
     assert 11 in kept and stage(spark, empty(spark), SMALL).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    base = [" ".join(prose(1, seed, 60, 60)) for seed in (31, 32)]
+    texts = prose(1, 33, 60, 60)
+    rows = [row(None, base[0]), row(None, base[0] + " x"), row(5, base[1]), row(5, base[1]), row(None, base[1] + " x"), row(9, base[1] + " y"), row(9, texts[0])]
+    docs = spark.createDataFrame(rows + [row(None, None), row(None, "")], SCHEMA).repartition(3)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
+    one = [x for x in left if x[0] is None and x[1] and x[1].startswith(base[0])]
+    assert len(one) == 1 and left == Counter([one[0], (5, base[1]), (9, texts[0]), (None, None), (None, "")])
+    again = corpus_pipeline.near_duplicates(spark, awkward(spark), SMALL).collect()
+    assert Counter(r.doc_id for r in again)[1] == 1 and TEXTS[1] not in {r.text for r in again if r.doc_id is None}
+    assert {r.text for r in again if r.doc_id == 8} == {"one", "another text of the same id"}
+
+
 def test_lines_that_recur_go_once(spark):
     lines = [f"{text}\nShared line of every page 12{i}" for i, text in enumerate(prose(40, 17))]
     docs = spark.createDataFrame([row(i, text) for i, text in enumerate(lines)] + [row(99, "Shared line of every page 7")], SCHEMA)
