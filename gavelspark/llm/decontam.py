@@ -44,7 +44,7 @@ def words_of(text: str) -> list[bytes]:
 class Items:
     """The windows of some items, as numbers of words; 0 is no word of any item."""
 
-    def __init__(self, named: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, named: list[tuple[str | None, str]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.names, self.window = [], window
         text, item, place, width = [0], [], [], []
@@ -161,23 +161,25 @@ def _search(rows: DataFrame, items: Items) -> DataFrame:
 def search(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``digest`` of the text, ``n_words`` and ``matches`` of every document.
 
-    Null texts have no words. Items without an id or a word match nothing, nor does an empty
-    benchmark. Rows of one item id are matched each and carry the same name. Repeated documents
+    Null texts have no words. Items without a word match nothing, nor does an empty benchmark; those
+    without an id match only if ``unnamed``, under the name null. Rows of one item id are matched each and carry the same name. Repeated documents
     stay; other columns are ignored.
     """
     rows = id_and_text(docs, id_column, text_column).withColumn("digest", text_digest(F.col("text")))
     items = benchmark.select(benchmark[item_column].cast("string").alias("item"), benchmark[item_text_column].alias("text"))
-    items = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = items.filter(F.col("text").isNotNull() & (F.col("item").isNotNull() | F.lit(unnamed)))
     size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("size")).first()["size"] or 0
     blocks = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     passes = []
     for block in range(blocks):
         found = items.filter(part == block).toPandas().sort_values(["item", "text"])
-        passes.append(_search(rows, Items(list(zip(found["item"], found["text"])), window)))
+        names = [item if isinstance(item, str) else None for item in found["item"]]
+        passes.append(_search(rows, Items(list(zip(names, found["text"])), window)))
     if blocks == 1:
         return passes[0]
     every = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "digest").agg(
@@ -194,8 +196,8 @@ def hit_words(matches: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, in which no window of an item occurs."""
-    found = search(docs, benchmark, id_column, text_column, **options).filter(F.size("matches") > 0)
+    """The documents, with all their columns, in which no window of an item occurs, be it one without an id."""
+    found = search(docs, benchmark, id_column, text_column, **({"unnamed": True} | options)).filter(F.size("matches") > 0)
     affected = found.select(F.col("doc_id").alias("_1"), F.col("digest").alias("_2")).distinct()
     packed = docs.select(F.struct("*").alias("row"), docs[id_column].cast("long").alias("id"), text_digest(docs[text_column]).alias("digest"))
     same = packed["id"].eqNullSafe(affected["_1"]) & (packed["digest"] == affected["_2"])

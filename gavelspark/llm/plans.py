@@ -73,7 +73,7 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontam.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), unnamed=True)
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select(
         "doc_id", "n_words", decontam.hit_words(F.col("matches")).alias("n_hit"), F.size(names).cast("long").alias("n_items"),

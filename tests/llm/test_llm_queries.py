@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from datetime import datetime
+from hashlib import sha256
 
 import pytest
 from conftest import SMALL
@@ -95,6 +96,21 @@ def test_a_hot_url_is_cut_into_chunks(spark, monkeypatch):
     assert {i: to for i, _, to in plain} == wanted
 
 
+# benchmark items
+
+def test_items_without_an_id_contaminate(spark, folder):
+    passage = " ".join(prose(1, 41, 30, 30))
+    docs = [row(1, "before " + passage + " after"), row(2, "a clean text of its own")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, passage), (7, "after")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {r.doc_id: r for r in PLANS["op3_benchmark_suffixes"](spark, folder).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (31, 2, True) and got[1].items_sha256 == sha256(b"7").hexdigest()
+    assert (got[2].n_hit, got[2].n_items, got[2].contaminated) == (0, 0, False)
+    unnamed = f"{folder}/unnamed"
+    spark.createDataFrame([(None, passage)], "item_id long, text string").write.parquet(f"{unnamed}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, SCHEMA), unnamed).collect()] == [2]
+
+
 # pipeline
 
 def test_pipeline_stages(spark):
