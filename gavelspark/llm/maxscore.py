@@ -5,10 +5,11 @@ its postings are the vectors with a component of that sign, with that weight. A
 from the terms where its own component has the same sign and loses on those of the other
 sign. For each shard of vectors the largest weight of a term bounds what it can add. Once k
 scores are known, the terms of the smallest bounds that together cannot reach the k-th score are
-non-essential: a vector in no other posting cannot enter the result. So the essential postings
-are traversed, and their vectors are probed in the other terms, the largest bound first, as
-long as what is still to come can lift them to the k-th score. The best of all shards are
-merged.
+non-essential: a vector in no other posting cannot enter the result. There are no postings lists:
+on dense vectors nearly every vector is in some essential one, so all vectors of a shard begin as
+candidates. Terms are read the largest bound first, some at a time (their number goes by that of
+the essential terms), and a vector stays as long as what is still to come can lift it to the
+k-th score. The best of all shards are merged.
 
 The queries are shipped in blocks of bounded size, one pass over the vectors for each block;
 a shard returns k rows a query, whatever its size.
@@ -76,7 +77,7 @@ class Shard:
         least = known[-k] if len(known) >= k else -np.inf
         essential = int(np.count_nonzero(rest >= least))
         essential = max(1, min(essential, len(terms)))
-        # the postings of the essential terms are read a few terms at a time
+        # all vectors begin as candidates; terms are read a few at a time
         live, scores, at = others, np.zeros(len(others)), 0
         while at < len(terms) and len(live):
             step = terms[at : at + max(8, essential // 2)]
