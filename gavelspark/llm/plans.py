@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelspark.llm import bytecnn, chunks, decontam, grammar, langid, maxscore, partenum, pieces, revisits, templates
+from gavelspark.llm import bytecnn, chunks, covering, decontam, fptree, grammar, langid, manifest, maxscore, partenum, pieces, revisits, templates
 from gavelspark.llm.rows import held_out
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
@@ -211,3 +211,102 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("removed").cast("long").alias("n_removed"), chunks.removed_bytes(F.col("removed")).alias("removed_bytes"),
         F.octet_length("text").cast("long").alias("kept_bytes"), (F.size("removed") > 0).alias("repeats"), F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+# crc32 of the decimal id, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(CAST(doc_id AS VARCHAR))),
+    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""
+
+
+# Levels of the SQL's trees: so many of a source (16 million leaves), so many of the sources.
+_SQL_LEVELS, _SQL_TOP_LEVELS = 6, 3
+
+
+def _manifest_sql() -> str:
+    """One level after the other; a tree of which one node is left stays as it is."""
+
+    def levels(name: str, first: str, key: str, count: int) -> str:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(count):
+            out.append(f"""{name}_n{k} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS width, pos // 16 AS run FROM {name}{k})""")
+            out.append(f"""{name}{k + 1} AS (SELECT {key}, run AS pos, CASE WHEN any_value(width) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+                FROM {name}_n{k} GROUP BY {key}, run)""")
+            out.append(f"""{name}_s{k} AS (SELECT n.{key}, n.pos,
+                coalesce(string_agg(m.h, '' ORDER BY m.pos) FILTER (WHERE m.pos < n.pos), '') AS lo, coalesce(string_agg(m.h, '' ORDER BY m.pos) FILTER (WHERE m.pos > n.pos), '') AS hi,
+                any_value(n.width) > 1 AS inner_node
+                FROM {name}_n{k} n JOIN {name}_n{k} m ON m.{key} = n.{key} AND m.run = n.run GROUP BY n.{key}, n.pos)""")
+        return ",\n".join(out)
+
+    field = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    proof, joins = [], []
+    for name, key, count in (("l", "tree", _SQL_LEVELS), ("t", "one", _SQL_TOP_LEVELS)):
+        place = "d.pos" if name == "l" else "q.pos"
+        for k in range(count):
+            a = f"{name}s{k}"
+            joins.append(f"JOIN {name}_s{k} {a} ON {a}.{key} = {'d.tree' if name == 'l' else '1'} AND {a}.pos = {place} // {16**k}")
+            proof.append(f"CASE WHEN {a}.inner_node THEN {a}.lo || {a}.hi ELSE '' END")
+    steps = [f"{name}s{k}" for name, count in (("l", _SQL_LEVELS), ("t", _SQL_TOP_LEVELS)) for k in range(count)]
+    folds, last = [], "p"
+    for i, a in enumerate(steps):
+        folds.append(f"f{i} AS (SELECT * REPLACE (CASE WHEN {a}_in THEN sha256({a}_lo || folded || {a}_hi) ELSE folded END AS folded) FROM {last})")
+        last = f"f{i}"
+    columns = ", ".join(f"{a}.inner_node AS {a}_in, {a}.lo AS {a}_lo, {a}.hi AS {a}_hi" for a in steps)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf,
+                  CASE WHEN {_CRC_SQL} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS tampered FROM documents),
+     o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+     {levels('l', 'SELECT tree, pos, leaf AS h FROM o', 'tree', _SQL_LEVELS)},
+     q AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM l{_SQL_LEVELS}),
+     {levels('t', 'SELECT 1 AS one, pos, h FROM q', 'one', _SQL_TOP_LEVELS)},
+     p AS (SELECT d.doc_id, d.leaf, d.tampered AS folded, q.h AS subroot, r.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, {columns}
+           FROM o d JOIN q ON q.tree = d.tree JOIN t{_SQL_TOP_LEVELS} r ON true {' '.join(joins)}),
+     {", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}"""
+
+
+@plan("op11_time_forward_manifest", _manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    leaf = manifest.digest_of(*fields, F.col("text"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, manifest.digest_of(*fields, lower)).otherwise(F.col("leaf"))
+    leaves = docs.withColumn("leaf", leaf).select("doc_id", "source", "leaf", tampered.alias("tampered"))
+    proved = manifest.prove(leaves)
+    folded = proved.withColumn("folded_root", manifest.fold(F.col("tampered"), F.col("steps")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _ranked_sql() -> str:
+    terms = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {terms} AS w FROM documents),
+     q AS (SELECT item_id, row_number() OVER () AS i, unnest(list_distinct({terms})) AS term FROM benchmark),
+     s AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+     t AS (SELECT r, doc_id, CAST(any_value(len(w)) AS BIGINT) AS n, term, count(*) AS tf
+           FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, term),
+     f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM t, s GROUP BY term, nn),
+     x AS (SELECT i, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+           FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 10"""
+
+
+@plan("op12_document_fp_tree", _ranked_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = fptree.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return ranked.select("item_id", "rank", "doc_id", "score")
+
+
+@plan("op13_covering_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", covering.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
