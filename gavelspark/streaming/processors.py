@@ -117,3 +117,143 @@ class ExpiryTimer(StatefulProcessor):
         return bids.assign(auction=key[0], expires_us=expires, kept=kept, accepted=accepted)[
             ["auction", "price", "bidder", "ts_us", "expires_us", "kept", "accepted"]
         ]
+
+
+class LateMark(StatefulProcessor):
+    """Rows with the watermark of their micro-batch, and whether their window was over by then. No state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            late = part["end_us"].notna() & (part["end_us"] <= now * MILLI)
+            yield pd.DataFrame({"body": part["body"], "at_us": part["at_us"], "is_late": late, "watermark_ms": now})
+
+
+def _best(prices: pd.Series) -> int:
+    return int(prices.max())
+
+
+class FinalPrice(StatefulProcessor):
+    """The best bid before its auction's end, emitted when the end passes; then all state of the auction goes."""
+
+    def __init__(self, hold: int) -> None:
+        self._hold_ms = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._auction = handle.getValueState("auction", "expires_us long, owner long")
+        self._top = handle.getValueState("top", "price long")
+        self._early = handle.getListState("early", "price long, ts_us long")
+        self._until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            auctions, bids = part[part["is_auction"]], part[~part["is_auction"]][["price", "ts_us"]].astype("int64")
+            if len(auctions):
+                newest = auctions.loc[auctions["seq"].idxmax()]
+                self._auction.update((int(newest["expires_us"]), None if pd.isna(newest["owner"]) else int(newest["owner"])))
+                self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
+                if self._early.exists():
+                    for held in _slices(self._early.get()):
+                        self._offer(pd.DataFrame(held, columns=["price", "ts_us"]).astype("int64"))
+                    self._early.clear()
+                    self._until.clear()
+            if self._auction.exists():
+                self._offer(bids)
+            elif len(bids):
+                self._early.appendList(list(map(tuple, bids.to_numpy().tolist())))
+                until = _up_to_millis(int(bids["ts_us"].max())) + self._hold_ms
+                if not self._until.exists() or self._until.get()[0] < until:
+                    self._until.update((until,))
+                    self._handle.registerTimer(until)
+        return iter(())
+
+    def _offer(self, bids: pd.DataFrame) -> None:
+        prices = bids["price"][bids["ts_us"] < self._auction.get()[0]]
+        if len(prices) and (not self._top.exists() or self._top.get()[0] < _best(prices)):
+            self._top.update((_best(prices),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self._until.exists() and now >= self._until.get()[0]:
+            self._early.clear()
+            self._until.clear()
+        if not self._auction.exists():
+            return
+        expires, owner = self._auction.get()
+        if now < _up_to_millis(expires):
+            return  # the end was moved since
+        if self._top.exists():
+            row = {"auction": [key[0]], "owner": pd.array([owner], dtype="Int64"), "expires_us": [expires], "final": [self._top.get()[0]]}
+            yield pd.DataFrame(row)
+        self._top.clear()
+        self._auction.clear()
+
+
+# Closed auctions of a seller that are averaged.
+LAST_SALES = 10
+
+
+class LastSales(StatefulProcessor):
+    """Closings of an owner in the order of their ends, each with the average of the last ``n``; a ring of ``n`` prices is kept.
+
+    Ends arrive in order from one micro-batch to the next, as timers do; within one they are sorted.
+    """
+
+    def __init__(self, n: int) -> None:
+        self._n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._ring = handle.getListState("ring", "final long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["expires_us", "auction"], kind="stable", ignore_index=True)
+        held = [row[0] for row in self._ring.get()] if self._ring.exists() else []
+        prices = pd.Series([*held, *new["final"].astype("int64").tolist()], dtype="int64")
+        self._ring.put([(int(price),) for price in prices.tail(self._n)])
+        recent = prices.cumsum() - prices.cumsum().shift(self._n, fill_value=0)
+        place = prices.index.to_series() + 1
+        sales = place.where(place < self._n, self._n)
+        made = new.assign(sales=sales[len(held) :].to_numpy(), avg_final=(recent / sales)[len(held) :].to_numpy())
+        yield made[["owner", "auction", "expires_us", "final", "sales", "avg_final"]]
+
+
+class WatermarkBuffer(StatefulProcessor):
+    """Bids on a live auction at once; others wait for the next version of the auction, which releases all of them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._auction = handle.getValueState("auction", "expires_us long, owner long")
+        self._waiting = handle.getListState("waiting", "price long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * MILLI
+        arrived = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        # bids up to the next version belong together
+        for _, run in arrived.groupby(arrived["is_auction"].cumsum()):
+            if run["is_auction"].iloc[0]:
+                version = run.iloc[0]
+                self._auction.update((int(version["expires_us"]), None if pd.isna(version["owner"]) else int(version["owner"])))
+                if self._waiting.exists():
+                    for part in _slices(self._waiting.get()):
+                        yield self._joined(key, [row[0] for row in part])
+                    self._waiting.clear()
+                run = run.iloc[1:]
+            if not len(run):
+                continue
+            live = pd.Series(False, index=run.index)
+            if self._auction.exists():
+                expires = self._auction.get()[0]
+                live = (run["ts_us"] < expires) & (expires > now)
+            if live.any():
+                yield self._joined(key, run["price"][live].astype("int64").tolist())
+            if not live.all():
+                self._waiting.appendList([(price,) for price in run["price"][~live].astype("int64").tolist()])
+
+    def _joined(self, key, prices: list[int]) -> pd.DataFrame:
+        expires, owner = self._auction.get()
+        return pd.DataFrame({
+            "auction": key[0], "price": prices, "expires_us": expires, "owner": pd.array([owner] * len(prices), dtype="Int64"),
+        })

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from threading import Condition
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
+from gavelspark.operators import telemetry
 from gavelspark.session import shared_folder
 from gavelspark.sources.files import append_lines
 
@@ -30,6 +32,34 @@ def run_available(stream: DataFrame, label: str, folder: str | None = None) -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_live(stream: DataFrame, label: str, folder: str | None = None, output: str = "out") -> tuple[DataFrame, DataFrame]:
+    """Run a stream micro-batch by micro-batch until its sources have no more; its results and its progress reports.
+
+    Each micro-batch takes what the sources hand out at a time, and a last one without rows closes what the
+    watermark has passed. Reports are kept by a listener, all of them, and come as parsed rows.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, label)
+    log = ProgressLog(spark, f"{folder}/progress")
+    spark.streams.addListener(log)
+    try:
+        query = to_files(stream, folder, output).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        log.wait_for(str(query.runId))
+    finally:
+        spark.streams.removeListener(log)
+    reports = telemetry.parse_progress(spark.read.text(f"{folder}/progress")).filter(F.col("runId") == str(query.runId))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{output}"), reports
+
+
+def zone_free(df: DataFrame) -> DataFrame:
+    """Times as the tables have them, without a zone."""
+    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name, kind in df.dtypes if kind == "timestamp"})
+
+
 Partial = Callable[[DataFrame], DataFrame]
 
 
@@ -142,6 +172,8 @@ class ProgressLog(StreamingQueryListener):
     def __init__(self, spark: SparkSession, folder: str, per_file: int = 100) -> None:
         self._spark, self._folder, self._per_file = spark, folder, per_file
         self._lines: list[str] = []
+        self._ended: set[str] = set()
+        self._change = Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -156,6 +188,15 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self.flush()
+        with self._change:
+            self._ended.add(str(event.runId))
+            self._change.notify_all()
+
+    def wait_for(self, run_id: str, seconds: float = 60) -> None:
+        """Until the listener, which runs on its own, has seen the end of a run."""
+        with self._change:
+            if not self._change.wait_for(lambda: run_id in self._ended, seconds):
+                raise TimeoutError(f"no end of run {run_id} was reported")
 
     def flush(self) -> None:
         lines, self._lines = self._lines, []
