@@ -99,6 +99,15 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return Model(languages, (counts / counts.sum(axis=0)).astype(np.float32))
 
 
+# The name of what no language explains.
+BACKGROUND = ""
+
+
+def with_background(model: Model) -> Model:
+    """The model with one more component, under which every bucket is as likely as any other."""
+    return Model((*model.languages, BACKGROUND), np.c_[model.table, np.full(BUCKETS, 1 / BUCKETS, dtype=np.float32)])
+
+
 def shares(likelihood: np.ndarray) -> np.ndarray:
     """The shares of the languages (columns) that explain the trigrams (rows) best."""
     n, k = likelihood.shape
@@ -165,3 +174,29 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     rows = docs.select(*keep, docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     schema = T.StructType([*rows.select(*keep).schema, *T.StructType.fromDDL("doc_id long, lang_pred string, score double, mixture map<string, double>")])
     return rows.mapInArrow(run, schema)
+
+
+def told(docs: DataFrame, model: Model, least_share: float = 0.0, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which a language of the model has the largest share, and that of ``least_share`` or more.
+
+    Rows go where the background has the largest share: texts in scripts and languages that were
+    not learned, and strings of chance letters. So do texts that are null or without a letter, and all if the
+    model knows no language. Ties go to a language. A row passes Python once, with its text.
+    """
+    wide = with_background(model)
+    shipped = docs.sparkSession.sparkContext.broadcast((len(model.languages), wide.table))
+    # names may be there twice or differ in case alone
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = shipped.value
+        for batch in slices(batches, text):
+            stays = []
+            for raw in texts_of(batch, text):
+                found = trigrams(raw) if known else ()
+                share = mixture(table, found) if len(found) else np.zeros(1)
+                stays.append(len(found) > 0 and int(share.argmax()) < known and bool(share.max() >= least_share))
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.toDF(*names).mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)

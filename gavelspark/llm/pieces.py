@@ -272,19 +272,20 @@ def read_model(path: str) -> bytes:
 
 
 def encode(
-    docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: bool = True, decoded: bool = False,
+    docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: bool = True, decoded: bool = False, reuse: bool = True,
 ) -> DataFrame:
     """``doc_id`` and the array ``ids`` of every text; nothing is put before or after. With
     ``decoded`` also the text that ``decode`` gives for the ids, in the same pass.
 
     Null and the empty text have no ids. Rows are encoded on their own, so ties, repeated rows
     and null ids stay as they are; other columns are ignored. ``check`` compares with the
-    library. ``model`` is the content of the model file, which is the same at every scale.
+    library. ``model`` is the content of the model file, which is the same at every scale. With
+    ``reuse`` a Python worker keeps its table of chunks for later tasks; without, it goes with the task.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = built_once(Pieces, shipped.value, check)
+        pieces = built_once(Pieces, shipped.value, check) if reuse else Pieces(shipped.value, check)
         for batch in slices(batches, "text"):
             found, texts = pieces.encode_and_decode(texts_of(batch, "text"))
             offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)

@@ -173,9 +173,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def encoded_digests(docs: DataFrame, model: bytes, *more: str) -> DataFrame:
+def encoded_digests(docs: DataFrame, model: bytes, *more: str, reuse: bool = True) -> DataFrame:
     """Encoded and decoded texts, each as a digest, and ``more`` of the columns."""
-    both = pieces.encode(docs, model, decoded=True)
+    both = pieces.encode(docs, model, decoded=True, reuse=reuse)
     return both.select(
         "doc_id", *more,
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
-from corpus_cases import TEXTS, awkward, empty
+from corpus_cases import SCHEMA, TEXTS, awkward, empty, row
 
 from gavelspark.llm import bytecnn, langid
 from gavelspark.llm.plans import PLANS
@@ -84,3 +87,18 @@ def test_awkward_texts_have_a_score(spark):
     alone = bytecnn.learn(awkward(spark), labels.filter("quality = 1"), "quality")
     assert bytecnn.score(alone, "x") > 0.99
     assert abs(bytecnn.score(bytecnn.learn(empty(spark), labels.limit(0), "quality"), "x") - 0.5) < 1e-6
+
+
+def test_what_no_language_explains_goes(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = read_table(spark, DATA, "documents")
+    model = langid.learn(docs)
+    odd = ["Привет мир это русский текст о погоде", "これは日本語の文章です。天気がいいですね", "Η γρήγορη καφέ αλεπού πηδάει", letters(300), " ".join(letters(rng.randint(2, 9)) for _ in range(60))]
+    rows = [row(i, text) for i, text in enumerate([*odd, None, "", "12 !!"])]
+    clean = [row(100 + r.doc_id, r.text) for r in docs.limit(50).collect()]
+    left = langid.told(spark.createDataFrame([*rows, *clean, clean[0]], SCHEMA), model, 0.3)
+    assert left.columns == SCHEMA.names and Counter(r.doc_id for r in left.collect()) == Counter([*(r[0] for r in clean), clean[0][0]])
+    assert left.filter("doc_id = 100").first().asDict() == dict(zip(SCHEMA.names, next(r for r in clean if r[0] == 100)))
+    nothing = langid.learn(docs.limit(0))
+    assert langid.told(docs, nothing).count() == 0 and langid.told(empty(spark), model).count() == 0
