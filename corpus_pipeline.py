@@ -16,16 +16,13 @@ from gavelspark.llm.rows import text_digest
 from gavelspark.session import shared_folder
 from gavelspark.sources.tables import read_table
 
-# A document stays if some language has this share of it.
+# A document stays if a learned language has the largest share of it, and this one at least.
 LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter, or of none in particular, go."""
-    model = langid.learn(docs)
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    told = langid.predict(rows, model, keep=("row",))
-    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    """Documents in a learned language; those without a letter go, and those that no learned language explains."""
+    return langid.told(docs, langid.learn(docs), LEAST_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +60,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as piece ids, with their number and digests of ids and decoded text."""
     model = pieces.read_model(PIECE_MODEL)
-    return encoded_digests(docs, model, "ids")
+    # the workers go on to other stages: the table of chunks goes with the task
+    return encoded_digests(docs, model, "ids", reuse=False)
 
 
 STAGES = [
