@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavelspark.functions.scalar import clock_time
-from gavelspark.operators import telemetry
+from gavelspark.operators import samples, telemetry
 from gavelspark.plans.aggregates import bucket
 from gavelspark.plans.registry import query
 from gavelspark.schema import epoch_millis
@@ -161,3 +161,28 @@ def progress_table(spark, sf_dir):
     ))
     lines = tables.events(spark, sf_dir).select(report.alias("value"))
     return telemetry.progress_table(telemetry.parse_progress(lines))
+
+
+def ragged_sql(width: str, key: str | None = None) -> str:
+    """Sample after sample, from the first message on."""
+    part = f"{key} AS part" if key else "0 AS part"
+    return f"""
+    WITH RECURSIVE m AS (SELECT {part}, ts FROM events),
+    b AS (SELECT part, min(ts) AS began FROM m GROUP BY part
+          UNION ALL
+          SELECT b.part, min(m.ts) FROM b JOIN m ON m.part = b.part AND m.ts >= b.began + INTERVAL {width} GROUP BY b.part, b.began),
+    s AS (SELECT part, began, lead(began) OVER (PARTITION BY part ORDER BY began) AS ended FROM b)
+    SELECT {'s.part AS "partition", ' if key else ''}began, ended, count(*) AS messages,
+           count(*) * 1000000.0::DOUBLE / (epoch_us(ended) - epoch_us(began)) AS per_second
+    FROM s JOIN m ON m.part = s.part AND m.ts >= s.began AND m.ts < s.ended WHERE ended IS NOT NULL GROUP BY s.part, began, ended"""
+
+
+@query("ragged_samples", ragged_sql("30 MINUTE"))
+def ragged_samples(spark, sf_dir):
+    return samples.ragged_samples(tables.events(spark, sf_dir), "30 minutes")
+
+
+@query("ragged_samples_by_partition", ragged_sql("2 HOUR", "CAST(user_id % 4 AS INTEGER)"))
+def ragged_samples_by_partition(spark, sf_dir):
+    messages = tables.events(spark, sf_dir).withColumn("partition", (F.col("user_id") % 4).cast("int"))
+    return samples.ragged_samples(messages, "2 hours", keys=["partition"])
