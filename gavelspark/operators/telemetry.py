@@ -148,6 +148,11 @@ PROGRESS = T.StructType([
         T.StructField("numRowsTotal", T.LongType()),
         T.StructField("numRowsDroppedByWatermark", T.LongType()),
     ]))),
+    T.StructField("observedMetrics", T.MapType(T.StringType(), T.StructType([
+        T.StructField("rows", T.LongType()),
+        T.StructField("mean_ms", T.DoubleType()),
+        T.StructField("max_ms", T.LongType()),
+    ]))),
 ])
 
 
@@ -173,3 +178,13 @@ def progress_table(reports: DataFrame) -> DataFrame:
         F.sum(dropped).alias("late_rows"),
         (F.count_distinct("runId") - 1).alias("restarts"),
     )
+
+
+def observed_table(reports: DataFrame, metrics: str) -> DataFrame:
+    """Per stream: rows that were observed under the name ``metrics``, their mean and longest delay."""
+    seen = F.col("observedMetrics")[metrics]
+    return reports.filter(seen.isNotNull()).groupBy("id").agg(
+        F.sum(seen["rows"]).alias("observed_rows"),
+        ratio(F.sum(seen["mean_ms"] * seen["rows"]), F.sum(seen["rows"])).alias("mean_ms"),
+        F.max(seen["max_ms"]).alias("max_ms"),
+    )

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gavelspark.operators import telemetry, windows
+from gavelspark.operators import asof, telemetry, windows
 from gavelspark.plans import aggregates as batch
 from gavelspark.plans.joins import new_sellers_sql
 from gavelspark.plans.registry import query
+from gavelspark.schema import epoch_millis
 from gavelspark.session import shared_folder
-from gavelspark.sources import replay, tables, topic
+from gavelspark.sources import codec, replay, tables, topic
 from gavelspark.sources.replay import OUT_OF_ORDER_SQL, arrived_sql, watermarks_sql
 from gavelspark.streaming import live
-from gavelspark.streaming.run import run_live, zone_free
+from gavelspark.streaming.run import LATENCY_METRICS, kept_state, observed_delay, run_live, run_through, zone_free
 from gavelspark.streaming.windows import hot_items_stream
 
 PERSON_DELAY, ITEM_DELAY = "10 minutes", "2 hours"
@@ -153,3 +154,120 @@ def topic_restart(spark, sf_dir):
     earliest = read("earliest", "state-c", "reader", topic.EARLIEST)
     every = goes_on.unionByName(committed).unionByName(earliest)
     return every.groupBy("run", "partition").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count("*").alias("messages"))
+
+
+_HOURS = f"""SELECT {batch.bucket('1 HOUR')} + INTERVAL 1 HOUR AS window_end, auction, count(*) AS n FROM ebid GROUP BY ALL"""
+
+
+@query("topic_tuples", f"""
+    SELECT '(' || auction || ',' || n || ')' AS value, CAST(auction % 4 AS INTEGER) AS "partition", window_end
+    FROM ({_HOURS}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", "ebid")
+def topic_tuples(spark, sf_dir):
+    sent = replay.replay(spark, sf_dir, "tuples-from")
+    bids = windows.with_watermark(tables.event_bids_from(sent.stream()), HOT_DELAY)
+    counts = windows.windowed(bids, [F.count("*").alias("n")], "1 hour", keys=["auction"])
+    value = F.format_string("(%d,%d)", "auction", "n")
+    out, folder = shared_folder(spark, "tuples"), shared_folder(spark, "tuples-run")
+    run_through(topic.to_topic(topic.messages(counts, value, F.col("window_end"), F.col("auction") % 4, F.col("auction")), out, folder))
+    return zone_free(topic.read(spark, out).select("value", "partition", F.col("timestamp").alias("window_end")))
+
+
+@query("topic_bids", "SELECT auction, bidder, price, epoch_us(ts) // 1000 AS \"dateTime\" FROM ebid", "ebid")
+def topic_bids(spark, sf_dir):
+    sent = replay.replay(spark, sf_dir, "bids-from")
+    bids = tables.event_bids_from(sent.stream()).withColumn("dateTime", epoch_millis("ts"))
+    body = F.to_json(F.struct("auction", "bidder", "price", "dateTime"))
+    out, folder = shared_folder(spark, "bids"), shared_folder(spark, "bids-run")
+    run_through(topic.to_topic(topic.messages(bids, body, F.col("ts"), F.col("auction") % 4), out, folder, "bids"))
+    return codec.decode_bids(topic.read(spark, out)).select("auction", "bidder", "price", "dateTime")
+
+
+def _halves(spark, sf_dir, label):
+    """A topic that is sent in two halves: its path, the limit of a micro-batch, and what sends a half."""
+    events = tables.events(spark, sf_dir)
+    last, n = events.agg(F.floor(F.max("event_id") / 2), F.count("*")).first()
+    path, partitions = shared_folder(spark, label), replay.partitions_of(n)
+
+    def send(second):
+        own = events.filter(F.col("event_id") > last if second else F.col("event_id") <= last)
+        replay.sent(own, path, replay.in_order(), partitions)
+
+    return path, replay.per_batch_of(n), last, send
+
+
+@query("stream_state_audit", """
+    WITH phases AS (SELECT 'stopped' AS phase, max(event_id) // 2 AS last FROM events UNION ALL SELECT 'went on', max(event_id) FROM events),
+    marks AS (SELECT phase, last, max(ts) - INTERVAL 10 MINUTE AS wm FROM phases JOIN events ON event_id <= last GROUP BY phase, last)
+    SELECT phase, a.id AS auction, a.expires, a.id % 5 AS seller, max(b.price) AS best
+    FROM marks JOIN cauction a ON a.expires > marks.wm
+    LEFT JOIN ubid b ON b.auction = a.id AND b.seq <= marks.last AND b.ts < a.expires GROUP BY ALL""", "ubid cauction")
+def stream_state_audit(spark, sf_dir):
+    # auctions that are still open when the stream stops, and again when it has gone on from its checkpoint
+    path, limit, _, send = _halves(spark, sf_dir, "audit-topic")
+    folder, found = shared_folder(spark, "audit"), []
+    for second, phase in enumerate(("stopped", "went on")):
+        send(second)
+        events = replay.events_of(topic.stream(spark, path, None, topic.COMMITTED, limit, "audit"))
+        auctions = tables.customer_auctions_from(tables.stream_table(spark, sf_dir, "customer")).withColumn("seller", F.pmod("id", F.lit(5)))
+        run_live(live.last_sales(tables.user_bids_from(events), auctions, HOT_DELAY), "audit", folder)
+        # the operator next to the source has the higher number
+        open_ = kept_state(spark, folder, 1, "auction").select(F.col("key").alias("auction"), F.timestamp_micros("expires_us").alias("expires"), F.col("owner").alias("seller"))
+        best = kept_state(spark, folder, 1, "top").select(F.col("key").alias("auction"), F.col("price").alias("best"))
+        found.append(open_.join(best, "auction", "left").withColumn("phase", F.lit(phase)))
+        # what was read is kept as it was then
+        stored = f"{folder}/found{second}"
+        found[-1].write.parquet(stored)
+        found[-1] = spark.read.parquet(stored)
+    return zone_free(found[0].unionByName(found[1]))
+
+
+@query("stream_progress_of_run", f"""
+    WITH {arrived_sql()}, half AS (SELECT max(event_id) // 2 AS last FROM events),
+    runs AS (SELECT event_id <= last AS first_run, part, count(*) AS n, any_value(per_batch) AS per_batch FROM arrived, half GROUP BY ALL),
+    batches AS (SELECT first_run, (max(n) + any_value(per_batch) - 1) // any_value(per_batch) AS batches FROM runs GROUP BY first_run)
+    SELECT CAST((SELECT sum(batches) FROM batches) AS BIGINT) AS batches, (SELECT count(*) FROM events) AS input_rows,
+           (SELECT count(*) FROM events) AS observed_rows, CAST(0 AS BIGINT) AS late_rows, CAST(1 AS BIGINT) AS restarts""")
+def stream_progress_of_run(spark, sf_dir):
+    path, limit, _, send = _halves(spark, sf_dir, "progress-topic")
+    folder, reports = shared_folder(spark, "progress"), None
+    for second in (False, True):
+        send(second)
+        events = replay.events_of(topic.stream(spark, path, None, topic.COMMITTED, limit, "progress"))
+        own = run_live(observed_delay(events), "progress", folder)[1]
+        reports = own if reports is None else reports.unionByName(own)
+    reports = reports.filter("numInputRows > 0")
+    told = telemetry.progress_table(reports).join(telemetry.observed_table(reports, LATENCY_METRICS), "id")
+    return told.select("batches", "input_rows", "observed_rows", "late_rows", "restarts")
+
+
+_RESUMED_SQL = """
+    WITH half AS (SELECT max(event_id) // 2 AS last FROM events),
+    u AS (SELECT seller AS k, seq, {'id': id, 'cat': category} AS item, NULL AS person FROM item
+          UNION ALL SELECT id, seq, NULL, {'name': name, 'city': city, 'state': state} FROM member),
+    w AS (SELECT seq, last_value(item IGNORE NULLS) OVER x AS la, last_value(person IGNORE NULLS) OVER x AS lp
+          FROM u WINDOW x AS (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT lp.name AS name, lp.city AS city, lp.state AS state, la.id AS id FROM w, half
+    WHERE seq > last AND la IS NOT NULL AND lp IS NOT NULL AND la.cat = 10 AND lp.state IN ('OR', 'ID', 'CA')"""
+
+
+@query("stream_q3_latest_join_resumed", _RESUMED_SQL, "item member")
+def stream_q3_latest_join_resumed(spark, sf_dir):
+    # the first half is a finished table, the second comes as a stream
+    path, limit, last, send = _halves(spark, sf_dir, "resumed-topic")
+    send(True)
+    history = lambda events: asof.latest_history(tables.event_items_from(events), tables.event_persons_from(events))
+    snapshot = live.latest_snapshot(history(tables.events(spark, sf_dir).filter(F.col("event_id") <= last)))
+    events = replay.events_of(topic.stream(spark, path, None, topic.COMMITTED, limit, "resumed"))
+    return run_live(live.latest_join(_tagged_once(events), snapshot), "resumed")[0]
+
+
+def _tagged_once(events):
+    """``asof.latest_history`` of events that are read once: a purchase is an auction, a sign-up a person."""
+    number, user = F.col("event_id"), F.col("user_id")
+    state = tables.state_by_remainder(number)
+    auction = F.struct(number.alias("seq"), number.alias("id"), F.when(number % 2 == 0, 10).otherwise(9).cast("long").alias("category"))
+    member = F.struct(number.alias("seq"), F.concat(F.lit("user "), user.cast("string")).alias("name"), F.col("props").alias("city"), state.alias("state"))
+    return events.filter(F.col("event_type").isin("purchase", "signup") & user.isNotNull()).select(
+        user.alias("key"), number.alias("seq"),
+        F.when(F.col("event_type") == "purchase", auction).alias("item"), F.when(F.col("event_type") == "signup", member).alias("person"),
+    )

@@ -6,11 +6,14 @@ sorted where its order counts, so a micro-batch has to be bounded (``topic.strea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions.intervals import micros
 from gavelspark.operators.joins import keyed_join
+from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES
 from gavelspark.operators.scan import present
 from gavelspark.streaming import processors
 
@@ -121,3 +124,33 @@ def buffered_join(bids_and_auctions: DataFrame, delay: str, keep: str = "seller"
         processors.WatermarkBuffer(), "auction long, price long, expires_us long, owner long", "Append", "EventTime"
     )
     return joined.select("auction", "price", F.timestamp_micros("expires_us").alias("expires"), F.col("owner").alias(keep))
+
+
+def latest_join(
+    history: DataFrame, snapshot: DataFrame | None = None, category: int = LOCAL_CATEGORY, states: Sequence[str] = LOCAL_STATES, ttl: str | None = None,
+) -> DataFrame:
+    """The latest auction and the latest person of a seller, at each arrival of either, in keyed state.
+
+    ``history`` is ``asof.latest_history`` of a stream. State begins with ``snapshot``, a batch table of what earlier
+    arrivals left (``latest_snapshot``): one row per key is written once, where a carried table is
+    written again in each micro-batch. With ``ttl`` a side that is not renewed in that time is forgotten;
+    such a stream has to be stopped, it never runs out of micro-batches.
+    """
+    flat = history.select(
+        "key", "seq", F.col("item").isNotNull().alias("is_item"), "item.id", "item.category", "person.name", "person.city", "person.state",
+    )
+    begin = None if snapshot is None else snapshot.groupBy("key")
+    pairs = flat.groupBy("key").transformWithStateInPandas(
+        processors.LatestPair(None if ttl is None else micros(ttl) // MILLI), "seq long, id long, category long, name string, city string, state string",
+        "Append", "None" if ttl is None else "ProcessingTime", initialState=begin,
+    )
+    matches = pairs.filter((F.col("category") == category) & F.col("state").isin(*states))
+    return matches.select("name", "city", "state", "id")
+
+
+def latest_snapshot(history: DataFrame) -> DataFrame:
+    """What the arrivals of a finished history leave: the latest auction and person of each key."""
+    last = history.groupBy("key").agg(F.max("item").alias("item"), F.max("person").alias("person"))
+    return last.select(
+        "key", F.col("item.seq").alias("item_seq"), "item.id", "item.category", F.col("person.seq").alias("person_seq"), "person.name", "person.city", "person.state",
+    )

@@ -257,3 +257,55 @@ class WatermarkBuffer(StatefulProcessor):
         return pd.DataFrame({
             "auction": key[0], "price": prices, "expires_us": expires, "owner": pd.array([owner] * len(prices), dtype="Int64"),
         })
+
+
+class LatestPair(StatefulProcessor):
+    """The latest auction and the latest person of a key, at each arrival of either; a snapshot may be there from the start.
+
+    With ``ttl`` (milliseconds of the clock) a side that is not renewed that long is forgotten.
+    """
+
+    def __init__(self, ttl: int | None = None) -> None:
+        self._ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._item = handle.getValueState("item", ITEM, self._ttl)
+        self._person = handle.getValueState("person", PERSON, self._ttl)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.itertuples(index=False):
+            if pd.notna(row.item_seq):
+                self._item.update((int(row.item_seq), _whole(row.id), _whole(row.category)))
+            if pd.notna(row.person_seq):
+                self._person.update((int(row.person_seq), _text(row.name), _text(row.city), _text(row.state)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        item = self._item.get() if self._item.exists() else None
+        person = self._person.get() if self._person.exists() else None
+        out = []
+        for row in arrived.itertuples(index=False):
+            if row.is_item:
+                item = (int(row.seq), _whole(row.id), _whole(row.category))
+            else:
+                person = (int(row.seq), _text(row.name), _text(row.city), _text(row.state))
+            if item is not None and person is not None:
+                out.append((int(row.seq), *item[1:], *person[1:]))
+        if item is not None:
+            self._item.update(tuple(item))
+        if person is not None:
+            self._person.update(tuple(person))
+        frame = pd.DataFrame(out, columns=["seq", "id", "category", "name", "city", "state"])
+        yield frame.astype({"id": "Int64", "category": "Int64"})
+
+
+ITEM = "seq long, id long, category long"
+PERSON = "seq long, name string, city string, state string"
+
+
+def _whole(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
+def _text(value) -> str | None:
+    return None if pd.isna(value) else str(value)

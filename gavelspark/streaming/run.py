@@ -36,7 +36,8 @@ def run_live(stream: DataFrame, label: str, folder: str | None = None, output: s
     """Run a stream micro-batch by micro-batch until its sources have no more; its results and its progress reports.
 
     Each micro-batch takes what the sources hand out at a time, and a last one without rows closes what the
-    watermark has passed. Reports are kept by a listener, all of them, and come as parsed rows.
+    watermark has passed. Reports are kept by a listener, all of them, and come as parsed rows. Not for
+    streams with timers or state that go by the clock: those never run out of micro-batches.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, label)
@@ -55,6 +56,21 @@ def run_live(stream: DataFrame, label: str, folder: str | None = None, output: s
     return spark.read.schema(stream.schema).parquet(f"{folder}/{output}"), reports
 
 
+def run_through(writer: DataStreamWriter) -> None:
+    """Run a stream into its sink until its sources have no more."""
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def kept_state(spark: SparkSession, folder: str, operator: int, variable: str) -> DataFrame:
+    """What a variable of a stopped stream's operator holds: the key's and the value's fields, one row per key."""
+    read = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable)
+    return read.load(f"{folder}/state").select("key.*", "value.*")
+
+
 def zone_free(df: DataFrame) -> DataFrame:
     """Times as the tables have them, without a zone."""
     return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name, kind in df.dtypes if kind == "timestamp"})
@@ -150,11 +166,15 @@ LATENCY_METRICS = "latency"
 
 def latency_sink(stream: DataFrame, ts: str = "ts", metrics: str = LATENCY_METRICS) -> DataStreamWriter:
     """Drop all rows, but report count, mean and largest delay of each micro-batch in the progress."""
+    return observed_delay(stream, ts, metrics).writeStream.format("noop")
+
+
+def observed_delay(stream: DataFrame, ts: str = "ts", metrics: str = LATENCY_METRICS) -> DataFrame:
+    """The stream, whose progress tells the number of rows of each micro-batch and how old they are."""
     delay = F.unix_millis(F.current_timestamp()) - F.unix_millis(F.col(ts).cast("timestamp"))
-    observed = stream.observe(
+    return stream.observe(
         metrics, F.count("*").alias("rows"), F.avg(delay).alias("mean_ms"), F.max(delay).alias("max_ms")
     )
-    return observed.writeStream.format("noop")
 
 
 def progress_lines(query: StreamingQuery) -> list[str]:
