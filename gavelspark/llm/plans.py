@@ -150,15 +150,17 @@ WITH l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS nu
              GROUP BY tok.n, tok.lead, line HAVING count(con.token) >= ceil(CAST(0.6 AS DOUBLE) * count(*))),
      d AS (SELECT doc_id, number, template FROM c JOIN tpl USING (n, lead, line)),
      rec AS (SELECT template, min(struct_pack(doc_id := doc_id, number := number)) AS spot FROM d GROUP BY template HAVING count(DISTINCT doc_id) >= 20),
-     gone AS (SELECT doc_id, number FROM d JOIN rec USING (template) WHERE struct_pack(doc_id := doc_id, number := number) <> spot),
-     p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS number FROM documents)
+     p AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS number FROM documents),
+     again AS (SELECT line, min(struct_pack(doc_id := doc_id, number := number)) AS spot FROM p WHERE regexp_matches(line, '[^\x09-\x0D\x20]')
+               GROUP BY line HAVING count(DISTINCT text) >= 3),
+     gone AS (SELECT doc_id, number FROM d JOIN rec USING (template) WHERE struct_pack(doc_id := doc_id, number := number) <> spot
+              UNION SELECT doc_id, number FROM p JOIN again USING (line) WHERE struct_pack(doc_id := doc_id, number := number) <> spot)
 SELECT p.doc_id, count(*) AS n_lines, count(gone.number) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p.number) FILTER (WHERE gone.number IS NULL), '')) AS text_sha256
 FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.number = gone.number GROUP BY p.doc_id""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the SQL knows templates only
-    left = templates.dedup(docs, least_texts=None)
+    left = templates.dedup(docs)
     return left.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 
 
