@@ -38,7 +38,7 @@ def test_query_has_a_row_for_each_document(spark, name):
 
 def test_all_are_registered():
     names = driver.queries()
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)) and "pipeline" in names
 
 
 # revisits
