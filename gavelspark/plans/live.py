@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gavelspark.operators import asof, telemetry, windows
+from gavelspark.operators import asof, joins, telemetry, windows
 from gavelspark.plans import aggregates as batch
 from gavelspark.plans.joins import new_sellers_sql
 from gavelspark.plans.registry import query
@@ -271,3 +271,16 @@ def _tagged_once(events):
         user.alias("key"), number.alias("seq"),
         F.when(F.col("event_type") == "purchase", auction).alias("item"), F.when(F.col("event_type") == "signup", member).alias("person"),
     )
+
+
+@query("stream_bid_auction_join_lifetime", """
+    SELECT b.auction, b.seq, b.price, a.ts + INTERVAL 6 HOUR AS expires FROM ubid b
+    JOIN events a ON a.event_type = 'signup' AND a.user_id = b.auction AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL 6 HOUR""", "ubid")
+def stream_bid_auction_join_lifetime(spark, sf_dir):
+    # a longest lifetime lets both sides go once the watermark has passed it
+    sent = replay.replay(spark, sf_dir, "lifetime-topic")
+    bids = windows.with_watermark(tables.user_bids_from(sent.stream()), HOT_DELAY)
+    opened = sent.stream().filter(F.col("event_type") == "signup").select(F.col("user_id").alias("id"), "ts", (F.col("ts") + F.expr("interval 6 hours")).alias("expires"))
+    auctions = windows.with_watermark(opened, HOT_DELAY)
+    joined = joins.bid_auction_join(bids, auctions, [], max_lifetime="6 hours", salts=2)
+    return zone_free(run_live(joined.select("auction", "seq", "price", "expires"), "lifetime")[0])
