@@ -3,7 +3,8 @@
 Documents are dealt into shards by ranges of their id. A shard is a row of blocks, each with
 the ids of consecutive documents. Within a block frequent pairs of neighbouring symbols are
 replaced by new symbols again and again (Re-Pair): every round counts all pairs, takes the
-most frequent ones and replaces those that do not overlap a more frequent one. A block keeps
+most frequent ones and replaces those that do not overlap a more frequent one, until no pair
+occurs often enough. A block keeps
 its rules, how many ids each new symbol stands for, and the remaining sequence; any stretch of
 ids is decoded without the rest of the block.
 
@@ -13,6 +14,7 @@ task that is run again replaces its own rows only.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -28,14 +30,14 @@ from gavelspark.operators.scan import running_before
 
 # Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
-# A round replaces at most so many pairs, each of which occurs at least so often.
-ROUND_PAIRS, LEAST_COUNT, ROUNDS = 2048, 32, 6
+# A round replaces at most so many pairs; rounds end when no pair occurs so often any more.
+ROUND_PAIRS, LEAST_COUNT = 2048, 32
 CACHED_WORDS = 600_000
 # New words that the library gets in one text.
 _WORDS_AT_ONCE = 4096
 _SLOT_BITS = 18
-_MAGIC = b"GRM1"
-_HEAD = struct.Struct("<4sIIIB")
+_MAGIC = b"GRM2"
+_HEAD = struct.Struct("<4sIIIBB")
 
 
 class WordTokenizer:
@@ -46,90 +48,108 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source.decode())
+        suffix = json.loads(source)["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.cache = Generations(CACHED_WORDS)
-        self.marks = dict(zip(("", ".", ","), self._ids(["", ".", ","])))
-        probe = ["a", "don't", "wORds9", "<|x|>", "é,", "", "b"]
+        # what is taken for granted below: words stand alone, capitals and marks at the end may be split off
+        probe = ["a", "don't", "wORds9", "<|x|>", "é,", "", "b", "Word.", "WORD", "word", "x!!", "it's,", "Ünd###", "é", "9."]
         alone = [np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() for word in probe]
-        if self._ids(probe) != alone:
+        if self._by_offset(probe) != alone or self.encode(probe) != alone:
             raise ValueError("the tokenizer does not take words one by one")
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _by_offset(self, words: list[str]) -> list[bytes]:
         """The ids of words, which the library gets in one text; its offsets tell whose each id is."""
         out: list[bytes] = []
-        for at in range(0, len(words), _WORDS_AT_ONCE):
-            part = words[at : at + _WORDS_AT_ONCE]
+        for part in _parts(words):
             found = self.library.encode(" ".join(part), add_special_tokens=False)
             starts = np.fromiter((start for start, _ in found.offsets), dtype=np.int64, count=len(found.ids))
             ends = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
-            cuts = np.r_[0, np.searchsorted(starts, ends)].tolist()
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+            out += _cut(np.array(found.ids, dtype="<u4"), np.searchsorted(starts, ends))
+        return out
+
+    def _by_end(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, each of which has one id that ends a word: its last."""
+        out: list[bytes] = []
+        for part in _parts(words):
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            out += _cut(ids, stops) if len(stops) == len(part) and stops[-1] == len(ids) else self._by_offset(part)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        small = [text.lower() if text.isascii() and "<|" not in text else text for text in texts]
+        split = [text.replace("\n", " ").split(" ") for text in small]
         new = self.cache.missing(set().union(*split))
         if new:
             self._learn(new)
-        known = self.cache.new
-        return [b"".join([known[word] for word in words]) for words in split]
+        ids_of = self.cache.new.__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Spellings that the tokenizer takes alike are given to the library once:
-        capital letters of ASCII, and a mark at the end, which is a token of its own after a letter."""
-        known, plain = self.cache.new, [_plain(word) for word in words]
-        asked = list({base for base, _ in plain} - known.keys())
-        found = dict(zip(asked, self._ids(asked)))
-        for word, (base, mark) in zip(words, plain):
+        capital letters of ASCII, and marks at the end, which are a token run of their own after a letter."""
+        known, plain = self.cache.new, list(map(_plain, words))
+        asked = {part for parts in plain for part in parts} - known.keys()
+        letters = [word for word in asked if word.isalpha() and max(word) < "\u0250"]
+        others = list(asked.difference(letters))
+        found = dict(zip(letters, self._by_end(letters)))
+        found.update(zip(others, self._by_offset(others)))
+        for word, (base, marks) in zip(words, plain):
             ids = found[base] if base in found else known[base]
-            known[word] = ids + self.marks[mark]
+            known[word] = ids + (found[marks] if marks in found else known[marks]) if marks else ids
+
+
+# Marks of ASCII; the apostrophe may begin a token with the letters after it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _plain(word: str) -> tuple[str, str]:
-    """A word in small letters, and the mark at its end."""
-    if not word.isascii() or "<|" in word:
+    """A word, in small letters if it is ASCII, and the marks at its end if they follow a Latin letter."""
+    if "<|" in word:
         return word, ""
-    word = word.lower()
-    return (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
+    if word.isascii():
+        word = word.lower()
+    base = word.rstrip(_MARKS)
+    if len(base) == len(word) or not (base[-1:].lower().isalpha() and base[-1] < "\u0250"):
+        return word, ""
+    return base, word[len(base) :]
+
+
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """Words in lists of which each is one text for the library."""
+    for at in range(0, len(words), _WORDS_AT_ONCE):
+        yield words[at : at + _WORDS_AT_ONCE]
+
+
+def _cut(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """The bytes of ids up to each stop."""
+    raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAIRS, least_count: int = LEAST_COUNT) -> bytes:
-    """Ids as a block: header, rules, expansion lengths, sequence."""
+def compress(ids: np.ndarray, round_pairs: int = ROUND_PAIRS, least_count: int = LEAST_COUNT) -> bytes:
+    """Ids as a block: header, rules, expansion lengths, sequence; symbols take as many bits as the largest needs."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    narrow = base + rounds * round_pairs <= 1 << 16
-    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    sequence = ids.astype(kind)
-    rules, lengths = np.empty((0, 2), dtype=kind), np.empty(0, dtype=np.uint32)
-    for step in range(rounds):
-        if len(sequence) < 2:
+    sequence = ids.astype(np.uint32)
+    rules, lengths = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.uint32)
+    while len(sequence) > 1:
+        # both symbols of a pair in one number: of 32 bits as long as symbols have 16
+        kind, shift = (np.uint32, 16) if base + len(rules) <= 1 << 16 else (np.uint64, 32)
+        pairs = sequence.astype(kind)
+        pairs = (pairs[:-1] << kind(shift)) | pairs[1:]
+        wanted = _frequent(pairs, least_count, round_pairs)
+        if not len(wanted):
             break
-        pairs = (sequence[:-1] << kind(shift)) | sequence[1:]
-        # a slot of the table counts one pair; pairs that share its slot wait for another round
-        slots = _slots(pairs, step)
-        held = np.zeros(1 << _SLOT_BITS, dtype=kind)
-        held[slots] = pairs
-        own = held[slots] == pairs
-        counts = np.bincount(slots[own], minlength=len(held))
-        often = np.flatnonzero(counts >= least_count)
-        if not len(often):
-            break
-        # the most frequent first, smaller pairs first among equals
-        often = often[np.lexsort((held[often], -counts[often]))][:round_pairs]
-        wanted = held[often]
-        place_of = np.full(len(held), len(wanted), dtype=np.int32)
-        place_of[often] = np.arange(len(often), dtype=np.int32)
-        rank = np.where(own, place_of[slots], np.int32(len(wanted)))
-        # a pair is replaced where neither neighbour is a better one; in a run of one pair every other one
-        before, after = np.r_[np.int32(len(wanted)), rank[:-1]], np.r_[rank[1:], np.int32(len(wanted))]
-        at = np.arange(len(rank))
-        within = at - np.maximum.accumulate(np.where(rank != before, at, 0))
-        taken = (rank < len(wanted)) & (rank <= before) & (rank <= after) & (within % 2 == 0)
+        taken, rank = _taken(pairs, wanted)
         used = np.unique(rank[taken])
-        number = np.zeros(len(wanted), dtype=kind)
-        number[used] = np.arange(base + len(rules), base + len(rules) + len(used), dtype=kind)
+        number = np.zeros(len(wanted), dtype=np.uint32)
+        number[used] = np.arange(base + len(rules), base + len(rules) + len(used), dtype=np.uint32)
         found = wanted[used]
-        added = np.stack([found >> kind(shift), found & kind((1 << shift) - 1)], axis=1)
+        added = np.stack([found >> kind(shift), found & kind((1 << shift) - 1)], axis=1).astype(np.uint32)
         rules = np.concatenate([rules, added])
         lengths = np.concatenate([lengths, _spans(added, base, lengths).sum(axis=1).astype(np.uint32)])
         place = np.flatnonzero(taken)
@@ -137,17 +157,65 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_pairs: int = ROUND_PAI
         keep = np.ones(len(sequence), dtype=bool)
         keep[place + 1] = False
         sequence = sequence[keep]
-    stored = "<u2" if narrow else "<u4"
-    head = _HEAD.pack(_MAGIC, base, len(rules), len(sequence), 2 if narrow else 4)
-    return head + rules.astype(stored).tobytes() + lengths.astype("<u4").tobytes() + sequence.astype(stored).tobytes()
+    bits, span_bits = (max(1, int(x).bit_length()) for x in (base + len(rules) - 1 if len(ids) else 0, lengths.max(initial=0)))
+    head = _HEAD.pack(_MAGIC, base, len(rules), len(sequence), bits, span_bits)
+    return head + pack(rules.ravel(), bits) + pack(lengths, span_bits) + pack(sequence, bits)
+
+
+def _frequent(pairs: np.ndarray, least_count: int, most: int) -> np.ndarray:
+    """The pairs that occur often enough, at most ``most``: the most frequent first, smaller ones first among equals."""
+    ordered = np.sort(pairs)
+    # a pair that occurs often enough is found again so many places on
+    again = np.flatnonzero(ordered[least_count - 1 :] == ordered[: max(0, len(ordered) - least_count + 1)])
+    found = np.unique(ordered[again])
+    counts = np.searchsorted(ordered, found, side="right") - np.searchsorted(ordered, found)
+    return found[np.lexsort((found, -counts))[:most]]
 
 
-def _slots(pairs: np.ndarray, step: int) -> np.ndarray:
-    """A slot for every pair; which pairs share one differs from round to round."""
-    factor = 0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * step
+def _taken(pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a wanted pair is replaced, and the rank of the pair at every place (their number, if it is not wanted).
+
+    A pair is replaced where neither neighbour is a better one; in a run of one pair every other one.
+    """
+    none = np.int32(len(wanted))
+    marked = np.zeros(1 << _SLOT_BITS, dtype=bool)
+    marked[_slots(wanted)] = True
+    maybe = np.flatnonzero(marked[_slots(pairs)])
+    order = np.argsort(wanted)
+    spot = np.minimum(np.searchsorted(wanted[order], pairs[maybe]), len(wanted) - 1)
+    hit = wanted[order][spot] == pairs[maybe]
+    rank = np.full(len(pairs), none, dtype=np.int32)
+    rank[maybe[hit]] = order[spot[hit]]
+    before, after = np.r_[none, rank[:-1]], np.r_[rank[1:], none]
+    best = np.flatnonzero((rank < none) & (rank <= before) & (rank <= after))
+    # runs of one pair, told by places in a row with one rank
+    first = np.r_[True, (np.diff(best) != 1) | (np.diff(rank[best]) != 0)]
+    within = np.arange(len(best)) - np.maximum.accumulate(np.where(first, np.arange(len(best)), 0))
+    taken = np.zeros(len(pairs), dtype=bool)
+    taken[best[within % 2 == 0]] = True
+    return taken, rank
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    """A slot for every pair."""
     if pairs.dtype == np.uint32:
-        return (pairs * np.uint32(factor & 0xFFFFFFFF) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
-    return (pairs * np.uint64(factor & 0xFFFFFFFFFFFFFFFF) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        return pairs * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS)
+    return pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)
+
+
+def pack(numbers: np.ndarray, bits: int) -> bytes:
+    """Numbers of ``bits`` bits each, in a row, the highest bit first."""
+    wide = np.unpackbits(numbers.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(wide[:, 32 - bits :]).tobytes()
+
+
+def unpack(raw: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, int]:
+    """``count`` packed numbers from byte ``at`` on, and where they end."""
+    stop = at + (count * bits + 7) // 8
+    flat = np.unpackbits(np.frombuffer(raw, np.uint8, stop - at, at), count=count * bits).reshape(count, bits)
+    wide = np.zeros((count, 32), dtype=np.uint8)
+    wide[:, 32 - bits :] = flat
+    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.int64), stop
 
 
 def _spans(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
@@ -162,14 +230,13 @@ class Block:
     """A compressed block, opened for reading."""
 
     def __init__(self, raw: bytes) -> None:
-        magic, self.base, rules, symbols, size = _HEAD.unpack_from(raw)
+        magic, self.base, rules, symbols, bits, span_bits = _HEAD.unpack_from(raw)
         if magic != _MAGIC:
             raise ValueError("not a block of ids")
-        kind, at = f"<u{size}", _HEAD.size
-        self.rules = np.frombuffer(raw, kind, 2 * rules, at).reshape(-1, 2).astype(np.int64)
-        at += 2 * rules * size
-        self.lengths = np.frombuffer(raw, "<u4", rules, at).astype(np.int64)
-        self.sequence = np.frombuffer(raw, kind, symbols, at + 4 * rules).astype(np.int64)
+        pairs, at = unpack(raw, _HEAD.size, 2 * rules, bits)
+        self.rules = pairs.reshape(-1, 2)
+        self.lengths, at = unpack(raw, at, rules, span_bits)
+        self.sequence, _ = unpack(raw, at, symbols, bits)
         self.ends = np.cumsum(_spans(self.sequence, self.base, self.lengths))
         self._expanded: tuple[np.ndarray, np.ndarray] | None = None
 

@@ -70,8 +70,11 @@ def test_encode_and_decode_rows(spark, model, library):
 def test_words_equal_the_library(source):
     words, library = grammar.WordTokenizer(source), Tokenizer.from_str(source.decode())
     texts = ["a\tb  c\r\nd", "don't I'll", "é é ́x", "<|endoftext|> x<|startoftext|>y", "İΣ Σ", "中文 字", "", " ", "🙂‍🙂 ﬁ"]
+    texts += ["Word. WORD, word!! wORD", "it's, x' x'. 's. don't...", "H\u0331. h\u0331 \u0130. Stra\u00dfe### \u00dcber,", "<|ENDOFTEXT|>. <|endoftext|>.", "a1. 9, _x_ x_. a\t. b\u00a0c."]
+    rng, pieces_of = random.Random(3), ["a", "Be", "'s", "'", ".", ",", "!?", " ", "\n", "\t", "9", "\u00e9", "E\u0301", "<|", "|>", "\u4e2d", "_", "\u0301", "K\u212a"]
+    texts += ["".join(rng.choices(pieces_of, k=rng.randrange(1, 40))) for _ in range(500)]
     for text, found in zip(texts, words.encode(texts)):
-        assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("ids", [
@@ -93,6 +96,28 @@ def test_pairs_are_replaced():
     assert len(block.rules) >= 3 and len(block.sequence) < 500 and block.lengths.max() >= 4
 
 
+def test_all_pairs_are_counted():
+    rng = np.random.default_rng(4)
+    ids = rng.zipf(1.3, 60_000).clip(max=70_000).astype("<u4")
+    pairs = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
+    counts = Counter(pairs.tolist())
+    wanted = sorted((p for p, n in counts.items() if n >= 5), key=lambda p: (-counts[p], p))
+    assert grammar._frequent(pairs, 5, 1 << 20).tolist() == wanted
+    assert grammar._frequent(pairs, 5, 10).tolist() == wanted[:10]
+    # rounds go on until no pair is left that occurs so often, past 65,536 symbols too
+    block = grammar.Block(grammar.compress(ids, round_pairs=50, least_count=5))
+    left = Counter(zip(block.sequence[:-1].tolist(), block.sequence[1:].tolist()))
+    assert max(left.values()) < 5 and block.read().tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
+def test_packed_numbers(bits):
+    numbers = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
+    raw = b"x" + grammar.pack(numbers, bits)
+    found, stop = grammar.unpack(raw, 1, len(numbers), bits)
+    assert found.tolist() == numbers.tolist() and stop == len(raw)
+
+
 @pytest.mark.parametrize("block_ids", [1 << 20, 300])
 def test_files(spark, folder, source, block_ids):
     docs, library = awkward(spark), Tokenizer.from_str(source.decode())
