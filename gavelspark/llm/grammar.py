@@ -92,13 +92,16 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Spellings that the tokenizer takes alike are given to the library once:
         capital letters of ASCII, and marks at the end, which are a token run of their own after a letter."""
-        known, plain = self.cache.new, list(map(_plain, words))
-        asked = {part for parts in plain for part in parts} - known.keys()
-        letters = [word for word in asked if word.isalpha() and max(word) < "\u0250"]
+        known = self.cache.new
+        small = [word for word in words if word.islower() and word.isalpha()]
+        known.update(zip(small, self._by_end(small)))
+        spelt = {word: _plain(word) for word in set(words).difference(small)}
+        asked = {part for parts in spelt.values() for part in parts} - known.keys()
+        letters = [word for word in asked if word.isalpha()]
         others = list(asked.difference(letters))
         found = dict(zip(letters, self._by_end(letters)))
         found.update(zip(others, self._by_offset(others)))
-        for word, (base, marks) in zip(words, plain):
+        for word, (base, marks) in spelt.items():
             ids = found[base] if base in found else known[base]
             known[word] = ids + (found[marks] if marks in found else known[marks]) if marks else ids
 
@@ -144,16 +147,15 @@ def compress(ids: np.ndarray, round_pairs: int = ROUND_PAIRS, least_count: int =
         wanted = _frequent(pairs, least_count, round_pairs)
         if not len(wanted):
             break
-        taken, rank = _taken(pairs, wanted)
-        used = np.unique(rank[taken])
+        place, rank = _taken(pairs, wanted)
+        used = np.flatnonzero(np.bincount(rank, minlength=len(wanted)))
         number = np.zeros(len(wanted), dtype=np.uint32)
         number[used] = np.arange(base + len(rules), base + len(rules) + len(used), dtype=np.uint32)
         found = wanted[used]
         added = np.stack([found >> kind(shift), found & kind((1 << shift) - 1)], axis=1).astype(np.uint32)
         rules = np.concatenate([rules, added])
         lengths = np.concatenate([lengths, _spans(added, base, lengths).sum(axis=1).astype(np.uint32)])
-        place = np.flatnonzero(taken)
-        sequence[place] = number[rank[place]]
+        sequence[place] = number[rank]
         keep = np.ones(len(sequence), dtype=bool)
         keep[place + 1] = False
         sequence = sequence[keep]
@@ -166,34 +168,36 @@ def _frequent(pairs: np.ndarray, least_count: int, most: int) -> np.ndarray:
     """The pairs that occur often enough, at most ``most``: the most frequent first, smaller ones first among equals."""
     ordered = np.sort(pairs)
     # a pair that occurs often enough is found again so many places on
-    again = np.flatnonzero(ordered[least_count - 1 :] == ordered[: max(0, len(ordered) - least_count + 1)])
-    found = np.unique(ordered[again])
+    again = ordered[least_count - 1 :]
+    again = again[again == ordered[: len(again)]]
+    found = again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again
     counts = np.searchsorted(ordered, found, side="right") - np.searchsorted(ordered, found)
     return found[np.lexsort((found, -counts))[:most]]
 
 
 def _taken(pairs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a wanted pair is replaced, and the rank of the pair at every place (their number, if it is not wanted).
+    """The places at which a wanted pair is replaced, and the ranks of these pairs.
 
     A pair is replaced where neither neighbour is a better one; in a run of one pair every other one.
     """
-    none = np.int32(len(wanted))
     marked = np.zeros(1 << _SLOT_BITS, dtype=bool)
     marked[_slots(wanted)] = True
-    maybe = np.flatnonzero(marked[_slots(pairs)])
+    place = np.flatnonzero(marked[_slots(pairs)])
     order = np.argsort(wanted)
-    spot = np.minimum(np.searchsorted(wanted[order], pairs[maybe]), len(wanted) - 1)
-    hit = wanted[order][spot] == pairs[maybe]
-    rank = np.full(len(pairs), none, dtype=np.int32)
-    rank[maybe[hit]] = order[spot[hit]]
-    before, after = np.r_[none, rank[:-1]], np.r_[rank[1:], none]
-    best = np.flatnonzero((rank < none) & (rank <= before) & (rank <= after))
-    # runs of one pair, told by places in a row with one rank
-    first = np.r_[True, (np.diff(best) != 1) | (np.diff(rank[best]) != 0)]
-    within = np.arange(len(best)) - np.maximum.accumulate(np.where(first, np.arange(len(best)), 0))
-    taken = np.zeros(len(pairs), dtype=bool)
-    taken[best[within % 2 == 0]] = True
-    return taken, rank
+    ordered, held = wanted[order], pairs[place]
+    spot = np.minimum(np.searchsorted(ordered, held), len(wanted) - 1)
+    hit = ordered[spot] == held
+    place, rank = place[hit], order[spot[hit]]
+    # of two places in a row the one of the worse rank goes
+    close = place[1:] == place[:-1] + 1
+    best = np.ones(len(place), dtype=bool)
+    best[1:] &= ~(close & (rank[:-1] < rank[1:]))
+    best[:-1] &= ~(close & (rank[1:] < rank[:-1]))
+    place, rank = place[best], rank[best]
+    first = np.r_[True, (place[1:] != place[:-1] + 1) | (rank[1:] != rank[:-1])]
+    at = np.arange(len(place))
+    fine = (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
+    return place[fine], rank[fine]
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
