@@ -84,7 +84,7 @@ def plain_top(rows, is_query, k=10):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_queries": 2}, {"shard_rows": 7}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 50}, {"shard_rows": 7}])
 def test_top_k_equals_brute_force(spark, options):
     rng = random.Random(4)
     rows = [(i, [float(np.float32(rng.gauss(0, 0.2))) for _ in range(8)]) for i in range(130)]
@@ -114,6 +114,23 @@ def test_pruning_leaves_the_result(spark):
         assert names.tolist() == order.tolist() and scores.tolist() == full[order].tolist()
 
 
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.3])
+def test_sparse_postings_leave_the_result(share):
+    rng = np.random.default_rng(1)
+    matrix = np.floor(rng.normal(0, 200, (3000, 256))) * (rng.random((3000, 256)) < share)
+    matrix[5], matrix[7] = 0, matrix[100]
+    shard = maxscore.Shard(np.arange(3000), matrix)
+    queries = [*range(0, 3000, 100), 5]
+    for q in queries:
+        names, scores = shard.best(q, matrix[q], 10)
+        full = matrix @ matrix[q]
+        full[q] = -np.inf
+        order = np.lexsort((np.arange(3000), -full))[:10]
+        assert names.tolist() == order.tolist() and scores.tolist() == full[order].tolist()
+    # few vectors are in a posting of an essential term
+    assert share > 0.05 or shard.begun < 0.3 * 3000 * len(queries)
+
+
 # near duplicates
 
 def plain_classes(rows, words=5, percent=75):
