@@ -11,8 +11,13 @@ document with fewer than t + 1 signatures in common with others has no link, and
 forget its t most common ones: the rarest of the t + 1 is then still there on both sides.
 
 Sharing signatures is necessary, not sufficient: documents that share any, directly or through
-others, form a candidate class. Sets are compared within classes, in pairs of blocks of bounded
-size, and all links of a class are found; what leaves a task is a spanning forest of them.
+others, form a candidate class. A class of bounded size is compared in one task. A larger one is
+dealt into blocks, and its links are found in three steps, each of which spares the next one work:
+within blocks; between neighbours of a signature that are not connected yet, which joins the parts
+of a group of near copies; then between blocks, but of each block only the documents that still
+share a signature with one they are not connected to. So comparisons grow with the shared
+signatures that chance leaves, not with the square of a class. What leaves a task is a spanning
+forest of its links.
 
 Equal sets are represented by one of their documents. A signature of very many documents
 passes a task as a sorted stream. Sets are compared as 64-bit hashes of shingles.
@@ -24,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.llm.components import components
 from gavelspark.llm.rows import id_and_text, let_go, slices, small_or_not
-from gavelspark.operators.scan import running_before
 from gavelspark.session import shared_folder
 
 WORDS = 5
@@ -238,17 +242,18 @@ def _shared(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "sig long, extra long, doc long, first long")
 
 
-def _chained(shared: DataFrame) -> DataFrame:
-    """Each document with the one before it among those of a signature: all of these are connected then."""
-    ordered = shared.select("sig", "doc").repartition("sig").sortWithinPartitions("sig", "doc")
+def _chained(shared: DataFrame, label: str = "doc") -> DataFrame:
+    """Each document with the one before it among those of a signature, in the order of ``label``, where that differs: all labels are connected then."""
+    columns = list(dict.fromkeys(["sig", label, "doc"]))
+    ordered = shared.select(*columns).repartition("sig").sortWithinPartitions(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        last = [np.empty(0, dtype=np.int64)] * 3
         for batch in batches:
-            sig, doc = (np.r_[x, batch.column(name).to_numpy()] for x, name in zip(last, ("sig", "doc")))
-            pair = (sig[1:] == sig[:-1]) & (doc[1:] != doc[:-1])
+            sig, mark, doc = (np.r_[x, batch.column(name).to_numpy()] for x, name in zip(last, ("sig", label, "doc")))
+            pair = (sig[1:] == sig[:-1]) & (mark[1:] != mark[:-1])
             both = np.unique(np.c_[doc[:-1][pair], doc[1:][pair]], axis=0)
-            last = sig[-1:], doc[-1:]
+            last = [sig[-1:], mark[-1:], doc[-1:]]
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -298,20 +303,19 @@ def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     return out
 
 
-def _verified(rows: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents of one class; ``members`` has ``doc``, ``component``, ``block``, ``blocks``."""
-    texts = rows.join(small_or_not(members), "doc").select("doc", "component", "block", "blocks", "text")
+def _verified(rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents that meet. ``places`` is stored and has ``doc``, ``component``, ``block``
+    and ``meets``: the pairs (``low``, ``high``) of blocks of the component to which the document is sent."""
+    texts = rows.join(small_or_not(places), "doc").select("doc", "component", "block", "meets", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             raws = [(text or "").encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()]
             sets = [found.tobytes() for found in shingle_sets(raws, words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["doc", "component", "block", "blocks", "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["doc", "component", "block", "meets", "found"])
 
-    sets = texts.mapInArrow(shingled, "doc long, component long, block long, blocks long, found binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("doc", "component", "block", "found", other)
-    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    sets = texts.mapInArrow(shingled, "doc long, component long, block long, meets array<struct<low: long, high: long>>, found binary")
+    met = sets.select("doc", "component", "block", "found", F.explode("meets").alias("meet"))
 
     def compare(table: pa.Table) -> pa.Table:
         docs = table.column("doc").to_numpy()
@@ -321,7 +325,39 @@ def _verified(rows: DataFrame, members: DataFrame, words: int, percent: int) ->
         ends = docs[order][np.array(links, dtype=np.int64).reshape(-1, 2)]
         return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
-    return pairs.select("doc", "component", "block", "found", low, high).groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+    pairs = met.select("doc", "component", "block", "found", F.col("meet.low").alias("low"), F.col("meet.high").alias("high"))
+    return pairs.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def _meet(low: str, high: str) -> Column:
+    return F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+
+
+def _unconnected(common: DataFrame, members: DataFrame, connected: DataFrame) -> DataFrame:
+    """The rows of signatures that documents of several labels share; the label of a document is the smallest one it is connected with."""
+    labels = connected.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    marked = members.select("doc", "component", "block").join(labels, "doc", "left")
+    rows = common.join(marked.withColumn("label", F.coalesce("label", "doc")), "doc")
+    open_ = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    return rows.join(open_.select("sig"), "sig").select("sig", "doc", "component", "block", "label")
+
+
+def _across(rows: DataFrame, common: DataFrame, members: DataFrame, links: DataFrame, folder: str, words: int, percent: int) -> DataFrame:
+    """Connections within the large classes, of which ``members`` are dealt into blocks and ``links`` those within blocks."""
+    read = rows.sparkSession.read
+    neighbours = _chained(_unconnected(common, members, components(links)), "label")
+    ends = [neighbours.select(F.col(end).alias("doc"), F.col(end).alias("block"), _meet("a", "b").alias("meet")) for end in ("a", "b")]
+    met = ends[0].union(ends[1]).groupBy("doc", "block").agg(F.collect_set("meet").alias("meets"))
+    met.select("doc", F.lit(0).cast("long").alias("component"), "block", "meets").write.parquet(f"{folder}/neighbours")
+    _verified(rows, read.parquet(f"{folder}/neighbours"), words, percent).write.parquet(f"{folder}/neighbour_links")
+    connected = components(links.union(read.parquet(f"{folder}/neighbour_links")))
+
+    left = _unconnected(common, members, connected)
+    others = left.groupBy("sig", F.col("block").alias("other")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    sent = left.join(others, "sig").filter("other <> block and (least <> label or most <> label)")
+    met = sent.groupBy("doc", "component", "block").agg(F.collect_set(_meet("block", "other")).alias("meets"))
+    met.write.parquet(f"{folder}/across")
+    return connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(rows, read.parquet(f"{folder}/across"), words, percent))
 
 
 def classes(
@@ -330,12 +366,14 @@ def classes(
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links reach) of every document.
 
     Null and empty texts, and those of white space, have no shingle and no link. Rows without an
-    id are left out. Rows that repeat an id return a row each, and count as one node with the
-    links of all of them. Other columns are ignored.
+    id return a row each, with the size of their set and neither a link nor a component. Rows that
+    repeat an id return a row each, and count as one node with the links of all of them. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "partenum")
-    rows = id_and_text(docs, id_column, text_column).select(F.col("doc_id").alias("doc"), "text").filter("doc is not null")
+    every = id_and_text(docs, id_column, text_column).select(F.col("doc_id").alias("doc"), "text")
+    rows, nameless = every.filter("doc is not null"), every.filter("doc is null")
     _shared(_signed(rows, words, percent)).write.parquet(f"{folder}/shared")
     shared = spark.read.parquet(f"{folder}/shared")
     whole = shared.filter("extra <> 0").select("doc", F.col("first").alias("rep"), F.expr("extra & 4294967295").alias("n"))
@@ -356,23 +394,45 @@ def classes(
     common = shared.filter("extra = 0").select("sig", "doc").distinct().join(small_or_not(enough), "doc")
     sizes = common.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), "sig"))
-    common = common.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare")
+    common = common.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare").select("sig", "doc")
+    common.write.parquet(f"{folder}/common")
+    common = spark.read.parquet(f"{folder}/common")
     candidates = components(_chained(common))
     let_go(spark)
 
     roots = candidates.select(F.col("component").alias("doc"), "component").distinct()
     placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(enough.select("doc", "n"), "doc")
-    before = running_before(placed, ["component"], [("doc", 1 << 20)], {"before": ("sum", "n")})
-    blocked = before.withColumn("block", F.floor(F.coalesce("before", F.lit(0)) / block_shingles))
-    blocks = blocked.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
-    blocked.join(blocks, "component").select("doc", "component", "block", "blocks").write.parquet(f"{folder}/members")
+    blocks = F.ceil(F.col("total") / block_shingles)
+    large = placed.groupBy("component").agg(F.sum("n").alias("total")).filter(F.col("total") > block_shingles)
+    large.select("component", blocks.alias("blocks")).write.parquet(f"{folder}/large")
+    large = spark.read.parquet(f"{folder}/large")
+    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("blocks"))).cast("long")
+    members = placed.join(small_or_not(large), "component", "left").select("doc", "component", block.alias("block"), F.col("blocks").isNotNull().alias("dealt"))
+    members.withColumn("meets", F.array(_meet("block", "block"))).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
 
     links = _verified(rows, members, words, percent)
+    if not large.isEmpty():
+        links.write.parquet(f"{folder}/links")
+        dealt = members.filter("dealt")
+        links = _across(rows, common, dealt, spark.read.parquet(f"{folder}/links"), folder, words, percent)
     # an id with several different sets ties them together
     several = whole.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("doc", "low")
     tied = whole.join(several, "doc").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     found = components(links.union(tied))
-    return whole.join(found, whole["rep"] == found["node"], "left").select(
+    named = whole.join(found, whole["rep"] == found["node"], "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
+    return named.union(_sizes(nameless, words))
+
+
+def _sizes(nameless: DataFrame, words: int) -> DataFrame:
+    """The rows without an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            raws = [(text or "").encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, shingle_sets(raws, words)), pa.int64())], names=["n"])
+
+    nothing = F.lit(None).cast("long")
+    return nameless.select("text").mapInArrow(run, "n long").select(nothing.alias("doc_id"), F.col("n").alias("n_shingles"), nothing.alias("component_id"))
