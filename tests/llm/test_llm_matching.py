@@ -311,6 +311,41 @@ def test_repeated_passages_go(spark):
         assert any(gone[j : j + 60] in passage for j in range(0, len(gone) - 60, 10))
 
 
+def plain_spans(rows, least_run):
+    """The removed spans of each document, chunk by chunk in the order of the ids."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        spans, at, goes_on = [], 0, False
+        for stop in plain_borders(raw, chunks.REACH, chunks.LONGEST):
+            piece = raw[at:stop]
+            if piece in seen and goes_on:
+                spans[-1][1] = stop
+            elif piece in seen:
+                spans.append([at, stop])
+            goes_on = piece in seen
+            seen.add(piece)
+            at = stop
+        out[i] = [(a, b) for a, b in spans if b - a >= least_run]
+    return out
+
+
+@pytest.mark.parametrize("least_run", [1, 96])
+def test_removed_spans_equal_brute_force(spark, least_run):
+    rng = random.Random(21)
+    passages = prose(6, 22, 30, 90)
+    texts = []
+    for text in prose(60, 23, 20, 80):
+        words = text.split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(passages))
+        texts.append(" ".join(words))
+    texts += [None, "", texts[3], "word " * 300, "é中" * 400, texts[5] + texts[5]]
+    got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in chunks.dedup(documents(spark, texts), least_run=least_run).collect()}
+    assert got == plain_spans(list(enumerate(texts)), least_run)
+    assert sum(map(bool, got.values())) > 20
+
+
 def test_chunks_of_awkward_documents(spark):
     rows = chunks.dedup(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 4

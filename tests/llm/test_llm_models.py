@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from corpus_cases import SCHEMA, TEXTS, awkward, empty, row
@@ -40,6 +41,39 @@ def test_shares_are_the_likeliest():
     assert abs(langid.shares(likelihood)[0] - best) < 0.02
 
 
+def plain_likelihood(likelihood, chosen):
+    """The log-likelihood of the best mixture of some languages, by many plain steps."""
+    part = likelihood[:, chosen]
+    share = np.full(len(chosen), 1 / len(chosen))
+    for _ in range(400):
+        held = part * share
+        share = (held / held.sum(axis=1, keepdims=True)).mean(axis=0)
+    return float(np.log(part @ share).sum()), share
+
+
+def test_language_sets_have_the_highest_penalised_likelihood():
+    """Forward selection against all sets of up to three of five languages."""
+    rng = np.random.default_rng(12)
+    table = rng.dirichlet(np.full(600, 0.3), size=5).T.astype(np.float32) + np.float32(1e-5)
+    table /= table.sum(axis=0)
+    seen = Counter()
+    for shares in [(1, 0, 0, 0, 0), (0, 0.5, 0.5, 0, 0), (0.7, 0, 0, 0.3, 0), (0, 0.2, 0, 0.3, 0.5), (0, 0, 1, 0, 0), (0.4, 0.3, 0.3, 0, 0)]:
+        for n in (60, 400, 1500):
+            mixed = table.astype(np.float64) @ np.array(shares)
+            found = rng.choice(600, size=n, p=mixed / mixed.sum())
+            likelihood = table[found].astype(np.float64)
+            tried = {c: plain_likelihood(likelihood, list(c)) for k in (1, 2, 3) for c in combinations(range(5), k)}
+            points = {c: gained - langid.PENALTY * np.log(n) * (len(c) - 1) for c, (gained, _) in tried.items()}
+            best = max(points, key=points.get)
+            got = langid.mixture(table, found)
+            chosen = tuple(np.flatnonzero(got).tolist())
+            # a set that is all but as good may come first
+            assert points[best] - points[chosen] < 1.0, (shares, n, best, chosen)
+            assert np.abs(got[list(chosen)] - tried[chosen][1]).max() < 0.05
+            seen[len(chosen)] += 1
+    assert seen[1] and seen[2] and seen[3]
+
+
 def test_awkward_texts_have_a_language_or_none(spark):
     model = langid.learn(read_table(spark, DATA, "documents"))
     rows = langid.predict(awkward(spark), model).collect()
@@ -71,6 +105,32 @@ def test_answers_in_parts_equal_answers_at_once():
     assert np.allclose(best, chunk.max(axis=0) + network.bias, atol=1e-5) and (where < len(chunk)).all()
 
 
+def plain_score(network, text):
+    """The convolution as it is defined: every filter at every chunk of two halves, byte by byte."""
+    raw = list(text.encode("utf-8"))
+    n = max(2, -(-len(raw) // bytecnn.HALF))
+    raw += [256] * (n * bytecnn.HALF - len(raw))
+    width = bytecnn.HALF * bytecnn.WIDTH
+    pooled = []
+    for f in range(bytecnn.FILTERS):
+        kernel = np.concatenate([network.filters[:width, f], network.filters[:width, bytecnn.FILTERS + f]]).reshape(2 * bytecnn.HALF, bytecnn.WIDTH)
+        said = []
+        for begin in range(0, (n - 1) * bytecnn.HALF, bytecnn.HALF):
+            said.append(sum(float(network.embed[raw[begin + i]] @ kernel[i]) for i in range(2 * bytecnn.HALF)))
+        pooled.append(max(0.0, max(said) + float(network.bias[f])))
+    return 1 / (1 + np.exp(-(np.dot(pooled, network.weight) + network.offset)))
+
+
+def test_scores_equal_a_plain_convolution(monkeypatch):
+    network = bytecnn.fit(["some words, then others. " * 9, "SHOUT!! LOUD!! " * 9] * 6, [1, 0] * 6, epochs=3)
+    rng = random.Random(4)
+    texts = ["", "a", "x" * 7, "x" * 8, "é" * 8, "y" * 17, *("".join(rng.choice("abc XYZ!é中\n") for _ in range(n)) for n in (15, 16, 33, 250))]
+    for part in (bytecnn._PART, 3):
+        monkeypatch.setattr(bytecnn, "_PART", part)
+        for text in texts:
+            assert abs(bytecnn.score(network, text) - plain_score(network, text)) < 1e-4
+
+
 def test_gradients_lower_the_loss():
     texts = ["some words, then others. " * 10 + str(i) for i in range(30)] + ["SHOUT!! LOUD!! " * 10 + str(i) for i in range(30)]
     network = bytecnn.fit(texts, [1] * 30 + [0] * 30)
