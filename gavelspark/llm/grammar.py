@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -48,14 +49,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source.decode())
-        suffix = json.loads(source)["model"].get("end_of_word_suffix")
+        described = json.loads(source)
+        suffix = described["model"].get("end_of_word_suffix")
+        # the same model for words of small Latin letters, at which its rules of normalisation and splitting change nothing
+        bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(described | {"normalizer": None, "pre_tokenizer": bare, "post_processor": None, "added_tokens": []}))
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         if suffix:
             self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
         self.cache = Generations(CACHED_WORDS)
         # what is taken for granted below: words stand alone, capitals and marks at the end may be split off
-        probe = ["a", "don't", "wORds9", "<|x|>", "é,", "", "b", "Word.", "WORD", "word", "x!!", "it's,", "Ünd###", "é", "9."]
+        probe = ["a", "don't", "wORds9", "<|x|>", "é,", "", "b", "Word.", "WORD", "word", "x!!", "it's,", "Ünd###", "é", "9.", "ÉÇÑß", "Ÿș", "œuvreŉ", "abc"]
         alone = [np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes() for word in probe]
         if self._by_offset(probe) != alone or self.encode(probe) != alone:
             raise ValueError("the tokenizer does not take words one by one")
@@ -74,7 +79,9 @@ class WordTokenizer:
         """The ids of words of letters alone, each of which has one id that ends a word: its last."""
         out: list[bytes] = []
         for part in _parts(words):
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            joined = " ".join(part)
+            library = self.bare if joined.islower() and not _BEYOND_LATIN.search(joined) else self.library
+            ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             out += _cut(ids, stops) if len(stops) == len(part) and stops[-1] == len(ids) else self._by_offset(part)
         return out
@@ -91,7 +98,7 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Spellings that the tokenizer takes alike are given to the library once:
-        capital letters of ASCII, and marks at the end, which are a token run of their own after a letter."""
+        capital Latin letters, and marks at the end, which are a token run of their own after a letter."""
         known = self.cache.new
         small = [word for word in words if word.islower() and word.isalpha()]
         known.update(zip(small, self._by_end(small)))
@@ -106,15 +113,18 @@ class WordTokenizer:
             known[word] = ids + (found[marks] if marks in found else known[marks]) if marks else ids
 
 
+# Below it, small letters are the same in every normal form that composes, and in small letters.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # Marks of ASCII; the apostrophe may begin a token with the letters after it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _plain(word: str) -> tuple[str, str]:
-    """A word, in small letters if it is ASCII, and the marks at its end if they follow a Latin letter."""
+    """A word, in small letters if it is Latin, and the marks at its end if they follow a Latin letter."""
     if "<|" in word:
         return word, ""
-    if word.isascii():
+    # the dotted capital I turns into two characters
+    if word.isascii() or not _BEYOND_LATIN.search(word) and "\u0130" not in word:
         word = word.lower()
     base = word.rstrip(_MARKS)
     if len(base) == len(word) or not (base[-1:].lower().isalpha() and base[-1] < "\u0250"):
