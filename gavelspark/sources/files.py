@@ -21,16 +21,29 @@ def dump_messages(messages: DataFrame, folder: str) -> None:
     messages.select(F.col("value").cast("string").alias("value")).write.mode("append").text(folder)
 
 
-def read_log_lines(spark: SparkSession, folder: str, pattern: str = "*.log") -> DataFrame:
+def dump_log_lines(lines: DataFrame, folder: str) -> None:
+    """Logs (file, line, value) packed into a few files, each log in one of them, its lines in order.
+
+    A line begins with the name of its log and a tab. A file for each log would cost the driver most of the time.
+    """
+    dealt = lines.repartition("file").sortWithinPartitions("file", "line")
+    empty = F.lit("")
+    dump_messages(dealt.select(F.concat(F.coalesce("file", empty), F.lit("\t"), F.coalesce("value", empty)).alias("value")), folder)
+
+
+def read_log_lines(spark: SparkSession, folder: str, pattern: str = "*.log", named: bool = False) -> DataFrame:
     """The lines (file, line, value) of the logs of a folder; ``line`` grows within a file.
 
-    Logs are files, or folders ``file=...`` of one file. Lines are ordered by the file's block
-    that they were read in, then by their place in it.
+    Logs are files, or folders ``file=...`` of one file; ``named`` ones are packed (``dump_log_lines``), without
+    a name null. Lines are ordered by the file's block that they were read in, then by their place in it.
     """
     lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    name = F.col("file") if "file" in lines.columns else F.col("_metadata.file_name")
+    name, value = F.col("file") if "file" in lines.columns else F.col("_metadata.file_name"), F.col("value")
+    if named:
+        tab = F.instr("value", "\t")
+        name, value = F.nullif(F.substr(F.col("value"), F.lit(1), tab - 1), F.lit("")), F.substr(F.col("value"), tab + 1)
     place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
-    return lines.select(name.alias("file"), (F.col("_metadata.file_block_start") * (1 << 10) + place).alias("line"), "value")
+    return lines.select(name.alias("file"), (F.col("_metadata.file_block_start") * (1 << 10) + place).alias("line"), value.alias("value"))
 
 
 def parse_int_lines(lines: DataFrame, value: str = "value") -> DataFrame:
