@@ -18,7 +18,7 @@ from gavelspark.plans.joins import PENDING_SQL, VERSIONS_SQL, latest_sql, new_se
 from gavelspark.plans.registry import query
 from gavelspark.sources import tables
 from gavelspark.streaming import carried, stateful
-from gavelspark.streaming.run import run_available, run_partials
+from gavelspark.streaming.run import run_available, run_joined, run_partials
 
 DELAY = "20 seconds"
 SALTS = 4  # parts of a join key: streams have no skew join
@@ -72,7 +72,7 @@ def stream_q3_local_items(spark, sf_dir):
     nation = tables.read_table(spark, sf_dir, "nation")
     persons = tables.persons_from(_stream(spark, sf_dir, "customer"), nation)
     auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    return _results(joins.local_items(auctions, persons, salts=SALTS), "q3")
+    return _zone_free(run_joined(auctions, persons, lambda a, p: joins.local_items(a, p, salts=SALTS), "q3"))
 
 
 @query("stream_bid_auction_join", """
@@ -81,8 +81,8 @@ def stream_q3_local_items(spark, sf_dir):
 def stream_bid_auction_join(spark, sf_dir):
     bids = tables.bids_from(_stream(spark, sf_dir, "lineitem"))
     auctions = tables.auctions_from(_stream(spark, sf_dir, "orders"))
-    joined = joins.bid_auction_join(bids, auctions, salts=SALTS).select("auction", "price", "expires", "category")
-    return _results(joined, "bid-auction")
+    joined = lambda b, a: joins.bid_auction_join(b, a, salts=SALTS).select("auction", "price", "expires", "category")
+    return _zone_free(run_joined(bids, auctions, joined, "bid-auction"))
 
 
 _PANE = "1 minute"

@@ -140,6 +140,41 @@ def run_carried(
     return _parts(spark, schema, f"{folder}/out")
 
 
+# Two frames give their join.
+Join = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def run_joined(left: DataFrame, right: DataFrame, join: Join, label: str, folder: str | None = None) -> DataFrame:
+    """Inner join of two streams whose histories have to stay: new rows of either side meet all rows of the other so far.
+
+    The histories are files, a part for each micro-batch, written once. A store of keyed state would write every row
+    to several tables and look it up by itself. A batch that is run again overwrites its own parts.
+    """
+    spark = left.sparkSession
+    folder = folder or shared_folder(spark, label)
+    sides = {"left": left, "right": right}
+    none = {name: F.lit(None).cast(T.StructType(side.schema.fields)).alias(name) for name, side in sides.items()}
+    row = {name: F.struct(*side.columns).alias(name) for name, side in sides.items()}
+    both = left.select(row["left"], none["right"]).unionByName(right.select(none["left"], row["right"]))
+    schema = join(*[spark.createDataFrame([], side.schema) for side in sides.values()]).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        read = batch.sparkSession.read
+        new, old = {}, {}
+        for name, side in sides.items():
+            parts = [f"{folder}/{name}/{i}" for i in range(batch_id + 1)]
+            batch.filter(F.col(name).isNotNull()).select(f"{name}.*").write.mode("overwrite").parquet(parts[-1])
+            new[name] = read.schema(side.schema).parquet(parts[-1])
+            old[name] = read.schema(side.schema).parquet(*parts[:-1]) if batch_id else None
+        results = join(new["left"], new["right"])
+        if batch_id:
+            results = results.unionByName(join(new["left"], old["right"])).unionByName(join(old["left"], new["right"]))
+        results.write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+
+    _run_batches(both, write, folder)
+    return _parts(spark, schema, f"{folder}/out")
+
+
 def _run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> None:
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()

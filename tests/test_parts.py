@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import glob
 
-from fixtures import tuples
+from fixtures import BASE, MIN, tuples
+from test_joins import offer_frames
+from test_live import in_batches
 
-from gavelspark.operators import telemetry
+from gavelspark.operators import joins, telemetry
 from gavelspark.sources import files
+from gavelspark.streaming import run
 
 
 def test_logs_are_packed_in_few_files(spark, folder):
@@ -22,3 +25,17 @@ def test_logs_are_packed_in_few_files(spark, folder):
     assert sorted(map(str, tuples(read.filter("file is null"), "value"))) == ["('',)", "('no name',)"]
     spans = telemetry.recovery_duration(read.filter("file is not null"))
     assert tuples(spans.select("span_micros").distinct(), "span_micros") == [(5_000_000,)] and spans.count() == 300
+
+
+def test_joined_streams_keep_their_histories_in_files(spark, folder):
+    """Either side may come first, in whatever micro-batch; every pair comes once, and there is no store of keyed state."""
+    opened = [(i, i, i % 3, BASE, BASE + 10 * MIN) for i in range(40)]
+    offered = [(100 + j, j % 50, 1, j, BASE + (j % 12) * MIN) for j in range(200)]
+    b, a = offer_frames(spark, offered, opened)
+    both = b.unionByName(a, allowMissingColumns=True)
+    stream = in_batches([both.filter(F.coalesce("auction", "id") % 3 == i) if i < 2 else both.filter((F.coalesce("auction", "id") % 3 == 2) & (F.col("id").isNull() if i == 2 else F.col("id").isNotNull())) for i in range(4)], folder)
+    bids, own = stream.filter("auction is not null").select(*b.columns), stream.filter("id is not null").select(*a.columns)
+    join = lambda x, y: joins.bid_auction_join(x, y, ["seller"], salts=2).select("auction", "price", "seller")
+    got = run.run_joined(bids, own, join, "test", f"{folder}/run")
+    assert tuples(got, "auction", "price", "seller") == sorted(map(tuple, join(b, a).collect()))
+    assert len(glob.glob(f"{folder}/run/left/*/_SUCCESS")) == 4 and not glob.glob(f"{folder}/run/state/state")
