@@ -29,6 +29,12 @@ def _slices(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield part
 
 
+def _chunks(rows: pd.DataFrame) -> Iterator[tuple]:
+    """Rows as values of a state: one array a column, a bounded number of rows at a time."""
+    for start in range(0, len(rows), SLICE):
+        yield tuple(rows[name].iloc[start : start + SLICE].tolist() for name in rows.columns)
+
+
 BID_FIELDS = ["price", "bidder", "ts_us"]
 
 
@@ -226,37 +232,43 @@ class WatermarkBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._auction = handle.getValueState("auction", "expires_us long, owner long")
-        self._waiting = handle.getListState("waiting", "price long")
+        self._waiting = handle.getListState("waiting", "price array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * MILLI
         arrived = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        # bids up to the next version belong together
-        for _, run in arrived.groupby(arrived["is_auction"].cumsum()):
-            if run["is_auction"].iloc[0]:
-                version = run.iloc[0]
-                self._auction.update((int(version["expires_us"]), None if pd.isna(version["owner"]) else int(version["owner"])))
-                if self._waiting.exists():
-                    for part in _slices(self._waiting.get()):
-                        yield self._joined(key, [row[0] for row in part])
-                    self._waiting.clear()
-                run = run.iloc[1:]
-            if not len(run):
-                continue
-            live = pd.Series(False, index=run.index)
-            if self._auction.exists():
-                expires = self._auction.get()[0]
-                live = (run["ts_us"] < expires) & (expires > now)
-            if live.any():
-                yield self._joined(key, run["price"][live].astype("int64").tolist())
-            if not live.all():
-                self._waiting.appendList([(price,) for price in run["price"][~live].astype("int64").tolist()])
-
-    def _joined(self, key, prices: list[int]) -> pd.DataFrame:
-        expires, owner = self._auction.get()
-        return pd.DataFrame({
-            "auction": key[0], "price": prices, "expires_us": expires, "owner": pd.array([owner] * len(prices), dtype="Int64"),
+        known = [self._auction.get()] if self._auction.exists() else []
+        new = arrived[arrived["is_auction"]]
+        # the version that is known, if there is one, and those that arrive
+        versions = pd.DataFrame({
+            "expires_us": pd.array([*[v[0] for v in known], *new["expires_us"].astype("int64").tolist()], dtype="int64"),
+            "owner": pd.array([*[v[1] for v in known], *[_whole(x) for x in new["owner"]]], dtype="Int64"),
         })
+        if len(new):
+            if self._waiting.exists():
+                for row in self._waiting.get():
+                    yield self._joined(key, pd.Series(row[0], dtype="int64"), versions.iloc[[len(known)] * len(row[0])])
+                self._waiting.clear()
+            last = versions.iloc[-1]
+            self._auction.update((int(last["expires_us"]), _whole(last["owner"])))
+        bids = arrived[~arrived["is_auction"]]
+        # by bid the place of the version that it meets; -1 before the first
+        at = arrived["is_auction"].cumsum()[bids.index].to_numpy() + len(known) - 1
+        price, expires = bids["price"].astype("int64"), versions["expires_us"].to_numpy()
+        met = at >= 0
+        live = met.copy()
+        live[met] = (bids["ts_us"].to_numpy()[met] < expires[at[met]]) & (expires[at[met]] > now)
+        # the others wait for the next version, here or in a later micro-batch
+        released = ~live & (at + 1 < len(versions))
+        for told, place in ((live, at), (released, at + 1)):
+            if told.any():
+                yield self._joined(key, price[told], versions.iloc[place[told]])
+        for chunk in _chunks(price[~live & ~released].to_frame()):
+            self._waiting.appendList([chunk])
+
+    @staticmethod
+    def _joined(key, prices: pd.Series, versions: pd.DataFrame) -> pd.DataFrame:
+        return versions.assign(auction=key[0], price=prices.to_numpy())[["auction", "price", "expires_us", "owner"]]
 
 
 class LatestPair(StatefulProcessor):

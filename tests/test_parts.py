@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import glob
 
+import pandas as pd
 from fixtures import BASE, MIN, tuples
 from test_joins import offer_frames
 from test_live import in_batches
 
 from gavelspark.operators import joins, telemetry
 from gavelspark.sources import files
-from gavelspark.streaming import run
+from gavelspark.streaming import live, processors, run
+
+N = 4000
 
 
 def test_logs_are_packed_in_few_files(spark, folder):
@@ -39,3 +42,66 @@ def test_joined_streams_keep_their_histories_in_files(spark, folder):
     got = run.run_joined(bids, own, join, "test", f"{folder}/run")
     assert tuples(got, "auction", "price", "seller") == sorted(map(tuple, join(b, a).collect()))
     assert len(glob.glob(f"{folder}/run/left/*/_SUCCESS")) == 4 and not glob.glob(f"{folder}/run/state/state")
+
+
+class Kept:
+    """A value or list state in memory."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return self.rows[0] if self.rows and not isinstance(self.rows[0][0], list) else iter(list(self.rows))
+
+    def update(self, row):
+        self.calls += 1
+        self.rows = [row]
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows += rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def _state(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getListState = _state
+
+
+class Clock:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_versions_of_a_key_are_met_at_once():
+    """Every other row is a version: a bid waits for the next one, the last for another micro-batch."""
+    machine, handle = processors.WatermarkBuffer(), Handle()
+    machine.init(handle)
+    n = range(2 * N)
+    rows = pd.DataFrame({
+        "seq": n, "is_auction": [i % 2 == 1 for i in n], "price": [None if i % 2 else i for i in n], "ts_us": 10,
+        "expires_us": [5 if i % 2 else None for i in n], "owner": [i if i % 4 == 1 else None for i in n],
+    })
+    out = list(machine.handleInputRows((3,), iter([rows]), Clock()))
+    got = pd.concat(out)
+    assert len(out) <= 3 and sum(state.calls for state in handle.states.values()) < 10
+    assert [(p, None if pd.isna(o) else o) for p, o in zip(got["price"], got["owner"])] == [(i, i + 1 if i % 4 == 0 else None) for i in range(0, 2 * N, 2)]
+    # one more bid waits, a live one does not
+    rest = pd.DataFrame({"seq": [9000, 9001], "is_auction": False, "price": [1, 2], "ts_us": [4, 6], "expires_us": None, "owner": None})
+    assert pd.concat(machine.handleInputRows((3,), iter([rest]), Clock()))["price"].tolist() == [1]
+    version = pd.DataFrame({"seq": [9002], "is_auction": True, "price": None, "ts_us": [7], "expires_us": [9], "owner": [8]})
+    assert pd.concat(machine.handleInputRows((3,), iter([version]), Clock()))[["price", "owner"]].values.tolist() == [[2, 8]]
+    assert not handle.states["waiting"].rows
