@@ -16,6 +16,7 @@ from gavelspark.operators.joins import keyed_join
 from gavelspark.operators.project import LOCAL_CATEGORY, LOCAL_STATES
 from gavelspark.operators.scan import present
 from gavelspark.streaming import processors
+from gavelspark.streaming.stateful import key_part
 
 MILLI = processors.MILLI
 LATE_PARTS = 64
@@ -132,20 +133,39 @@ def latest_join(
     """The latest auction and the latest person of a seller, at each arrival of either, in keyed state.
 
     ``history`` is ``asof.latest_history`` of a stream. State begins with ``snapshot``, a batch table of what earlier
-    arrivals left (``latest_snapshot``): one row per key is written once, where a carried table is
-    written again in each micro-batch. With ``ttl`` a side that is not renewed in that time is forgotten;
+    arrivals left (``latest_snapshot``): it is written once, and a micro-batch writes the parts of the keys that
+    it touches, where a carried table is written whole. With ``ttl`` a side that is not renewed in that time is forgotten;
     such a stream has to be stopped, it never runs out of micro-batches.
     """
+    if ttl is not None:
+        pairs = _forgetful_pairs(history, snapshot, ttl)
+    else:
+        # as text, so that nulls do not turn whole numbers into floating-point ones
+        text = lambda *fields: [F.col(f).cast("string").alias(f.rsplit(".", 1)[-1]) for f in fields]
+        part = key_part("key").alias("part")
+        flat = history.select(part, *text("key"), "seq", F.col("item").isNotNull().alias("is_item"), *text("item.id", "item.category", "person.name", "person.city", "person.state"))
+        begin = None
+        if snapshot is not None:
+            sides = F.array(F.struct(F.col("item_seq").alias("seq"), F.lit(True).alias("is_item")), F.struct(F.col("person_seq").alias("seq"), F.lit(False).alias("is_item")))
+            each = snapshot.withColumn("side", F.explode(sides)).filter(F.col("side.seq").isNotNull())
+            begin = each.select(part, *text("key"), "side.*", *text("id", "category", "name", "city", "state")).groupBy("part")
+        pairs = flat.groupBy("part").transformWithStateInPandas(
+            processors.LatestPairs(), "seq long, id string, category string, name string, city string, state string", "Append", "None", initialState=begin
+        ).withColumns({c: F.col(c).cast("long") for c in ("id", "category")})
+    matches = pairs.filter((F.col("category") == category) & F.col("state").isin(*states))
+    return matches.select("name", "city", "state", "id")
+
+
+def _forgetful_pairs(history: DataFrame, snapshot: DataFrame | None, ttl: str) -> DataFrame:
+    """Pairs of sides that end by the clock, each key with its own state."""
     flat = history.select(
         "key", "seq", F.col("item").isNotNull().alias("is_item"), "item.id", "item.category", "person.name", "person.city", "person.state",
     )
     begin = None if snapshot is None else snapshot.groupBy("key")
-    pairs = flat.groupBy("key").transformWithStateInPandas(
-        processors.LatestPair(None if ttl is None else micros(ttl) // MILLI), "seq long, id long, category long, name string, city string, state string",
-        "Append", "None" if ttl is None else "ProcessingTime", initialState=begin,
+    return flat.groupBy("key").transformWithStateInPandas(
+        processors.LatestPair(micros(ttl) // MILLI), "seq long, id long, category long, name string, city string, state string",
+        "Append", "ProcessingTime", initialState=begin,
     )
-    matches = pairs.filter((F.col("category") == category) & F.col("state").isin(*states))
-    return matches.select("name", "city", "state", "id")
 
 
 def latest_snapshot(history: DataFrame) -> DataFrame:

@@ -10,6 +10,14 @@ from gavelspark.operators.scan import present
 from gavelspark.streaming import processors
 
 
+# Keys are dealt to so many parts, each a table of keyed state: a call of the state for each key would take most of the time.
+KEY_PARTS = 512
+
+
+def key_part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_PARTS))
+
+
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import glob
 
 import pandas as pd
-from fixtures import BASE, MIN, tuples
-from test_joins import offer_frames
-from test_live import in_batches
+from fixtures import BASE, MIN, auctions, persons, tuples
+from test_joins import NCSI, offer_frames
+from test_live import finished, in_batches, state_rows
 
-from gavelspark.operators import joins, telemetry
+from gavelspark.operators import asof, joins, telemetry
 from gavelspark.sources import files
-from gavelspark.streaming import live, processors, run
+from gavelspark.streaming import live, processors, run, stateful
 
 N = 4000
 
@@ -105,3 +105,14 @@ def test_versions_of_a_key_are_met_at_once():
     version = pd.DataFrame({"seq": [9002], "is_auction": True, "price": None, "ts_us": [7], "expires_us": [9], "owner": [8]})
     assert pd.concat(machine.handleInputRows((3,), iter([version]), Clock()))[["price", "owner"]].values.tolist() == [[2, 8]]
     assert not handle.states["waiting"].rows
+
+
+def test_latest_pairs_keep_state_by_part(spark, folder):
+    big = 1 << 60
+    items = [(i, big + i, i, 10) for i in range(N)]
+    people = [(N + i, i, f"n{i}", "c", "OR") for i in range(0, N, 2)] + [(2 * N, 1, None, None, "CA")]
+    early = asof.latest_history(auctions(spark, items), persons(spark, []))
+    late = asof.latest_history(auctions(spark, []), persons(spark, people))
+    found, reports = finished(live.latest_join(in_batches([late], folder), live.latest_snapshot(early)), folder)
+    assert sorted(map(str, tuples(found.na.fill(""), *NCSI))) == sorted(map(str, [(n or "", c or "", s, big + i) for _, i, n, c, s in people]))
+    assert 0 < state_rows(reports)[-1] <= stateful.KEY_PARTS
