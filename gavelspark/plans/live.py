@@ -13,7 +13,7 @@ from gavelspark.session import shared_folder
 from gavelspark.sources import codec, replay, tables, topic
 from gavelspark.sources.replay import OUT_OF_ORDER_SQL, arrived_sql, watermarks_sql
 from gavelspark.streaming import live
-from gavelspark.streaming.run import LATENCY_METRICS, kept_state, observed_delay, run_live, run_through, zone_free
+from gavelspark.streaming.run import LATENCY_METRICS, each_kept, kept_state, observed_delay, run_live, run_through, zone_free
 from gavelspark.streaming.windows import hot_items_stream
 
 PERSON_DELAY, ITEM_DELAY = "10 minutes", "2 hours"
@@ -211,8 +211,8 @@ def stream_state_audit(spark, sf_dir):
         auctions = tables.customer_auctions_from(tables.stream_table(spark, sf_dir, "customer")).withColumn("seller", F.pmod("id", F.lit(5)))
         run_live(live.last_sales(tables.user_bids_from(events), auctions, HOT_DELAY), "audit", folder)
         # the operator next to the source has the higher number
-        open_ = kept_state(spark, folder, 1, "auction").select(F.col("key").alias("auction"), F.timestamp_micros("expires_us").alias("expires"), F.col("owner").alias("seller"))
-        best = kept_state(spark, folder, 1, "top").select(F.col("key").alias("auction"), F.col("price").alias("best"))
+        open_ = each_kept(kept_state(spark, folder, 1, "auction")).select(F.col("key").alias("auction"), F.timestamp_micros("expires_us").alias("expires"), F.col("owner").alias("seller"))
+        best = each_kept(kept_state(spark, folder, 1, "top")).select(F.col("key").alias("auction"), F.col("price").alias("best"))
         found.append(open_.join(best, "auction", "left").withColumn("phase", F.lit(phase)))
         # what was read is kept as it was then
         stored = f"{folder}/found{second}"

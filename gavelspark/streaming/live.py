@@ -78,15 +78,16 @@ def on_time_and_late(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _tagged(bids: DataFrame, auctions: DataFrame, owner: str, delay: str) -> DataFrame:
-    """Both inputs as one, under one watermark, keyed by the auction."""
-    none = F.lit(None).cast("long")
+    """Both inputs as one, under one watermark; ``key`` is the auction."""
+    # no nulls: they would turn whole numbers into floating-point ones
+    none = F.lit(0).cast("long")
     b = present(bids, "auction", "price", "ts").select(
         F.col("auction").alias("key"), "seq", F.lit(False).alias("is_auction"), "price", _us("ts").alias("ts_us"), none.alias("expires_us"), none.alias("owner"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(False).alias("owned"), F.col("ts").cast("timestamp").alias("ts"),
     )
     a = present(auctions, "id", "expires", "ts").select(
         F.col("id").alias("key"), "seq", F.lit(True).alias("is_auction"), none.alias("price"), _us("ts").alias("ts_us"), _us("expires").alias("expires_us"),
-        F.col(owner).cast("long").alias("owner"), F.col("ts").cast("timestamp").alias("ts"),
+        F.coalesce(F.col(owner).cast("long"), none).alias("owner"), F.col(owner).isNotNull().alias("owned"), F.col("ts").cast("timestamp").alias("ts"),
     )
     return b.unionByName(a).withWatermark("ts", delay)
 
@@ -101,7 +102,7 @@ def last_sales(
     Bids that come before their auction wait; ``hold`` after the watermark has passed them they go.
     """
     both = _tagged(bids, auctions, owner, delay)
-    finals = both.groupBy("key").transformWithStateInPandas(
+    finals = both.withColumn("part", key_part("key")).groupBy("part").transformWithStateInPandas(
         processors.FinalPrice(micros(hold) // MILLI), "auction long, owner long, expires_us long, final long", "Append", "EventTime"
     )
     ring = finals.groupBy("owner").transformWithStateInPandas(

@@ -1,4 +1,4 @@
-"""A keyed state machine with timers, over Arrow batches.
+"""Keyed state machines with timers, over Arrow batches.
 
 What a key brings in a micro-batch comes in parts of bounded size, and so does what is
 read from the state; neither is put together.
@@ -6,7 +6,7 @@ read from the state; neither is put together.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -37,6 +37,159 @@ def _chunks(rows: pd.DataFrame) -> Iterator[tuple]:
         yield tuple(rows[name].iloc[start : start + SLICE].tolist() for name in rows.columns)
 
 
+class _Bids:
+    """Bids that wait, in list states of arrays. They are read and written a chunk at a time."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, fields: Sequence[str]) -> None:
+        self._fields = ["key", *fields]
+        kind = ", ".join(f"{field} array<long>" for field in self._fields)
+        self._rows, self._aside = handle.getListState(name, kind), handle.getListState(f"{name}_aside", kind)
+
+    def add(self, bids: pd.DataFrame) -> None:
+        for chunk in _chunks(bids[self._fields]):
+            self._rows.appendList([chunk])
+
+    def take(self, keys: pd.Index) -> Iterator[pd.DataFrame]:
+        """The bids on some auctions, which go. All chunks have to be taken."""
+        if not self._rows.exists():
+            return
+        for row in self._rows.get():
+            bids = self._frame(row)
+            own = bids["key"].isin(keys)
+            if own.any():
+                yield bids[own]
+            for chunk in _chunks(bids[~own]):
+                self._aside.appendList([chunk])
+        self._rows.clear()
+        if self._aside.exists():
+            for row in self._aside.get():
+                self._rows.appendList([tuple(row)])
+            self._aside.clear()
+
+    def drop(self, keys: pd.Index) -> None:
+        for _ in self.take(keys):
+            pass
+
+    def _frame(self, row: tuple) -> pd.DataFrame:
+        return pd.DataFrame({field: pd.Series(values, dtype="int64") for field, values in zip(self._fields, row)})
+
+
+class _Auctions(StatefulProcessor):
+    """What the machines with a timer at an auction's end share. A key of theirs is a part of the auctions.
+
+    The auctions of a part are a table, whose columns are kept as arrays, and a micro-batch costs a part a few
+    calls of the state, not some for each auction. A part has one timer, at the first time at
+    which something in it is due; then all that the watermark has passed is.
+    """
+
+    TABLE: dict[str, str]
+    FIELDS: Sequence[str]
+
+    def __init__(self, hold: int) -> None:
+        self._hold_ms = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._table = handle.getValueState("auction", ", ".join(f"{name} array<{kind}>" for name, kind in {"key": "long", **self.TABLE}.items()))
+        # bids of auctions that are not known yet, and until when they wait
+        self._early = _Bids(handle, "early", self.FIELDS)
+        self._until = handle.getValueState("until", "key array<long>, ms array<long>")
+
+    def _load(self) -> None:
+        """The part's auctions and waits, by key."""
+        self._open = self._read(self._table, self.TABLE)
+        self._waits = self._read(self._until, {"ms": "long"})["ms"]
+        self._was_due = self._due()
+
+    def _save(self) -> None:
+        self._write(self._table, self._open)
+        self._write(self._until, self._waits.to_frame())
+        due = self._due()
+        if due is not None and due != self._was_due:
+            self._handle.registerTimer(due)
+
+    @staticmethod
+    def _read(state, kinds: dict[str, str]) -> pd.DataFrame:
+        rows = state.get() if state.exists() else [()] * (len(kinds) + 1)
+        columns = {name: pd.array(values, dtype=_DTYPES[kind]) for (name, kind), values in zip(kinds.items(), rows[1:])}
+        return pd.DataFrame(columns, index=pd.Index(rows[0], dtype="int64", name="key"))
+
+    @staticmethod
+    def _write(state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            values = [[None if v is pd.NA else v for v in rows[name].tolist()] for name in rows.columns]
+            state.update((rows.index.tolist(), *values))
+        elif state.exists():
+            state.clear()
+
+    def _due(self) -> int | None:
+        """The first time at which something is due, in milliseconds."""
+        ends = [int(times.min()) for times in (self._ends(), self._waits) if len(times)]
+        return min(ends, default=None)
+
+    def _ends(self) -> pd.Series:
+        return _all_up_to_millis(self._open["expires_us"])
+
+    def _set(self, auctions: pd.DataFrame) -> pd.Index:
+        """Take the newest version of each auction; the keys."""
+        newest = auctions.loc[auctions.groupby("key")["seq"].idxmax()].set_index("key")
+        rows = self._version(newest)
+        self._open = pd.concat([self._open.drop(index=newest.index, errors="ignore"), rows])[list(self.TABLE)]
+        return newest.index
+
+    def _version(self, newest: pd.DataFrame) -> pd.DataFrame:
+        """The table's rows of some new versions."""
+        raise NotImplementedError
+
+    def _offer(self, bids: pd.DataFrame) -> Iterable[pd.DataFrame]:
+        """Bids on known auctions; what they give."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        for part in rows:
+            part = part.reset_index(drop=True)
+            auctions, bids = part[part["is_auction"]], part[~part["is_auction"]][["key", *self.FIELDS]].astype("int64")
+            if len(auctions):
+                waited = self._set(auctions).intersection(self._waits.index)
+                if len(waited):
+                    for held in self._early.take(waited):
+                        yield from self._offer(held)
+                    self._waits = self._waits.drop(index=waited)
+            known = bids["key"].isin(self._open.index)
+            if known.any():
+                yield from self._offer(bids[known])
+            if not known.all():
+                early = bids[~known]
+                self._early.add(early)
+                until = _all_up_to_millis(early.groupby("key")["ts_us"].max()) + self._hold_ms
+                self._waits = pd.concat([self._waits, until]).groupby(level="key").max()
+        self._save()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the timer itself and what is due before the watermark, as timers are
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        self._load()
+        self._was_due = None  # this timer goes
+        gone = self._waits.index[self._waits <= now]
+        if len(gone):
+            self._early.drop(gone)
+            self._waits = self._waits.drop(index=gone)
+        yield from self._ended(now)
+        self._save()
+
+    def _ended(self, now: int) -> Iterable[pd.DataFrame]:
+        """What the auctions give whose end has passed."""
+        raise NotImplementedError
+
+
+_DTYPES = {"long": "Int64", "boolean": "boolean"}
+
+
+def _all_up_to_millis(micros: pd.Series) -> pd.Series:
+    return -(-micros // MILLI)
+
+
 BID_FIELDS = ["price", "bidder", "ts_us"]
 
 
@@ -140,65 +293,41 @@ class LateMark(StatefulProcessor):
             yield pd.DataFrame({"body": part["body"], "at_us": part["at_us"], "is_late": late, "watermark_ms": now})
 
 
-def _best(prices: pd.Series) -> int:
-    return int(prices.max())
-
-
-class FinalPrice(StatefulProcessor):
+class FinalPrice(_Auctions):
     """The best bid before its auction's end, emitted when the end passes; then all state of the auction goes."""
 
-    def __init__(self, hold: int) -> None:
-        self._hold_ms = hold
+    TABLE = {"expires_us": "long", "owner": "long"}
+    FIELDS = ("price", "ts_us")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._auction = handle.getValueState("auction", "expires_us long, owner long")
-        self._top = handle.getValueState("top", "price long")
-        self._early = handle.getListState("early", "price long, ts_us long")
-        self._until = handle.getValueState("until", "ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            auctions, bids = part[part["is_auction"]], part[~part["is_auction"]][["price", "ts_us"]].astype("int64")
-            if len(auctions):
-                newest = auctions.loc[auctions["seq"].idxmax()]
-                self._auction.update((int(newest["expires_us"]), None if pd.isna(newest["owner"]) else int(newest["owner"])))
-                self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
-                if self._early.exists():
-                    for held in _slices(self._early.get()):
-                        self._offer(pd.DataFrame(held, columns=["price", "ts_us"]).astype("int64"))
-                    self._early.clear()
-                    self._until.clear()
-            if self._auction.exists():
-                self._offer(bids)
-            elif len(bids):
-                self._early.appendList(list(map(tuple, bids.to_numpy().tolist())))
-                until = _up_to_millis(int(bids["ts_us"].max())) + self._hold_ms
-                if not self._until.exists() or self._until.get()[0] < until:
-                    self._until.update((until,))
-                    self._handle.registerTimer(until)
-        return iter(())
-
-    def _offer(self, bids: pd.DataFrame) -> None:
-        prices = bids["price"][bids["ts_us"] < self._auction.get()[0]]
-        if len(prices) and (not self._top.exists() or self._top.get()[0] < _best(prices)):
-            self._top.update((_best(prices),))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self._until.exists() and now >= self._until.get()[0]:
-            self._early.clear()
-            self._until.clear()
-        if not self._auction.exists():
-            return
-        expires, owner = self._auction.get()
-        if now < _up_to_millis(expires):
-            return  # the end was moved since
-        if self._top.exists():
-            row = {"auction": [key[0]], "owner": pd.array([owner], dtype="Int64"), "expires_us": [expires], "final": [self._top.get()[0]]}
-            yield pd.DataFrame(row)
-        self._top.clear()
-        self._auction.clear()
+        super().init(handle)
+        self._best = handle.getValueState("top", "key array<long>, price array<long>")
+
+    def _load(self) -> None:
+        super()._load()
+        self._top = self._read(self._best, {"price": "long"})["price"]
+
+    def _save(self) -> None:
+        super()._save()
+        self._write(self._best, self._top.to_frame())
+
+    def _version(self, newest: pd.DataFrame) -> pd.DataFrame:
+        rows = newest[["expires_us", "owner"]].astype("Int64")
+        return rows.assign(owner=rows["owner"].where(newest["owned"]))
+
+    def _offer(self, bids: pd.DataFrame) -> Iterable[pd.DataFrame]:
+        ends = self._open["expires_us"].to_numpy(dtype="int64")[self._open.index.get_indexer(bids["key"])]
+        best = bids[bids["ts_us"].to_numpy() < ends].groupby("key")["price"].max().astype("Int64")
+        self._top = pd.concat([self._top, best]).groupby(level="key").max()
+        return ()
+
+    def _ended(self, now: int) -> Iterator[pd.DataFrame]:
+        over = self._open[self._ends() <= now]
+        sold = over.join(self._top.rename("final"), how="inner")
+        if len(sold):
+            yield sold.rename_axis("auction").reset_index()[["auction", "owner", "expires_us", "final"]]
+        self._open = self._open.drop(index=over.index)
+        self._top = self._top.drop(index=sold.index)
 
 
 # Closed auctions of a seller that are averaged.

@@ -71,6 +71,12 @@ def kept_state(spark: SparkSession, folder: str, operator: int, variable: str) -
     return read.load(f"{folder}/state").select("key.*", "value.*")
 
 
+def each_kept(state: DataFrame) -> DataFrame:
+    """A row for each entry of kept tables, whose columns are arrays."""
+    columns = [name for name, kind in state.dtypes if kind.startswith("array")]
+    return state.select(F.explode(F.arrays_zip(*columns)).alias("_each")).select("_each.*")
+
+
 def zone_free(df: DataFrame) -> DataFrame:
     """Times as the tables have them, without a zone."""
     return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name, kind in df.dtypes if kind == "timestamp"})

@@ -116,3 +116,25 @@ def test_latest_pairs_keep_state_by_part(spark, folder):
     found, reports = finished(live.latest_join(in_batches([late], folder), live.latest_snapshot(early)), folder)
     assert sorted(map(str, tuples(found.na.fill(""), *NCSI))) == sorted(map(str, [(n or "", c or "", s, big + i) for _, i, n, c, s in people]))
     assert 0 < state_rows(reports)[-1] <= stateful.KEY_PARTS
+
+
+def _many_offers(spark, folder):
+    """Auctions that stay open, one that ends in the first micro-batch, and a bid for each."""
+    opened = [(i, i, i % 3, BASE, BASE + (2 if i == 7 else 600) * MIN) for i in range(N)]
+    offered = [(N + i, i, 1, 10 + i, BASE + MIN) for i in range(N)]
+    b, a = offer_frames(spark, offered, opened)
+    both = b.unionByName(a, allowMissingColumns=True)
+    later = both.limit(1).select(*[F.lit(9 * N).cast("long").alias("seq") if c == "seq" else F.timestamp_millis(F.lit(BASE + 10 * MIN)).alias("ts") if c == "ts" else F.lit(N + 5).cast("long").alias(c) if c in ("auction", "price", "bidder") else F.lit(None).cast(t).alias(c) for c, t in both.dtypes])
+    stream = in_batches([both, later], folder)
+    return stream.filter("auction is not null").select(*b.columns), stream.filter("id is not null").select(*a.columns)
+
+
+def test_open_auctions_keep_state_by_part(spark, folder):
+    found, reports = finished(live.last_sales(*_many_offers(spark, folder), "1 second"), folder)
+    assert tuples(found, "auction", "final", "sales") == [(7, 17, 1)]
+    # a part has its table, its best prices and a timer, which is two rows
+    assert 0 < state_rows(reports)[-1] <= 4 * stateful.KEY_PARTS + 10
+    kept = run.each_kept(run.kept_state(spark, f"{folder}/run", 1, "auction"))
+    assert kept.count() == N - 1 and {r.key for r in kept.collect()} == set(range(N)) - {7}
+    best = run.each_kept(run.kept_state(spark, f"{folder}/run", 1, "top"))
+    assert tuples(best, "key", "price") == [(i, 10 + i) for i in range(N) if i != 7]
