@@ -7,7 +7,6 @@ read from the state; neither is put together.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,20 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 MILLI = 1000  # event times are microseconds, watermarks and timers are milliseconds
 
 
-def _up_to_millis(micros: int) -> int:
-    return -(-micros // MILLI)
-
-
 SLICE = 100_000
 
 
-def _slices(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
-    """Rows of a state, a bounded number at a time."""
-    rows = iter(rows)
-    while part := list(islice(rows, SLICE)):
-        yield part
-
-
 def _chunks(rows: pd.DataFrame) -> Iterator[tuple]:
     """Rows as values of a state: one array a column, a bounded number of rows at a time."""
     for start in range(0, len(rows), SLICE):
@@ -190,94 +178,51 @@ def _all_up_to_millis(micros: pd.Series) -> pd.Series:
     return -(-micros // MILLI)
 
 
-BID_FIELDS = ["price", "bidder", "ts_us"]
-
-
-class ExpiryTimer(StatefulProcessor):
+class ExpiryTimer(_Auctions):
     """Bids before their auction's end at once, the others when its end passes.
 
     A timer at the end releases what is left. The auction stays for ``hold`` milliseconds
     more, so that bids which arrive later still are told apart; bids of an auction that has
-    not come wait as long. Then a second timer clears the state.
+    not come wait as long. Then the state is cleared.
     """
 
-    def __init__(self, hold: int) -> None:
-        self._hold_ms = hold
+    TABLE = {"expires_us": "long", "kept": "long", "over": "boolean"}
+    FIELDS = ("price", "bidder", "ts_us")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._auction = handle.getValueState("auction", "expires_us long, kept long, over boolean")
-        # bids of an auction that is not known yet and until when they wait, and bids that wait for the timer
-        self._early = handle.getListState("early", "price long, bidder long, ts_us long")
-        self._until = handle.getValueState("until", "ms long")
-        self._left = handle.getListState("left", "price long, bidder long, ts_us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            auctions, bids = part[part["is_auction"]], part[~part["is_auction"]][BID_FIELDS]
-            if len(auctions):
-                newest = auctions.loc[auctions["seq"].idxmax()]
-                self._auction.update((int(newest["expires_us"]), int(newest["kept"]), False))
-                self._handle.registerTimer(_up_to_millis(int(newest["expires_us"])))
-                if self._early.exists():
-                    for held in self._held(self._early):
-                        yield from self._told_apart(key, held)
-                    self._early.clear()
-                    self._until.clear()
-            if self._auction.exists():
-                yield from self._told_apart(key, bids)
-            elif len(bids):
-                self._hold(self._early, bids)
-                until = _up_to_millis(int(bids["ts_us"].max())) + self._hold_ms
-                if not self._until.exists() or self._until.get()[0] < until:
-                    self._until.update((until,))
-                    self._handle.registerTimer(until)
+        super().init(handle)
+        # bids that wait for the timer
+        self._left = _Bids(handle, "left", self.FIELDS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self._until.exists() and now >= self._until.get()[0]:
-            self._early.clear()
-            self._until.clear()
-        if not self._auction.exists():
-            return
-        expires, kept, over = self._auction.get()
-        end = _up_to_millis(expires)
-        if now < end:
-            return  # the end was moved since
-        if not over:
-            self._auction.update((expires, kept, True))
-            self._handle.registerTimer(end + self._hold_ms)
-            if self._left.exists():
-                for part in self._held(self._left):
-                    yield self._marked(key, part, expires, kept, False)
-                self._left.clear()
-        if now >= end + self._hold_ms:
-            self._auction.clear()
-
-    def _told_apart(self, key, bids: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        expires, kept, over = self._auction.get()
-        in_time = bids["ts_us"] < expires
-        yield self._marked(key, bids[in_time], expires, kept, True)
-        if over:
-            yield self._marked(key, bids[~in_time], expires, kept, False)
-        else:
-            self._hold(self._left, bids[~in_time])
+    def _ends(self) -> pd.Series:
+        # an auction that is over is due again when it has been held
+        return super()._ends() + self._open["over"].astype("int64") * self._hold_ms
 
-    @staticmethod
-    def _held(state) -> Iterator[pd.DataFrame]:
-        for part in _slices(state.get()):
-            yield pd.DataFrame(part, columns=BID_FIELDS).astype("int64")
+    def _version(self, newest: pd.DataFrame) -> pd.DataFrame:
+        return newest[["expires_us", "kept"]].astype("Int64").assign(over=pd.array([False] * len(newest), dtype="boolean"))
 
-    @staticmethod
-    def _hold(state, bids: pd.DataFrame) -> None:
-        if len(bids):
-            state.appendList(list(map(tuple, bids.to_numpy(dtype="int64").tolist())))
+    def _offer(self, bids: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        place = self._open.index.get_indexer(bids["key"])
+        in_time = bids["ts_us"].to_numpy() < self._open["expires_us"].to_numpy(dtype="int64")[place]
+        over = self._open["over"].to_numpy(dtype=bool)[place]
+        for told, accepted in ((in_time, True), (~in_time & over, False)):
+            if told.any():
+                yield self._marked(bids[told], accepted)
+        self._left.add(bids[~in_time & ~over])
 
-    @staticmethod
-    def _marked(key, bids, expires, kept, accepted) -> pd.DataFrame:
-        return bids.assign(auction=key[0], expires_us=expires, kept=kept, accepted=accepted)[
-            ["auction", "price", "bidder", "ts_us", "expires_us", "kept", "accepted"]
-        ]
+    def _ended(self, now: int) -> Iterator[pd.DataFrame]:
+        ends = super()._ends()
+        over = self._open.index[(ends <= now) & ~self._open["over"]]
+        if len(over):
+            for bids in self._left.take(over):
+                yield self._marked(bids, False)
+            self._open.loc[over, "over"] = True
+        self._open = self._open[~(self._open["over"] & (ends + self._hold_ms <= now))]
+
+    def _marked(self, bids: pd.DataFrame, accepted: bool) -> pd.DataFrame:
+        own = self._open.loc[bids["key"], ["expires_us", "kept"]].astype("int64").reset_index(drop=True)
+        made = bids.rename(columns={"key": "auction"}).reset_index(drop=True).assign(expires_us=own["expires_us"], kept=own["kept"], accepted=accepted)
+        return made[["auction", "price", "bidder", "ts_us", "expires_us", "kept", "accepted"]]
 
 
 class LateMark(StatefulProcessor):

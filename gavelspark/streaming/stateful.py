@@ -43,7 +43,7 @@ def expiry_timer_stream(bids: DataFrame, auctions: DataFrame, delay: str, keep:
     auction that never came. Rows without a key, price or time take no part.
     """
     both = _offers(bids, auctions, keep).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    joined = both.groupBy("key").transformWithStateInPandas(
+    joined = both.withColumn("part", key_part("key")).groupBy("part").transformWithStateInPandas(
         processors.ExpiryTimer(micros(hold) // processors.MILLI),
         "auction long, price long, bidder long, ts_us long, expires_us long, kept long, accepted boolean",
         "Append", "EventTime",

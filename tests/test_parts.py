@@ -138,3 +138,10 @@ def test_open_auctions_keep_state_by_part(spark, folder):
     assert kept.count() == N - 1 and {r.key for r in kept.collect()} == set(range(N)) - {7}
     best = run.each_kept(run.kept_state(spark, f"{folder}/run", 1, "top"))
     assert tuples(best, "key", "price") == [(i, 10 + i) for i in range(N) if i != 7]
+
+
+def test_expiry_timers_keep_state_by_part(spark, folder):
+    b, a = _many_offers(spark, folder)
+    found, reports = finished(stateful.expiry_timer_stream(b, a, "1 second", "seller"), folder)
+    assert tuples(found, "auction", "price", "accepted") == [(i, 10 + i, True) for i in range(N)]
+    assert 0 < state_rows(reports)[-1] <= 6 * stateful.KEY_PARTS
