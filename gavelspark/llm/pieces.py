@@ -5,9 +5,10 @@ concatenation is a piece, the one of the best score is merged next, the leftmost
 equals. The pairs wait in an agenda ordered by score. No piece has a space mark after another
 character, and a character that is in no piece merges with nothing, so a text falls into
 chunks that merge on their own. Chunks repeat: each Python worker keeps a bounded number of
-them. New chunks of a batch go through the agenda together: short ones in arrays, where every
+them. Texts are taken in slices of a megabyte, as their chunks are many times as large in
+Python. New chunks of a slice go through the agenda together: short ones in arrays, where every
 round pops the best pair of every chunk, long ones through a heap. Each new chunk is also given
-to the sentencepiece library, batch by batch, and a difference ends the task.
+to the sentencepiece library, slice by slice, and a difference ends the task.
 
 The work is one pass over the rows, without a shuffle; a lost task is run again.
 """
@@ -32,7 +33,12 @@ SPACE = "▁"
 
 # Characters of a chunk beyond which it goes through the heap.
 LONG_CHUNK = 64
+# Chunks that a worker keeps from task to task, and those of a table that goes with its task:
+# about 150 bytes each, and up to twice as many for a while.
 CACHED_CHUNKS = 450_000
+TASK_CHUNKS = 200_000
+# Bytes of text encoded at a time: their chunks, lists and numbers take some twenty times that.
+SLICE_BYTES = 1 << 20
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -45,7 +51,7 @@ class OddIds(bytes):
 class Pieces:
     """The pieces of a merge-type model: encoding, decoding, and the library as a check."""
 
-    def __init__(self, model: bytes, check: bool = True) -> None:
+    def __init__(self, model: bytes, check: bool = True, cached: int = CACHED_CHUNKS) -> None:
         library = self.library = SentencePieceProcessor(model_proto=model)
         self.check = check
         self.size = library.get_piece_size()
@@ -79,7 +85,7 @@ class Pieces:
             if len(name) == 1:
                 self.of_character[ord(name)] = symbol
         self.chunk = re.compile("\n| +[^ \n]*|[^ \n]+" if "\n" not in self.symbols else " +[^ ]*|[^ ]+")
-        self.cache = Generations(CACHED_CHUNKS)
+        self.cache = Generations(cached)
         self.decoder, self.odd = Decoder(model), False
 
     # encoding
@@ -280,13 +286,13 @@ def encode(
     Null and the empty text have no ids. Rows are encoded on their own, so ties, repeated rows
     and null ids stay as they are; other columns are ignored. ``check`` compares with the
     library. ``model`` is the content of the model file, which is the same at every scale. With
-    ``reuse`` a Python worker keeps its table of chunks for later tasks; without, it goes with the task.
+    ``reuse`` a Python worker keeps its table of chunks for later tasks; without, the table is smaller and goes with the task.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = built_once(Pieces, shipped.value, check) if reuse else Pieces(shipped.value, check)
-        for batch in slices(batches, "text"):
+        pieces = built_once(Pieces, shipped.value, check) if reuse else Pieces(shipped.value, check, TASK_CHUNKS)
+        for batch in slices(batches, "text", SLICE_BYTES):
             found, texts = pieces.encode_and_decode(texts_of(batch, "text"))
             offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"), type=pa.int32())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from corpus_cases import TEXTS, awkward, empty, row
@@ -67,6 +69,28 @@ def test_encode_and_decode_rows(spark, model, library):
     assert pieces.encode(empty(spark), model).count() == 0
 
 
+def test_a_task_takes_little_memory(spark, model, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshr", k=7)) for _ in range(8_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1_500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    docs = empty(spark)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: task)
+    task = pieces.encode(docs, model, decoded=True, reuse=False)
+    tracemalloc.start()
+    try:
+        # the tables of the model are there with the first row
+        found = task(iter([batch.slice(0, 1), batch]))
+        rows = next(found).num_rows
+        tracemalloc.reset_peak()
+        least = tracemalloc.get_traced_memory()[0]
+        rows += sum(out.num_rows for out in found)
+        most = tracemalloc.get_traced_memory()[1] - least
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) + 1 and most < 32e6
+
+
 def test_words_equal_the_library(source):
     words, library = grammar.WordTokenizer(source), Tokenizer.from_str(source.decode())
     texts = ["a\tb  c\r\nd", "don't I'll", "é é ́x", "<|endoftext|> x<|startoftext|>y", "İΣ Σ", "中文 字", "", " ", "🙂‍🙂 ﬁ"]
