@@ -11,8 +11,11 @@ document with fewer than t + 1 signatures in common with others has no link, and
 forget its t most common ones: the rarest of the t + 1 is then still there on both sides.
 
 Sharing signatures is necessary, not sufficient: documents that share any, directly or through
-others, form a candidate class. Sets are compared within classes, in pairs of blocks of bounded
-size, and all links of a class are found; what leaves a task is a spanning forest of them.
+others, form a candidate class. Chance ties ever more documents together as the corpus grows, so
+classes of more than a block are cut once more, by whole sets: a similar set has ``percent`` of a set's
+shingles at least, so a document without that many in common with its class has no link, and each may
+forget its most common ones, all but the last of so many. Sets are compared within what is left, in
+pairs of blocks of bounded size, and all links are found; what leaves a task is a spanning forest of them.
 
 Equal sets are represented by one of their documents. A signature of very many documents
 passes a task as a sorted stream. Sets are compared as 64-bit hashes of shingles.
@@ -254,6 +257,56 @@ def _chained(shared: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rarest(signed: DataFrame, spares: DataFrame) -> DataFrame:
+    """The rows of ``sig`` and ``doc`` without signatures of one document and the ``spare`` most common ones of each; ``spares`` is stored."""
+    # distinct rows and their counts in one exchange
+    size = F.count("*").over(Window.partitionBy("sig")).alias("size")
+    several = signed.repartition("sig").distinct().select("sig", "doc", size).filter("size > 1")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), "sig"))
+    ranked = several.join(small_or_not(spares), "doc").withColumn("rank", rank)
+    return ranked.filter("rank > spare").select("sig", "doc")
+
+
+def _nodes(found: DataFrame) -> DataFrame:
+    """``doc`` and ``component`` of all nodes of components, the smallest too."""
+    roots = found.select(F.col("component").alias("doc"), "component").distinct()
+    return found.select(F.col("node").alias("doc"), "component").union(roots)
+
+
+def _sets(rows: DataFrame, placed: DataFrame, words: int) -> DataFrame:
+    """The sets of the documents in ``placed`` (``doc``, ``component``, ``large``) as ``found``, sorted hashes."""
+    texts = rows.join(small_or_not(placed), "doc").select("doc", "component", "large", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            raws = [(text or "").encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()]
+            sets = [found.tobytes() for found in shingle_sets(raws, words)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["doc", "component", "large", "found"])
+
+    return texts.mapInArrow(run, "doc long, component long, large boolean, found binary")
+
+
+def _shingles(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of each set; ``sig`` is one of the shingle in its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "found", 1 << 20):
+            found = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("found").to_pylist()]
+            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            classes_of, docs = (batch.column(name).to_numpy() for name in ("component", "doc"))
+            sig = _mix(np.concatenate(found) + np.repeat(_mix(classes_of.astype(np.uint64) + _U(1)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(docs, counts))], names=["sig", "doc"])
+
+    return sets.select("doc", "component", "found").mapInArrow(run, "sig long, doc long")
+
+
+def _closer(sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Candidate classes among sets of large ones: of documents that share one of their rarest shingles in the class."""
+    spare = F.ceil(F.octet_length("found") / 8 * percent / 100) - 1
+    sets.filter("octet_length(found) > 0").groupBy("doc").agg(F.min(spare).alias("spare")).write.parquet(f"{folder}/spares")
+    return components(_chained(_rarest(_shingles(sets), sets.sparkSession.read.parquet(f"{folder}/spares"))))
+
+
 def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets, as pairs of places; between the two sides, or within one if there is one."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
@@ -298,17 +351,9 @@ def _links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     return out
 
 
-def _verified(rows: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between documents of one class; ``members`` has ``doc``, ``component``, ``block``, ``blocks``."""
-    texts = rows.join(small_or_not(members), "doc").select("doc", "component", "block", "blocks", "text")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            raws = [(text or "").encode("utf-8", "surrogatepass") for text in batch.column("text").to_pylist()]
-            sets = [found.tobytes() for found in shingle_sets(raws, words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["doc", "component", "block", "blocks", "found"])
-
-    sets = texts.mapInArrow(shingled, "doc long, component long, block long, blocks long, found binary")
+    sets = sets.select("doc", "found").join(small_or_not(members), "doc")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("doc", "component", "block", "found", other)
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
@@ -355,22 +400,29 @@ def classes(
     )
     enough.write.parquet(f"{folder}/enough")
     enough = spark.read.parquet(f"{folder}/enough")
-    common = shared.filter("extra = 0").select("sig", "doc").distinct().join(small_or_not(enough), "doc")
-    sizes = common.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), "sig"))
-    common = common.join(sizes, "sig").withColumn("rank", rank).filter("rank > spare")
-    candidates = components(_chained(common))
+    common = shared.filter("extra = 0").select("sig", "doc").join(small_or_not(enough.select("doc")), "doc", "left_semi")
+    candidates = components(_chained(_rarest(common, enough.select("doc", "spare"))))
+    let_go(spark)
+
+    placed = _nodes(candidates).join(enough.select("doc", "n"), "doc")
+    large = placed.groupBy("component").agg((F.sum("n") > block_shingles).alias("large"))
+    placed.join(large, "component").select("doc", "component", "n", "large").write.parquet(f"{folder}/placed")
+    placed = spark.read.parquet(f"{folder}/placed")
+    _sets(rows, placed.select("doc", "component", "large"), words).write.parquet(f"{folder}/sets")
+    sets = spark.read.parquet(f"{folder}/sets")
     let_go(spark)
 
-    roots = candidates.select(F.col("component").alias("doc"), "component").distinct()
-    placed = candidates.select(F.col("node").alias("doc"), "component").union(roots).join(enough.select("doc", "n"), "doc")
-    before = running_before(placed, ["component"], [("doc", 1 << 20)], {"before": ("sum", "n")})
+    if not placed.filter("large").isEmpty():
+        closer = _nodes(_closer(sets.filter("large"), percent, folder)).join(enough.select("doc", "n"), "doc")
+        placed = placed.filter("not large").select("doc", "component", "n").union(closer.select("doc", "component", "n"))
+        let_go(spark)
+    before = running_before(placed.select("doc", "component", "n"), ["component"], [("doc", 1 << 20)], {"before": ("sum", "n")})
     blocked = before.withColumn("block", F.floor(F.coalesce("before", F.lit(0)) / block_shingles))
     blocks = blocked.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
     blocked.join(blocks, "component").select("doc", "component", "block", "blocks").write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
 
-    links = _verified(rows, members, words, percent)
+    links = _verified(sets, members, percent)
     # an id with several different sets ties them together
     several = whole.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("doc", "low")
     tied = whole.join(several, "doc").select(F.col("rep").alias("a"), F.col("low").alias("b"))

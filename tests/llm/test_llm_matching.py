@@ -191,6 +191,23 @@ def test_classes_of_chance_in_many_blocks(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(list(enumerate(texts)))
 
 
+def test_classes_tied_by_chance_are_cut_before_sets_are_compared(spark, monkeypatch):
+    """Sets go to one block: of the candidates that stock phrases tie together only near copies are left."""
+    phrases = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(120)]
+    rows = [(i, " ".join([phrases[i], *(f"d{i}w{j}" for j in range(10)), phrases[(i + 1) % 120]])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " and more") for i in range(0, 120, 5)]
+    # ids of two texts, of which one has a near copy
+    rows += [(1, rows[63][1] + " and yet more"), (2, None), (64, rows[64][1])]
+    seen, verified = [], partenum._verified
+    monkeypatch.setattr(partenum, "_verified", lambda *args: seen.append(args[1]) or verified(*args))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = partenum.classes(docs, block_shingles=500).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(rows)
+    members = seen[0].collect()
+    assert {r.blocks for r in members} == {1}
+    assert {200 + i for i in range(0, 120, 5)} <= {r.doc for r in members} and len(members) < 60
+
+
 def test_classes_of_awkward_documents(spark):
     rows = [*TEXTS.items(), (1, TEXTS[1]), (8, "another text of the same id"), (None, TEXTS[1]), (None, None)]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in partenum.classes(awkward(spark)).collect())
