@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from datetime import datetime
+from functools import partial
 from hashlib import sha256
 
 import pytest
@@ -13,7 +14,7 @@ from oracle import compare, connect
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from gavelspark.llm import revisits
+from gavelspark.llm import partenum, revisits
 from gavelspark.llm.plans import PLANS, SQL
 
 
@@ -143,6 +144,20 @@ def test_stages_take_awkward_documents(spark, stage):
     assert 11 in kept and stage(spark, empty(spark), SMALL).count() == 0
 
 
+def test_near_duplicates_of_documents_tied_by_chance(spark, monkeypatch):
+    """Stock phrases tie all documents into one class of candidates; no set goes to more than one block of it."""
+    phrases = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(80)]
+    texts = {i: " ".join([phrases[i], *(f"d{i}w{j}" for j in range(10)), phrases[(i + 1) % 80]]) for i in range(80)}
+    copies = {100 + i: texts[i] + " and more" for i in range(0, 80, 5)}
+    seen, verified = [], partenum._verified
+    monkeypatch.setattr(partenum, "_verified", lambda *args: seen.append(args[1]) or verified(*args))
+    monkeypatch.setattr(partenum, "classes", partial(partenum.classes, block_shingles=500))
+    docs = spark.createDataFrame([row(i, text) for i, text in (texts | copies).items()], SCHEMA).repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(texts)
+    assert {r.blocks for r in seen[0].collect()} == {1}
+
+
 def test_one_row_of_each_class_whatever_the_ids(spark):
     base = [" ".join(prose(1, seed, 60, 60)) for seed in (31, 32)]
     texts = prose(1, 33, 60, 60)
